@@ -9,6 +9,9 @@ all rows tie and therefore may be salted.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sentinela.staging import stage
@@ -93,49 +96,99 @@ def _renamed_match(names: list[str]) -> Column:
     return condition
 
 
-def exact_percentiles(df: DataFrame, value: str, percentiles: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
-    """One row of exact, linearly interpolated percentiles; NULLs are left out.
+def exact_percentiles(
+    df: DataFrame,
+    value: str,
+    percentiles: dict[str, float],
+    buckets: int = BUCKETS,
+    leaf_rows: int = 2_000_000,
+) -> DataFrame:
+    """One row of exact, linearly interpolated percentiles; NULL and NaN are left out.
 
-    Equal values are counted together first. Only the buckets that hold a wanted position
-    are ordered inside.
+    The value range is cut until every wanted position lies on a cut point or in a piece of at
+    most ``leaf_rows`` rows, and only those pieces are ordered. A pass brings back at most
+    ``buckets`` cut points and twice as many counts, whatever the size of the data; ``df``
+    should be a table or a staged one, since each pass reads the column again.
     """
-    numbers = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    cuts = numbers.select(_cut_points(F.col("_v"), buckets)).scalar()
-    by_value = (
-        numbers.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", -_bucket_below(F.col("_v"), cuts))
-    )
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # At most two rows per cut point, so a single window over them is small.
-    starts = (
-        by_value.groupBy("_bucket").agg(F.sum("_n").alias("_size"))
-        .withColumn("_start", F.coalesce(F.sum("_size").over(running), F.lit(0)))
-        .withColumn("_total", F.sum("_size").over(whole))
-    )
-    place = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in percentiles.items()}
-    ends = [edge for at in place.values() for edge in (F.floor(at), F.ceil(at))]
-
-    def holds(start: Column, size: Column) -> Column:
-        hit = F.lit(False)
-        for at in ends:
-            hit = hit | ((start <= at) & (at < start + size))
-        return hit
-
-    wanted = starts.filter(holds(F.col("_start"), F.col("_size"))).select(
-        F.col("_bucket").alias("_wanted"), "_start", "_total")
-    inside = Window.partitionBy("_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # ``wanted`` has at most two rows per percentile.
+    number = F.col(value).cast("double")
+    numbers = df.select(number.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    pieces = _pieces(numbers, None, None, 0, buckets)
+    total = pieces[-1].start + pieces[-1].rows if pieces else 0
+    if total == 0:
+        return df.agg(*[F.max(F.lit(None).cast("double")).alias(name) for name in percentiles])
+
+    places = {name: p * (total - 1) for name, p in percentiles.items()}
+    wanted = sorted({edge for at in places.values() for edge in (math.floor(at), math.ceil(at))})
+    leaves: dict[int, _Piece] = {}
+    for position in wanted:
+        around = pieces
+        while True:
+            piece = next(x for x in around if x.start <= position < x.start + x.rows)
+            if piece.exact is not None or piece.rows <= leaf_rows:
+                break
+            around = _pieces(numbers, piece.low, piece.high, piece.start, buckets)
+        leaves[position] = piece
+    return _pick(numbers, places, leaves)
+
+
+@dataclass(frozen=True)
+class _Piece:
+    """Rows strictly between two cut points, or equal to one, and how many rows come before."""
+
+    low: float | None
+    high: float | None
+    exact: float | None
+    start: int
+    rows: int
+
+    def holds(self, v: Column) -> Column:
+        if self.exact is not None:
+            return v == self.exact
+        inside = F.lit(True)
+        if self.low is not None:
+            inside = inside & (v > self.low)
+        return inside if self.high is None else inside & (v < self.high)
+
+
+def _pieces(numbers: DataFrame, low: float | None, high: float | None, start: int, buckets: int) -> list[_Piece]:
+    part = numbers.filter(_Piece(low, high, None, 0, 0).holds(F.col("_v")))
+    cuts = sorted(part.agg(_cut_points(F.col("_v"), buckets)).first()[0] or [])
+    if not cuts:
+        return []
+    points = F.array(*[F.lit(c) for c in cuts])
+    counts = dict(part.groupBy(_bucket_below(F.col("_v"), points)).agg(F.count(F.lit(1))).collect())
+    found = []
+    for i in range(len(cuts) + 1):
+        left, right = (cuts[i - 1] if i else low), (cuts[i] if i < len(cuts) else high)
+        for exact, bucket in ((None, 2 * (len(cuts) - i)), (right, 2 * (len(cuts) - i) - 1)):
+            if bucket in counts:
+                found.append(_Piece(left, right, exact, start, counts[bucket]))
+                start += counts[bucket]
+    return found
+
+
+def _pick(numbers: DataFrame, places: dict[str, float], leaves: dict[int, _Piece]) -> DataFrame:
+    """Order the leaf pieces inside and interpolate between the wanted positions."""
+    distinct = sorted(set(leaves.values()), key=lambda x: (x.start, x.rows))
+    which, wanted = None, F.lit(False)
+    for i, piece in enumerate(distinct):
+        here = piece.holds(F.col("_v"))
+        wanted = wanted | here
+        which = F.when(here, i) if which is None else which.when(here, i)
+    starts = F.create_map(*[F.lit(x) for i, piece in enumerate(distinct) for x in (i, piece.start)])
+    inside = Window.partitionBy("_leaf").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        by_value.join(F.broadcast(wanted), F.col("_bucket") == F.col("_wanted"))
-        .withColumn("_from", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
+        numbers.filter(wanted).withColumn("_leaf", which)
+        .groupBy("_leaf", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_to", F.element_at(starts, F.col("_leaf")) + F.sum("_n").over(inside))
     )
-    picked, out = [], []
-    for i, (name, at) in enumerate(place.items()):
-        for side, edge in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            here = (F.col("_from") <= edge) & (edge < F.col("_from") + F.col("_n"))
-            picked.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
-        share = F.col(f"_at{i}") - F.floor(F.col(f"_at{i}"))
-        picked.append(F.max(at).alias(f"_at{i}"))
-        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share).alias(name))
-    return placed.agg(*picked).select(*out)
+
+    def at(position: int) -> Column:
+        hit = (F.col("_to") - F.col("_n") <= position) & (F.lit(position) < F.col("_to"))
+        return F.max(F.when(hit, F.col("_v")))
+
+    out = []
+    for name, place in places.items():
+        low, high = at(math.floor(place)), at(math.ceil(place))
+        out.append((low + (high - low) * F.lit(place - math.floor(place))).alias(name))
+    return placed.agg(*out)

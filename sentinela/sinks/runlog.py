@@ -7,17 +7,17 @@ from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from sentinela.config import split_identifier
 
-LOG_SCHEMA = StructType.fromDDL(
-    "execution_id string, start_execution timestamp_ntz, end_execution timestamp_ntz, source string, "
-    "table_name string, job_name string, layer string, status string, error string, "
-    "error_description string, warning_description string, has_bdq boolean, critical_table boolean, "
-    "file_name string, count bigint, info map<string,string>, "
-    "quality_tests array<struct<column_tested:string,test_applied:string,status:string>>, dt_ref date"
-)
+LOG_COLUMNS = {
+    "execution_id": "string", "start_execution": "timestamp_ntz", "end_execution": "timestamp_ntz",
+    "source": "string", "table_name": "string", "job_name": "string", "layer": "string", "status": "string",
+    "error": "string", "error_description": "string", "warning_description": "string", "has_bdq": "boolean",
+    "critical_table": "boolean", "file_name": "string", "count": "bigint", "info": "map<string,string>",
+    "quality_tests": "array<struct<column_tested:string,test_applied:string,status:string>>", "dt_ref": "date",
+}
+LOG_SCHEMA = ", ".join(f"`{name}` {kind}" for name, kind in LOG_COLUMNS.items())
 LOCAL_OFFSET = timedelta(hours=3)
 
 
@@ -72,7 +72,7 @@ class RunLog:
         self.write()
 
     def frame(self) -> DataFrame:
-        values = tuple(self.record[name] for name in LOG_SCHEMA.names)
+        values = tuple(self.record[name] for name in LOG_COLUMNS)
         return self._spark.createDataFrame([values], LOG_SCHEMA)
 
     def write(self) -> None:
