@@ -32,14 +32,22 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[
 
 
 def _cut_points(value: Column, buckets: int) -> Column:
+    """At most ``buckets - 1`` distinct values of the column, largest first."""
     fractions = [i / buckets for i in range(1, buckets)]
-    return F.array_distinct(F.percentile_approx(value, fractions, 20 * buckets))
+    return F.sort_array(F.array_distinct(F.percentile_approx(value, fractions, 20 * buckets)), asc=False)
 
 
-def _bucket_below(value: Column, cuts: Column) -> Column:
-    """Bucket number, growing as the value falls: 2n inside, 2n+1 on a cut point."""
-    above = F.size(F.filter(cuts, lambda cut: cut > value))
-    return F.when(value.isNotNull(), above * 2 + F.array_contains(cuts, value).cast("int"))
+def _bucket_below(value: Column, cuts: Column, buckets: int) -> Column:
+    """Bucket number, growing as the value falls: 2n between cut points, 2n+1 on one.
+
+    n counts the cut points above the value, found by halving steps.
+    """
+    steps = F.array(*[F.lit(2 ** k) for k in reversed(range(buckets.bit_length()))])
+    return F.when(value.isNotNull(), F.aggregate(
+        steps, F.lit(0),
+        lambda above, step: F.when(F.get(cuts, above + step - 1) > value, above + step).otherwise(above),
+        lambda above: above * 2 + F.coalesce(F.get(cuts, above) == value, F.lit(False)).cast("int"),
+    ))
 
 
 def rank_descending(
@@ -61,7 +69,7 @@ def rank_descending(
     keyed = df.join(cuts.withColumnsRenamed({g: f"_{g}" for g in groups}),
                     _renamed_match(groups), "left").drop(*[f"_{g}" for g in groups])
     last = F.lit(2 * buckets + 1)
-    bucketed = keyed.withColumn("_bucket", F.coalesce(_bucket_below(F.col(value), F.col("_cuts")), last)).drop("_cuts")
+    bucketed = keyed.withColumn("_bucket", F.coalesce(_bucket_below(F.col(value), F.col("_cuts"), buckets), last)).drop("_cuts")
 
     extra = sorted({c for more in ranks.values() for c in more})
     counts = stage(bucketed.groupBy(*groups, *extra, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "bucket-counts")
@@ -152,11 +160,12 @@ class _Piece:
 
 def _pieces(numbers: DataFrame, low: float | None, high: float | None, start: int, buckets: int) -> list[_Piece]:
     part = numbers.filter(_Piece(low, high, None, 0, 0).holds(F.col("_v")))
-    cuts = sorted(part.agg(_cut_points(F.col("_v"), buckets)).first()[0] or [])
+    cuts = part.agg(_cut_points(F.col("_v"), buckets)).first()[0]
     if not cuts:
         return []
     points = F.array(*[F.lit(c) for c in cuts])
-    counts = dict(part.groupBy(_bucket_below(F.col("_v"), points)).agg(F.count(F.lit(1))).collect())
+    counts = dict(part.groupBy(_bucket_below(F.col("_v"), points, buckets)).agg(F.count(F.lit(1))).collect())
+    cuts = cuts[::-1]
     found = []
     for i in range(len(cuts) + 1):
         left, right = (cuts[i - 1] if i else low), (cuts[i] if i < len(cuts) else high)

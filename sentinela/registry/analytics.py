@@ -96,7 +96,8 @@ SELECT cd_geocode, nm_municipio, nm_mesorregiao, vl_populacao AS populacao, vl_r
        adj * 0.5 + inc / max(inc) OVER () * 0.5 AS pontuacao_risco
 FROM hot ORDER BY pontuacao_risco DESC, cd_geocode LIMIT 20""")
 def _(t):
-    return ranking.risk_template(stage(burden(t), "ranking"), "Dengue", YEAR)
+    chosen = burden(t).filter((F.col("ds_doenca") == DISEASE) & (F.col("nr_ano_epi") == YEAR))
+    return ranking.risk_template(stage(chosen, "ranking"), "Dengue", YEAR)
 
 
 @query("size_class", """

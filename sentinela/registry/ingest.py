@@ -204,9 +204,9 @@ def _(t):
     return coerce_numeric(text, ["value", "no_such_column"], fill=0.0)
 
 
-@query("lit_date", "SELECT r_regionkey, r_name, DATE '2026-03-09' AS dt_carga FROM region")
+@query("lit_date", "SELECT o_orderkey, DATE '2026-03-09' AS dt_carga FROM orders")
 def _(t):
-    return add_literal_date(t.region, LiteralColumn("dt_carga", "dd/MM/yyyy", value="09/03/2026"))
+    return add_literal_date(t.orders.select("o_orderkey"), LiteralColumn("dt_carga", "dd/MM/yyyy", value="09/03/2026"))
 
 
 def _with_edges(lines: DataFrame, header: str | None, footer: str | None) -> DataFrame:

@@ -24,6 +24,8 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", com
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
     observed, counted = _counted(df)
+    if partition_by:
+        observed = observed.hint("rebalance", *partition_by)
     observed.write.partitionBy(*(partition_by or [])).parquet(path)
     return counted.get["rows"]
 

@@ -29,6 +29,16 @@ def in_table_order(df: DataFrame, table: str) -> DataFrame:
     return df.select(*df.sparkSession.table(table).columns)
 
 
+def rebalanced(df: DataFrame, table: str) -> DataFrame:
+    """Gather the rows of each table partition, so that no task writes a file into all of them.
+
+    The rebalance hint lets Spark split a partition that holds much of the data over several
+    tasks and put small ones together.
+    """
+    keys = [c.name for c in df.sparkSession.catalog.listColumns(table) if c.isPartition]
+    return df.hint("rebalance", *keys) if keys else df
+
+
 def insert_into(df: DataFrame, table: str, mode: str = "append", partitions: str = "dynamic",
                 merge_sql: str | None = None) -> None:
     """Append, overwrite, or let a given SQL statement write the rows (seen as ``source_table``).
@@ -44,10 +54,10 @@ def insert_into(df: DataFrame, table: str, mode: str = "append", partitions: str
         ordered.createOrReplaceTempView("source_table")
         spark.sql(merge_sql)
     elif mode == "append":
-        ordered.write.mode("append").insertInto(table)
+        rebalanced(ordered, table).write.mode("append").insertInto(table)
     elif mode == "overwrite":
         with partition_overwrite(spark, partitions):
-            ordered.write.mode("overwrite").insertInto(table)
+            rebalanced(ordered, table).write.mode("overwrite").insertInto(table)
     else:
         raise ValueError(f"unsupported write mode {mode!r}")
 

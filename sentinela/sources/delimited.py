@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sentinela.sources.lines import drop_edge_lines, header_line
+from sentinela.staging import broadcast_if_small
+
 
 def align_header(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Upper-case names in the expected order; absent columns become NULL, others are dropped."""
@@ -47,37 +51,40 @@ def read_delimited(
     return read_aligned(spark, path, names, sep, encoding, **options)
 
 
-def _files_by_header(spark: SparkSession, path: str | list[str], encoding: str) -> list[list[str]]:
-    first_lines = (
-        spark.read.options(encoding=encoding).text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("position"))
-        .filter("block = 0")
-        .groupBy("file").agg(F.min_by("value", "position").alias("header"))
-        .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-        .orderBy("header")
-    )
-    return [row["files"] for row in first_lines.collect()]
-
-
 def read_aligned(spark: SparkSession, path: str | list[str], names: Iterable[str], sep: str = ",",
                  encoding: str = "UTF-8", **options: str) -> DataFrame:
-    """Read files whose headers may differ in order or content.
+    """Read files whose headers may differ in order or content; columns in upper case.
 
-    One read over all of them would bind the later files by the first one's positions. The
-    header lines are looked at first (only file names reach the driver, as in any listing);
-    files sharing a header are then read together, one scan per distinct header.
+    The plain reader binds every file by the first one's header. It is used when all headers
+    are equal. Otherwise each line is parsed next to its own file's header, in one scan.
     """
-    names = list(names)
-    groups = _files_by_header(spark, path, encoding)
-    if not groups:
+    names = [n.upper() for n in names]
+    headers = header_line(spark, path, 0, encoding)
+    kinds = [row[0] for row in headers.select("_line").distinct().limit(2).collect()]
+    if not kinds:
         raise ValueError(f"no data files in {path}")
-    frames = [
-        align_header(spark.read.options(sep=sep, encoding=encoding, header=True, **options).csv(files), names)
-        for files in groups
-    ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    if len(kinds) == 1:
+        reader = spark.read.options(sep=sep, encoding=encoding, header=True, **options)
+        return align_header(reader.csv(path), names)
+    return _read_by_own_header(spark, path, names, headers, sep, encoding, options)
+
+
+def _read_by_own_header(spark: SparkSession, path: str | list[str], names: list[str], headers: DataFrame,
+                        sep: str, encoding: str, options: dict[str, str]) -> DataFrame:
+    parse = {"sep": sep, "mode": "PERMISSIVE", **options}
+    separators = F.length(F.regexp_replace("_line", "[^" + re.escape(sep) + "]", ""))
+    width = headers.agg(F.max(separators)).first()[0] + 1
+    places = [f"c{i}" for i in range(width)]
+    row_type = ", ".join(f"{p} string" for p in places)
+
+    def cells(c: Column) -> Column:
+        parsed = F.from_csv(c, row_type, parse)
+        return F.array(*[parsed[p] for p in places])
+
+    titled = broadcast_if_small(headers).select(
+        "_file", F.transform(cells(F.col("_line")), lambda h: F.upper(F.trim(h))).alias("_titles"))
+    lines = drop_edge_lines(spark, path, header=True, encoding=encoding).filter(F.trim("value") != "")
+    rows = lines.withColumn("_cells", cells(F.col("value"))).join(titled, "_file")
+    return rows.select(*[
+        F.try_element_at("_cells", F.nullif(F.array_position("_titles", F.lit(n)).cast("int"), F.lit(0))).alias(n)
+        for n in names])

@@ -6,60 +6,70 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sentinela.config import LiteralColumn
 from sentinela.functions.text import slice_text
+from sentinela.staging import broadcast_if_small, stage
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """One row per line, in the column ``value``."""
-    return spark.read.options(encoding=encoding).text(path)
+    return _decoded(spark.read.text(path), encoding)
 
 
-def _positioned(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
+    """The text reader keeps a line's bytes as they are; other encodings are decoded here."""
+    if encoding.upper().replace("-", "") == "UTF8":
+        return lines
+    return lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+
+
+def positioned_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """Lines with their file, the byte offset of their split and their place in the task's scan.
 
     Rows of one split keep file order, so (offset, place) orders the lines of a file without
     bringing the file into one task.
     """
-    return read_lines(spark, path, encoding).select(
+    lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("place")).alias("_at"),
     )
+    return _decoded(lines, encoding)
 
 
 def drop_edge_lines(spark: SparkSession, path: str | list[str], header: bool = False, footer: bool = False,
                     encoding: str = "UTF-8") -> DataFrame:
-    """Lines without the first and/or last line of each file.
+    """Lines without the first and/or last line of each file. Columns: ``value``, ``_file``.
 
-    The edges are one row per file from a map-side minimum and maximum; lines then look their
-    own file up. Columns: ``value``, ``_file``.
+    The edges are one row per file from a map-side minimum and maximum. They are staged, so
+    that the lines themselves need no shuffle to look their file up.
     """
-    lines = _positioned(spark, path, encoding)
+    lines = positioned_lines(spark, path, encoding)
     if not (header or footer):
         return lines.drop("_at")
-    edges = lines.groupBy("_file").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    edges = stage(lines.groupBy("_file").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")), "edges")
     keep = F.lit(True)
     if header:
         keep = keep & (F.col("_at") != F.col("_first"))
     if footer:
         keep = keep & (F.col("_at") != F.col("_last"))
-    return lines.join(edges, "_file").filter(keep).select("value", "_file")
+    return lines.join(broadcast_if_small(edges), "_file").filter(keep).select("value", "_file")
 
 
-def header_line(spark: SparkSession, path: str | list[str], line: int, encoding: str = "UTF-8") -> DataFrame:
-    """Line number ``line`` (0-based) of every file, as ``_file``, ``_line``.
+def header_line(spark: SparkSession, path: str | list[str], line: int = 0, encoding: str = "UTF-8") -> DataFrame:
+    """Line number ``line`` (0-based) of every file, as ``_file``, ``_line``; staged, one row per file.
 
     Only the files' first splits are ranked, and the rank limit is applied before the shuffle.
     """
     order = Window.partitionBy("_file").orderBy("_at")
-    return (
-        _positioned(spark, path, encoding)
+    found = (
+        positioned_lines(spark, path, encoding)
         .filter("_at.block = 0")
         .withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= line + 1)
         .filter(F.col("_n") == line + 1)
         .select("_file", F.col("value").alias("_line"))
     )
+    return stage(found, "header-lines")
 
 
 def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:
@@ -72,7 +82,7 @@ def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:
 def add_date_from_line(df: DataFrame, spark: SparkSession, path: str | list[str], literal: LiteralColumn,
                        encoding: str = "UTF-8") -> DataFrame:
     """Date cut out of a header line of the file each row came from (``_file``)."""
-    cut = header_line(spark, path, literal.line, encoding).select(
+    cut = broadcast_if_small(header_line(spark, path, literal.line, encoding)).select(
         "_file",
         F.try_to_date(slice_text(F.col("_line"), literal.start, literal.end), literal.mask).alias(literal.name),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL_ROOT: dict[str, str] = {}
 
@@ -43,3 +43,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(staged: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Hint a broadcast for a staged table of narrow rows, but only after counting it.
+
+    The count comes from the file footers. A larger table is left to Spark's own choice,
+    which then is a shuffled join.
+    """
+    return F.broadcast(staged) if staged.count() <= max_rows else staged
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application staged; call it when no staged frame is needed any more."""
+    folder = f"{scratch_root(spark)}/sentinela/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
