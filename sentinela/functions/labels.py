@@ -30,8 +30,8 @@ def alert_name(level: Column) -> Column:
     return lookup(level.cast("int"), ALERT_NAMES, F.lit("desconhecido"))
 
 
-def alert_title(level: Column) -> Column:
-    return lookup(level.cast("int"), ALERT_TITLES, F.lit(ALERT_TITLES[1]))
+def alert_title(level: Column, default: Column | None = None) -> Column:
+    return lookup(level.cast("int"), ALERT_TITLES, F.lit(ALERT_TITLES[1]) if default is None else default)
 
 
 def disease_name(code: Column) -> Column:

@@ -18,6 +18,14 @@ CURRENT_COLUMNS = [
 LEVEL_COLUMNS = {1: "green_count", 2: "yellow_count", 3: "orange_count", 4: "red_count"}
 
 
+def _total(column: str) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
+
+
+def _mean(column: str) -> Column:
+    return F.coalesce(stable_avg(F.col(column)), F.lit(0.0))
+
+
 def _count_where(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
@@ -47,9 +55,9 @@ def comparative_alerts(weekly: DataFrame) -> DataFrame:
 def mesoregion_summary(weekly: DataFrame, disease: str) -> DataFrame:
     return (
         latest_week(weekly, disease).groupBy("nm_mesorregiao").agg(
-            F.sum("vl_casos").alias("total_cases"),
-            F.coalesce(stable_avg(F.col("vl_rt")), F.lit(0.0)).alias("avg_rt"),
-            F.max("nr_nivel_alerta").alias("max_alert_level"),
+            _total("vl_casos").alias("total_cases"),
+            _mean("vl_rt").alias("avg_rt"),
+            F.coalesce(F.max("nr_nivel_alerta"), F.lit(0)).alias("max_alert_level"),
             _count_where(F.col("nr_nivel_alerta") >= 3).alias("municipalities_high_alert"),
             F.count_distinct("cd_geocode").alias("total_municipalities"),
             _count_where(F.col("fl_epidemia") == 1).alias("municipalities_epidemic"),
@@ -62,8 +70,8 @@ def kpi_trends(weekly: DataFrame, disease: str, weeks: int = 8) -> DataFrame:
     """Figures of the last weeks, newest first."""
     return (
         weekly.filter(F.col("ds_doenca") == disease).groupBy(WEEK).agg(
-            F.sum("vl_casos").alias("total_cases"),
-            F.coalesce(stable_avg(F.col("vl_rt")), F.lit(0.0)).alias("avg_rt"),
+            _total("vl_casos").alias("total_cases"),
+            _mean("vl_rt").alias("avg_rt"),
             _count_where(F.col("fl_epidemia") == 1).alias("municipalities_epidemic"),
             percent_or_zero(_count_where(F.col("nr_nivel_alerta") == 1), F.count(F.lit(1))).alias("pct_green"),
         )
@@ -76,7 +84,7 @@ def overview_kpis(weekly: DataFrame, disease: str) -> DataFrame:
     share = percent_or_zero(F.col("green"), F.col("total_municipalities"))
     return (
         latest_week(weekly, disease).agg(
-            F.coalesce(F.sum("vl_casos"), F.lit(0)).alias("total_cases"),
+            _total("vl_casos").alias("total_cases"),
             F.count(F.lit(1)).alias("total_municipalities"),
             F.round(stable_avg(F.col("vl_rt")), 2).alias("avg_rt"),
             _count_where(F.col("fl_epidemia") == 1).alias("municipalities_in_epidemic"),
@@ -106,7 +114,7 @@ def alert_level_counts(current: DataFrame) -> DataFrame:
     return (
         current.filter(F.col("nr_nivel_alerta").isNotNull()).groupBy("nr_nivel_alerta")
         .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("label", alert_title(F.col("nr_nivel_alerta")))
+        .withColumn("label", alert_title(F.col("nr_nivel_alerta"), F.col("nr_nivel_alerta").cast("string")))
         .orderBy("nr_nivel_alerta")
     )
 
@@ -123,9 +131,9 @@ def weekly_series(weekly: DataFrame, disease: str, year: int) -> DataFrame:
     return (
         weekly.filter((F.col("ds_doenca") == disease) & (F.col("nr_ano_epi") == year))
         .groupBy(F.col(WEEK).alias("week_date"), F.col("nr_semana_epi").alias("week_num")).agg(
-            F.sum("vl_casos").alias("total_cases"),
-            stable_sum(F.col("vl_casos_estimados")).alias("estimated_cases"),
-            F.coalesce(stable_avg(F.col("vl_rt")), F.lit(0.0)).alias("avg_rt"),
+            _total("vl_casos").alias("total_cases"),
+            F.coalesce(stable_sum(F.col("vl_casos_estimados")), F.lit(0.0)).alias("estimated_cases"),
+            _mean("vl_rt").alias("avg_rt"),
             *[_count_where(F.col("nr_nivel_alerta") == level).alias(name) for level, name in LEVEL_COLUMNS.items()],
             F.count_distinct("cd_geocode").alias("municipalities"),
         )

@@ -14,11 +14,9 @@ from sentinela.operators.quality import run_suite
 from sentinela.sinks.runlog import RunLog
 from sentinela.sinks.tables import SQL_WRITES, insert_into, upsert_into
 from sentinela.sources.catalog import run_sql_model
-from sentinela.sources.delimited import read_delimited
+from sentinela.sources.delimited import read_delimited, read_without_edges
 from sentinela.sources.json import read_json
-from sentinela.sources.lines import (
-    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines,
-)
+from sentinela.sources.lines import add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines
 from sentinela.sources.partitions import ingestion_path
 from sentinela.staging import stage
 
@@ -31,31 +29,27 @@ def read_bronze(spark: SparkSession, spec: IngestSpec, path: str, variables: dic
     literal = spec.literal.resolve(variables or {}) if spec.literal else None
     names = [c.source for c in spec.columns]
     from_line = literal is not None and literal.line is not None
+    if from_line and spec.ext == "json":
+        raise ValueError("a date cannot be cut from a line of a JSON document")
     if spec.ext == "json":
         df = read_json(spark, path, explode_column=spec.explode_column, encoding=spec.encoding, **options)
-    elif spec.ext == "txt" or (spec.ext == "csv" and (spec.skip_header or spec.skip_footer or from_line)):
-        lines = drop_edge_lines(spark, path, spec.skip_header, spec.skip_footer, spec.encoding)
-        if from_line:
-            lines = add_date_from_line(lines, spark, path, literal, spec.encoding)
-        df = _split_lines(lines, spec, names)
+    elif spec.ext == "txt":
+        lines = drop_edge_lines(spark, path, int(spec.skip_header), spec.skip_footer, spec.encoding)
+        df = cut_fixed_width(lines, list(spec.layout), spec.positional) if spec.layout else lines
     elif spec.ext == "csv":
         align = str(options.pop("normalize_schema", False)).lower() == "true"
-        df = read_delimited(spark, path, names, spec.header, spec.sep, spec.encoding, align, **options)
+        if spec.skip_header or spec.skip_footer or from_line:
+            df = read_without_edges(spark, path, names, spec.header, spec.sep, spec.encoding, spec.skip_header,
+                                    spec.skip_footer, **options)
+        else:
+            df = read_delimited(spark, path, names, spec.header, spec.sep, spec.encoding, align, **options)
     else:
         raise ValueError(f"unsupported extension {spec.ext!r}; supported are {EXTENSIONS}")
-    return add_literal_date(df, literal) if literal is not None and not from_line else df
-
-
-def _split_lines(lines: DataFrame, spec: IngestSpec, names: list[str]) -> DataFrame:
-    rest = [c for c in lines.columns if c not in ("value", "_file")]
-    if spec.ext == "txt":
-        if not spec.layout:
-            return lines.drop("_file")
-        return cut_fixed_width(lines.drop("_file"), list(spec.layout), spec.positional)
-    if not spec.sep:
-        raise ValueError("a delimited file needs a separator")
-    row = ", ".join(f"`{n}` string" for n in names)
-    return lines.select(F.from_csv("value", row, {"sep": spec.sep}).alias("r"), *rest).select("r.*", *rest)
+    if from_line:
+        df = add_date_from_line(df, spark, path, literal, spec.encoding)
+    elif literal is not None:
+        df = add_literal_date(df, literal)
+    return df.drop("_file")
 
 
 def bronze_to_silver(

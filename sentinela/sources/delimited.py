@@ -66,25 +66,43 @@ def read_aligned(spark: SparkSession, path: str | list[str], names: Iterable[str
     if len(kinds) == 1:
         reader = spark.read.options(sep=sep, encoding=encoding, header=True, **options)
         return align_header(reader.csv(path), names)
-    return _read_by_own_header(spark, path, names, headers, sep, encoding, options)
+    return _read_by_own_header(spark, path, names, headers, sep, encoding, options).drop("_file")
 
 
 def _read_by_own_header(spark: SparkSession, path: str | list[str], names: list[str], headers: DataFrame,
-                        sep: str, encoding: str, options: dict[str, str]) -> DataFrame:
-    parse = {"sep": sep, "mode": "PERMISSIVE", **options}
+                        sep: str, encoding: str, options: dict[str, str], skip_first: bool = False,
+                        skip_last: bool = False) -> DataFrame:
     separators = F.length(F.regexp_replace("_line", "[^" + re.escape(sep) + "]", ""))
     width = headers.agg(F.max(separators)).first()[0] + 1
+    titles = F.transform(_cells(F.col("_line"), width, sep, options), lambda h: F.upper(F.trim(h)))
+    titled = broadcast_if_small(headers).select("_file", titles.alias("_titles"))
+    lines = drop_edge_lines(spark, path, 2 if skip_first else 1, skip_last, encoding).filter(F.trim("value") != "")
+    rows = lines.withColumn("_cells", _cells(F.col("value"), width, sep, options)).join(titled, "_file")
+    return rows.select(*[
+        F.try_element_at("_cells", F.nullif(F.array_position("_titles", F.lit(n)).cast("int"), F.lit(0))).alias(n)
+        for n in names], "_file")
+
+
+def _cells(c: Column, width: int, sep: str, options: dict[str, str]) -> Column:
     places = [f"c{i}" for i in range(width)]
-    row_type = ", ".join(f"{p} string" for p in places)
+    parsed = F.from_csv(c, ", ".join(f"{p} string" for p in places), {"sep": sep, **options})
+    return F.array(*[parsed[p] for p in places])
 
-    def cells(c: Column) -> Column:
-        parsed = F.from_csv(c, row_type, parse)
-        return F.array(*[parsed[p] for p in places])
 
-    titled = broadcast_if_small(headers).select(
-        "_file", F.transform(cells(F.col("_line")), lambda h: F.upper(F.trim(h))).alias("_titles"))
-    lines = drop_edge_lines(spark, path, header=True, encoding=encoding).filter(F.trim("value") != "")
-    rows = lines.withColumn("_cells", cells(F.col("value"))).join(titled, "_file")
-    return rows.select(*[
-        F.try_element_at("_cells", F.nullif(F.array_position("_titles", F.lit(n)).cast("int"), F.lit(0))).alias(n)
-        for n in names])
+def read_without_edges(spark: SparkSession, path: str | list[str], names: Iterable[str], header: bool, sep: str | None,
+                       encoding: str = "UTF-8", skip_first: bool = False, skip_last: bool = False,
+                       **options: str) -> DataFrame:
+    """Delimited rows without the first and/or last data line of each file, all text, plus ``_file``.
+
+    A header line is not a data line: it names the columns and goes as well.
+    """
+    if not sep:
+        raise ValueError("a delimited file needs a separator")
+    names = list(names)
+    if header:
+        headers = header_line(spark, path, 0, encoding)
+        return _read_by_own_header(spark, path, [n.upper() for n in names], headers, sep, encoding, options,
+                                   skip_first, skip_last)
+    lines = drop_edge_lines(spark, path, int(skip_first), skip_last, encoding).filter(F.trim("value") != "")
+    cells = _cells(F.col("value"), len(names), sep, options)
+    return lines.select(*[cells[i].alias(n) for i, n in enumerate(names)], "_file")

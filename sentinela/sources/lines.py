@@ -36,40 +36,40 @@ def positioned_lines(spark: SparkSession, path: str | list[str], encoding: str =
     return _decoded(lines, encoding)
 
 
-def drop_edge_lines(spark: SparkSession, path: str | list[str], header: bool = False, footer: bool = False,
+def drop_edge_lines(spark: SparkSession, path: str | list[str], header: int = 0, footer: bool = False,
                     encoding: str = "UTF-8") -> DataFrame:
-    """Lines without the first and/or last line of each file. Columns: ``value``, ``_file``.
+    """Lines without the first ``header`` lines and, on request, the last line of each file.
 
-    The edges are one row per file from a map-side minimum and maximum. They are staged, so
+    Columns: ``value``, ``_file``. The edges are one row per file from a map-side minimum and
+    maximum; leading lines are looked for in a file's first split. The edges are staged, so
     that the lines themselves need no shuffle to look their file up.
     """
     lines = positioned_lines(spark, path, encoding)
     if not (header or footer):
         return lines.drop("_at")
-    edges = stage(lines.groupBy("_file").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")), "edges")
+    edges = lines.groupBy("_file").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    if header > 1:
+        leading = _leading(lines, int(header)).groupBy("_file").agg(F.max("_at").alias("_first"))
+        edges = edges.drop("_first").join(leading, "_file")
     keep = F.lit(True)
     if header:
-        keep = keep & (F.col("_at") != F.col("_first"))
+        keep = keep & (F.col("_at") > F.col("_first"))
     if footer:
         keep = keep & (F.col("_at") != F.col("_last"))
-    return lines.join(broadcast_if_small(edges), "_file").filter(keep).select("value", "_file")
+    return lines.join(broadcast_if_small(stage(edges, "edges")), "_file").filter(keep).select("value", "_file")
 
 
-def header_line(spark: SparkSession, path: str | list[str], line: int = 0, encoding: str = "UTF-8") -> DataFrame:
-    """Line number ``line`` (0-based) of every file, as ``_file``, ``_line``; staged, one row per file.
-
-    Only the files' first splits are ranked, and the rank limit is applied before the shuffle.
-    """
+def _leading(lines: DataFrame, count: int) -> DataFrame:
+    """The first lines of every file. Only first splits are ranked, and Spark applies the rank
+    limit before the shuffle."""
     order = Window.partitionBy("_file").orderBy("_at")
-    found = (
-        positioned_lines(spark, path, encoding)
-        .filter("_at.block = 0")
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= line + 1)
-        .filter(F.col("_n") == line + 1)
-        .select("_file", F.col("value").alias("_line"))
-    )
-    return stage(found, "header-lines")
+    return lines.filter("_at.block = 0").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count)
+
+
+def header_line(spark: SparkSession, path: str | list[str], line: int = 0, encoding: str = "UTF-8") -> DataFrame:
+    """Line number ``line`` (0-based) of every file, as ``_file``, ``_line``; staged, one row per file."""
+    found = _leading(positioned_lines(spark, path, encoding), line + 1).filter(F.col("_n") == line + 1)
+    return stage(found.select("_file", F.col("value").alias("_line")), "header-lines")
 
 
 def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:

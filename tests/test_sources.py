@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentinela.config import LiteralColumn
 from sentinela.operators.nested import field_or_null, flatten_alerts, flatten_municipalities, parse_population
 from sentinela.sources.catalog import run_sql_model, table_schema
-from sentinela.sources.delimited import align_header, read_aligned, read_delimited
+from sentinela.sources.delimited import align_header, read_aligned, read_delimited, read_without_edges
 from sentinela.sources.jdbc import jdbc_query_options, jdbc_split_options, jdbc_url
 from sentinela.sources.json import json_reader_options, read_json
 from sentinela.sources.lines import (
@@ -197,3 +197,12 @@ def test_flatten_alert(spark, folder):
         date(2024, 3, 22), 150, 1.2, 3)
     assert by_week[(2024, 1)]["dt_semana_epidemiologica"] is None
     assert by_week[(0, 0)]["vl_casos"] == 2 and by_week[(0, 0)]["cd_geocode"] == 35
+
+
+def test_rows_without_first_and_last_data_line(spark, folder, small_splits):
+    put(folder, "1.csv", "a;b\nunits;kg\n" + "1;x\n" * 200 + "total;200\n")
+    put(folder, "2.csv", "b;a\nkg;units\ny;2\nend;\n")
+    got = read_without_edges(spark, folder, ["a", "b"], True, ";", skip_first=True, skip_last=True).drop("_file")
+    assert dict((tuple(r)[:2], r["count"]) for r in got.groupBy("A", "B").count().collect()) == {("1", "x"): 200, ("2", "y"): 1}
+    bare = read_without_edges(spark, f"{folder}/2.csv", ["p", "q"], False, ";", skip_last=True).drop("_file")
+    assert rows(bare) == [("b", "a"), ("kg", "units"), ("y", "2")]
