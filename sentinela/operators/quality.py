@@ -210,8 +210,8 @@ def run_suite(df: DataFrame, spec: QualitySpec) -> list[dict[str, Any]]:
 
     Raises when something failed and the suite stops the job, whoever is or is not notified.
     """
-    rows = run_checks(df, spec.checks, spec.target).orderBy("position").collect()
-    outcomes = [row.asDict() for row in rows]
+    rows = run_checks(df, spec.checks, spec.target).collect()
+    outcomes = sorted((row.asDict() for row in rows), key=lambda o: o["position"])
     if spec.stop_job and any(o["status"] == "failure" for o in outcomes):
         failure = QualityFailure(f"quality checks failed for {spec.target}")
         failure.outcomes = outcomes

@@ -15,6 +15,7 @@ from sentinela.operators.casting import cast_frame, coerce_numeric
 from sentinela.operators.filters import filter_dates, filter_value
 from sentinela.operators.nested import flatten_alerts, flatten_municipalities, parse_population
 from sentinela.plans import gold
+from sentinela.plans.defaults import INGEST_PARTITION, SUITES, create_table, ingest_schema
 from sentinela.plans.jobs import bronze_to_silver, silver_to_gold
 from sentinela.registry.base import Tables, query
 from sentinela.sinks.files import land_json, write_csv, write_parquet
@@ -495,3 +496,70 @@ def _(t):
                    lambda: model)
     t.spark.sql(f"DROP TABLE gold.{table}")
     return t.spark.read.parquet(location)
+
+
+def _silver(t: Tables, table: str, bronze: str, ext: str, suffix: str, partitions: list[str]) -> tuple[str, str]:
+    """Ingest one landed table with its declared schema and checks; returns catalog name and location."""
+    name, location = f"silver.{table}_{suffix}", scratch_path(t.spark, table)
+    create_table(t.spark, name, table, location, wide=True, partitions=partitions)
+    spec = IngestSpec.parse({
+        "trgt_tbl": f"monitor_{table}", "ext": ext, "sep": ",", "bronze_path": bronze, "silver_table": name,
+        "table_schema": ingest_schema(table, wide=True), "partition_column": INGEST_PARTITION[table],
+        "options_params": {"normalize_schema": True} if ext == "csv" else {"multiline": False}, "has_bdq": True})
+    quality = QualitySpec.parse({"trgt_tbl": f"monitor_{table}", "quality_params": SUITES[table]})
+    bronze_to_silver(t.spark, spec, "2026-02-01", quality=quality)
+    return name, location
+
+
+@query("medallion_ranking", "SELECT * FROM g_ranking")
+def _(t):
+    """Landed records to silver tables to the gold ranking, every step through the two jobs."""
+    suffix = scratch_path(t.spark, "run").rsplit("-", 1)[1]
+    for database in ("silver", "gold"):
+        t.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    landed = {
+        "tb_municipios": t.municipalities,
+        "tb_populacao": t.population.withColumn("nm_municipio", F.lit("Lugar")),
+        "tb_alertas": t.alerts.withColumns({
+            "vl_casos_estimados_min": F.col("vl_casos_estimados") - 1,
+            "vl_casos_estimados_max": F.col("vl_casos_estimados") + 1, "nm_municipio": F.lit("Lugar")}),
+    }
+    silver, tables = {}, []
+    for table, records in landed.items():
+        bronze = scratch_path(t.spark, f"bronze-{table}")
+        land_json(records, bronze, "2026-02-01")
+        by = INGEST_PARTITION[table]
+        tables.append(_silver(t, table, bronze, "json", suffix, [by] if by else [])[0])
+        silver[table] = t.spark.table(tables[-1])
+    location = scratch_path(t.spark, "gold")
+    target = f"tb_ft_ranking_anual_{suffix}"
+    create_table(t.spark, f"gold.{target}", "tb_ft_ranking_anual", location, wide=True)
+    silver_to_gold(t.spark, RefineSpec.parse({"target_table": f"gold_{target}"}), lambda: gold.annual_ranking(
+        silver["tb_alertas"], silver["tb_municipios"], silver["tb_populacao"]))
+    result = t.spark.read.schema(t.spark.table(f"gold.{target}").schema).parquet(location)
+    for name in [*tables, f"gold.{target}"]:
+        t.spark.sql(f"DROP TABLE {name}")
+    narrow = {c: F.col(c).cast("int") for c in ("nr_ano_epi", "nr_max_alerta")}
+    return result.withColumns(narrow)
+
+
+@query("ingest_notifications", """
+SELECT id_agravo, dt_notific, CAST(NULL AS DATE) AS dt_sin_pri, id_municip, CAST(sg_uf AS BIGINT) AS sg_uf,
+       CAST(nu_idade_n AS BIGINT) AS nu_idade_n, nullif(cs_sexo, '') AS cs_sexo, classi_fin,
+       nullif(evolucao, '') AS evolucao FROM v_notificacoes""")
+def _(t):
+    """Delimited landings whose headers differ between diseases, one of them without a column."""
+    suffix = scratch_path(t.spark, "run").rsplit("-", 1)[1]
+    t.spark.sql("CREATE DATABASE IF NOT EXISTS silver")
+    bronze = scratch_path(t.spark, "bronze-notifications")
+    folder = f"{bronze}/ingestion_date=2026-02-01"
+    first = F.col("id_agravo") == "A90"
+    texts = t.notifications.select(*[F.col(c).cast("string").alias(c.upper()) for c in t.notifications.columns])
+    options = {"header": True, "emptyValue": ""}
+    texts.filter(first).write.options(**options).csv(folder)
+    texts.filter(~first).select(*texts.columns[::-1]).write.mode("append").options(**options).csv(folder)
+    name, stored = _silver(t, "tb_notificacoes", bronze, "csv", suffix, [])
+    result = t.spark.table(name)
+    back = t.spark.read.schema(result.schema).parquet(stored)
+    t.spark.sql(f"DROP TABLE {name}")
+    return back

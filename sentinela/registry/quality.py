@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sentinela.config import parse_schema
 from sentinela.operators import reconcile
 from sentinela.operators.quality import run_checks
+from sentinela.plans.defaults import SUITES
 from sentinela.registry.base import Tables, query
 
 
@@ -112,17 +113,6 @@ def _(t):
     return found.withColumn("test_applied", F.regexp_replace("test_applied", "'", ""))
 
 
-ALERT_CHECKS = {
-    "not_null": {"column": "cd_geocode,ds_doenca,nr_semana_epi,nr_nivel_alerta,vl_casos"},
-    "values_to_be_in_set": {
-        "column": "ds_doenca,nr_nivel_alerta,vl_receptividade,vl_transmissao", "type": "str,int,int,int",
-        "set_values": [["dengue", "chikungunya", "zika"], [1, 2, 3, 4], [0, 1, 2, 3, 4], [0, 1, 2, 3, 4]]},
-    "values_between": {"column": "nr_semana_epi,vl_casos", "min": "1,0", "max": "53,1000000"},
-    "df_count_between": {"min": 1, "max": 200000},
-    "unique_vals": {"column": "cd_geocode"},
-}
-
-
 @query("dq_suite", """
 SELECT 'monitor_tb_alertas' AS table_name, c AS column_tested, CAST(n AS BIGINT) AS unexpected_count,
        CASE WHEN n = 0 THEN 'success' ELSE 'failure' END AS status
@@ -134,10 +124,43 @@ FROM (SELECT unnest(['cd_geocode', 'ds_doenca', 'nr_semana_epi', 'nr_nivel_alert
       SELECT 'cd_geocode', sum(k) FROM (SELECT count(*) AS k FROM v_alertas GROUP BY cd_geocode HAVING count(*) > 1))
 """)
 def _(t):
-    found = run_checks(t.alerts, ALERT_CHECKS, "monitor_tb_alertas")
+    checks = {**SUITES["tb_alertas"], "unique_vals": {"column": "cd_geocode"}}
+    found = run_checks(t.alerts, checks, "monitor_tb_alertas")
     return found.select("table_name", "column_tested", "unexpected_count", "status")
 
 
+@query("dq_suite_places", """
+SELECT 'tb_municipios' AS table_name, unnest(['cd_geocode', 'nm_municipio', 'cd_geocode', 'Dataset']) AS column_tested,
+       unnest([0, 0, count(*) - count(DISTINCT cd_geocode), CAST(count(*) NOT BETWEEN 640 AND 660 AS BIGINT)])
+           AS unexpected_count
+FROM v_municipios""")
+def _(t):
+    found = run_checks(t.municipalities, SUITES["tb_municipios"], "tb_municipios")
+    return found.select("table_name", "column_tested", "unexpected_count")
+
+
+@query("dq_suite_population", """
+SELECT 'tb_populacao' AS table_name, c AS column_tested, CAST(n AS BIGINT) AS unexpected_count
+FROM (SELECT unnest(['cd_geocode', 'vl_populacao', 'Dataset', 'vl_populacao']) AS c,
+             unnest([0, 0, CAST(count(*) NOT BETWEEN 640 AND 660 AS BIGINT),
+                     count(*) FILTER (WHERE vl_populacao NOT BETWEEN 100 AND 15000000)]) AS n FROM v_populacao
+      UNION ALL
+      SELECT 'cd_geocode', coalesce(sum(k), 0)
+      FROM (SELECT count(*) AS k FROM v_populacao GROUP BY cd_geocode HAVING count(*) > 1))""")
+def _(t):
+    found = run_checks(t.population, SUITES["tb_populacao"], "tb_populacao")
+    return found.select("table_name", "column_tested", "unexpected_count")
+
+
+@query("dq_suite_notifications", """
+SELECT 'tb_notificacoes' AS table_name, unnest(['id_agravo', 'dt_notific', 'id_municip', 'dataset']) AS column_tested,
+       unnest([0, 0, 0, CAST(count(*) NOT BETWEEN 1000 AND 50000000 AS BIGINT)]) AS unexpected_count
+FROM v_notificacoes""")
+def _(t):
+    found = run_checks(t.notifications, SUITES["tb_notificacoes"], "tb_notificacoes")
+    return found.select("table_name", F.lower("column_tested").alias("column_tested"), "unexpected_count")
+
+
 def _perturbed_orders(t: Tables) -> DataFrame:
     """A copy from another system: padded text, one status missing, one priority repriced."""
     return t.orders.filter(F.col("o_orderstatus") != "P").select(
