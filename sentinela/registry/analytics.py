@@ -61,11 +61,10 @@ def _(t):
 
 
 @query("priority_by_region", """
-SELECT nm_mesorregiao, nm_municipio, round(sum(vl_prioridade), 8) AS vl_prioridade
+SELECT nm_mesorregiao, nm_municipio, CAST(sum(CAST(vl_prioridade AS DECIMAL(28,10))) AS DOUBLE) AS vl_prioridade
 FROM g_scored WHERE nm_mesorregiao IS NOT NULL AND nm_municipio IS NOT NULL GROUP BY ALL""")
 def _(t):
-    return ranking.priority_by_region(ranking.with_priority(year(t))).withColumn(
-        "vl_prioridade", F.round("vl_prioridade", 8))
+    return ranking.priority_by_region(ranking.with_priority(year(t)))
 
 
 @query("ranking_by_mesoregion", """
@@ -241,10 +240,10 @@ def _(t):
 
 
 @query("approx_percentile", """
-SELECT quantile_disc(l_quantity, 0.25) AS p25, quantile_disc(l_quantity, 0.5) AS p50,
-       quantile_disc(l_quantity, 0.9) AS p90 FROM lineitem""")
+SELECT quantile_disc(l_quantity, 0.25) AS p25, quantile_disc(l_quantity, 0.75) AS p75,
+       quantile_disc(l_quantity, 0.95) AS p95 FROM lineitem""")
 def _(t):
-    return aggregates.percentiles_approx(t.lineitem, "l_quantity", {"p25": 0.25, "p50": 0.5, "p90": 0.9})
+    return aggregates.percentiles_approx(t.lineitem, "l_quantity", {"p25": 0.25, "p75": 0.75, "p95": 0.95})
 
 
 @query("epi_week_range", """

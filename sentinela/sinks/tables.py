@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentinela.staging import stage
 
@@ -35,7 +36,7 @@ def rebalanced(df: DataFrame, table: str) -> DataFrame:
     The rebalance hint lets Spark split a partition that holds much of the data over several
     tasks and put small ones together.
     """
-    keys = [c.name for c in df.sparkSession.catalog.listColumns(table) if c.isPartition]
+    keys = partition_columns(df.sparkSession, table)
     return df.hint("rebalance", *keys) if keys else df
 
 
@@ -67,11 +68,38 @@ def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
     return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
 
 
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def _in_partitions(df: DataFrame, chosen: DataFrame, keys: list[str], listed: int = 200) -> DataFrame:
+    """Rows in the chosen partitions. A short list prunes the scan by literals."""
+    found = chosen.limit(listed + 1).collect()
+    if len(found) > listed:
+        same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(chosen[k]) for k in keys])
+        return df.join(chosen, same, "left_semi")
+    hit = F.lit(False)
+    for row in found:
+        hit = hit | reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys])
+    return df.filter(hit)
+
+
 def upsert_into(source: DataFrame, table: str, keys: list[str]) -> None:
     """Upsert for tables whose format has no MERGE.
 
-    The result is staged first: a table must not be overwritten while it is being read.
+    Only partitions that hold a replaced row or receive a new one are rewritten. Should one of
+    them end up empty, the whole table is rewritten, since an overwrite cannot empty a single
+    partition. The result is staged first: a table must not be overwritten while it is read.
     """
     spark = source.sparkSession
-    merged = stage(upserted(spark.table(table), in_table_order(source, table), keys), "upsert")
+    rows = stage(in_table_order(source, table), "upsert-source")
+    target = spark.table(table)
+    by = partition_columns(spark, table)
+    if by:
+        replaced = target.join(rows.select(*keys), keys, "left_semi").select(*by)
+        touched = stage(replaced.union(rows.select(*by)).distinct(), "touched")
+        merged = stage(upserted(_in_partitions(target, touched, by), rows, keys), "upsert")
+        if merged.select(*by).distinct().count() == touched.count():
+            return insert_into(merged, table, "overwrite", partitions="dynamic")
+    merged = stage(upserted(target, rows, keys), "upsert")
     insert_into(merged, table, "overwrite", partitions="static")

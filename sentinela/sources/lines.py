@@ -47,7 +47,12 @@ def drop_edge_lines(spark: SparkSession, path: str | list[str], header: int = 0,
     lines = positioned_lines(spark, path, encoding)
     if not (header or footer):
         return lines.drop("_at")
-    edges = lines.groupBy("_file").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    # Per split first, on plain numbers; one row per split is left for the comparison of structs.
+    splits = lines.groupBy("_file", F.col("_at.block").alias("block")).agg(
+        F.min("_at.place").alias("low"), F.max("_at.place").alias("high"))
+    edges = splits.groupBy("_file").agg(
+        F.min(F.struct("block", F.col("low").alias("place"))).alias("_first"),
+        F.max(F.struct("block", F.col("high").alias("place"))).alias("_last"))
     if header > 1:
         leading = _leading(lines, int(header)).groupBy("_file").agg(F.max("_at").alias("_first"))
         edges = edges.drop("_first").join(leading, "_file")

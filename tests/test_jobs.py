@@ -9,7 +9,7 @@ from sentinela.plans.jobs import bronze_to_silver, silver_to_gold
 from sentinela.sinks.files import dated_path, land_json, write_csv, write_parquet
 from sentinela.sinks.jdbc import jdbc_write_options
 from sentinela.sinks.runlog import RunLog, read_runs
-from sentinela.sinks.tables import OVERWRITE_MODE, insert_into
+from sentinela.sinks.tables import OVERWRITE_MODE, insert_into, upsert_into
 from sentinela.staging import broadcast_if_small, scratch_root, stage
 from tests.conftest import rows
 
@@ -124,6 +124,34 @@ def test_upsert_mode(spark, folder, table):
     assert sorted((r[3], r[1]) for r in rows(spark.table(table))) == [(1, 1.5), (2, 7.0), (9, 1.0)]
 
 
+def _upsert(spark, folder, table, changes, columns="cd_geocode int, ds_doenca string, vl_rt double"):
+    """A table partitioned by disease, and the rows it has after an upsert by code."""
+    name = table + "_u"
+    spark.sql(f"CREATE TABLE {name} (cd_geocode INT, vl_rt DOUBLE, ds_doenca STRING) USING parquet "
+              f"PARTITIONED BY (ds_doenca) LOCATION '{folder}/u'")
+    try:
+        start = [(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0), (4, None, 4.0), (5, "c", 5.0)]
+        insert_into(spark.createDataFrame(start, columns), name, "append")
+        untouched = sorted(os.listdir(f"{folder}/u/ds_doenca=c"))
+        upsert_into(spark.createDataFrame(changes, columns), name, ["cd_geocode"])
+        kept = sorted(os.listdir(f"{folder}/u/ds_doenca=c")) == untouched
+        return rows(spark.table(name), "cd_geocode", "ds_doenca", "vl_rt"), kept
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_upsert_rewrites_only_touched_partitions(spark, folder, table):
+    got, kept = _upsert(spark, folder, table, [(2, "b", 9.0), (4, None, 8.0), (6, "d", 6.0)])
+    assert got == [(1, "a", 1.0), (2, "b", 9.0), (3, "b", 3.0), (4, None, 8.0), (5, "c", 5.0), (6, "d", 6.0)]
+    assert kept
+
+
+def test_upsert_that_empties_a_partition(spark, folder, table):
+    got, kept = _upsert(spark, folder, table, [(3, "a", 7.0)])
+    assert got == [(1, "a", 1.0), (2, "a", 2.0), (3, "a", 7.0), (4, None, 4.0), (5, "c", 5.0)]
+    assert not kept
+
+
 def test_write_left_to_sql(spark, folder, table):
     df = spark.sql("SELECT 5 AS cd_geocode, 'x' AS ds_doenca, DATE '2026-01-01' AS dt_semana, 1D AS vl_rt")
     insert_into(df, table, "iceberg", merge_sql=f"INSERT INTO {table} SELECT * FROM source_table")
