@@ -18,6 +18,7 @@ from sentinela.staging import stage
 
 BUCKETS = 128
 SALTS = 64
+SMALL_ROWS = 2_000_000
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -57,14 +58,21 @@ def rank_descending(
     ranks: dict[str, list[str]],
     salt_on: list[str],
     buckets: int = BUCKETS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Add ``RANK() OVER (PARTITION BY groups [+ more] ORDER BY value DESC NULLS LAST)`` columns.
 
     ``ranks`` maps each output column to the columns that partition it beyond ``groups``; one
-    set of cut points per group serves them all. ``df`` should be a staged table: it is read
-    three times. The cut points and bucket counts are staged as well, so that their true
-    size decides whether they are broadcast.
+    set of cut points per group serves them all. ``df`` should be a staged table: it is counted
+    first, and a table of at most ``small_rows`` rows is ranked by plain windows, no group of
+    which can be larger than that. Beyond it, ``df`` is read three times; the cut points and
+    bucket counts are staged, so that their true size decides whether they are broadcast.
     """
+    falling = F.col(value).desc_nulls_last()
+    if df.count() <= small_rows:
+        return df.withColumns({
+            output: F.rank().over(Window.partitionBy(*groups, *more).orderBy(falling)).cast("bigint")
+            for output, more in ranks.items()})
     cuts = stage(df.groupBy(*groups).agg(_cut_points(F.col(value), buckets).alias("_cuts")), "cuts")
     keyed = df.join(cuts.withColumnsRenamed({g: f"_{g}" for g in groups}),
                     _renamed_match(groups), "left").drop(*[f"_{g}" for g in groups])
@@ -86,7 +94,7 @@ def rank_descending(
             .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
             .select(*[F.col(k).alias(f"_{k}") for k in [*keys, "_bucket"]], "_start")
         )
-        inside = Window.partitionBy(*keys, "_bucket", "_salt").orderBy(F.col(value).desc_nulls_last())
+        inside = Window.partitionBy(*keys, "_bucket", "_salt").orderBy(falling)
         salted = (
             salted.withColumn(output, F.rank().over(inside))
             .join(starts, _renamed_match([*keys, "_bucket"]), "left")
@@ -109,17 +117,22 @@ def exact_percentiles(
     value: str,
     percentiles: dict[str, float],
     buckets: int = BUCKETS,
-    leaf_rows: int = 2_000_000,
+    leaf_rows: int = SMALL_ROWS,
+    small_rows: int = 100_000,
 ) -> DataFrame:
     """One row of exact, linearly interpolated percentiles; NULL and NaN are left out.
 
-    The value range is cut until every wanted position lies on a cut point or in a piece of at
-    most ``leaf_rows`` rows, and only those pieces are ordered. A pass brings back at most
-    ``buckets`` cut points and twice as many counts, whatever the size of the data; ``df``
-    should be a table or a staged one, since each pass reads the column again.
+    Up to ``small_rows`` rows, the built-in aggregate does it. It keeps every distinct value in
+    one buffer, so beyond that the value range is cut until every wanted position lies on a
+    cut point or in a piece of at most ``leaf_rows`` rows, and only those pieces are ordered.
+    A pass brings back at most ``buckets`` cut points and twice as many counts, whatever the
+    size of the data; ``df`` should be a table or a staged one, since each pass reads it again.
     """
     number = F.col(value).cast("double")
     numbers = df.select(number.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if df.count() <= small_rows:
+        found = numbers.agg(F.percentile("_v", [float(p) for p in percentiles.values()]).alias("_p"))
+        return found.select(*[F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(percentiles)])
     pieces = _pieces(numbers, None, None, 0, buckets)
     total = pieces[-1].start + pieces[-1].rows if pieces else 0
     if total == 0:
@@ -127,15 +140,18 @@ def exact_percentiles(
 
     places = {name: p * (total - 1) for name, p in percentiles.items()}
     wanted = sorted({edge for at in places.values() for edge in (math.floor(at), math.ceil(at))})
-    leaves: dict[int, _Piece] = {}
+    leaves: set[_Piece] = set()
+    split: dict[_Piece, list[_Piece]] = {}
     for position in wanted:
         around = pieces
         while True:
             piece = next(x for x in around if x.start <= position < x.start + x.rows)
             if piece.exact is not None or piece.rows <= leaf_rows:
                 break
-            around = _pieces(numbers, piece.low, piece.high, piece.start, buckets)
-        leaves[position] = piece
+            if piece not in split:
+                split[piece] = _pieces(numbers, piece.low, piece.high, piece.start, buckets)
+            around = split[piece]
+        leaves.add(piece)
     return _pick(numbers, places, leaves)
 
 
@@ -176,9 +192,9 @@ def _pieces(numbers: DataFrame, low: float | None, high: float | None, start: in
     return found
 
 
-def _pick(numbers: DataFrame, places: dict[str, float], leaves: dict[int, _Piece]) -> DataFrame:
+def _pick(numbers: DataFrame, places: dict[str, float], leaves: set[_Piece]) -> DataFrame:
     """Order the leaf pieces inside and interpolate between the wanted positions."""
-    distinct = sorted(set(leaves.values()), key=lambda x: (x.start, x.rows))
+    distinct = sorted(leaves, key=lambda x: x.start)
     which, wanted = None, F.lit(False)
     for i, piece in enumerate(distinct):
         here = piece.holds(F.col("_v"))

@@ -18,11 +18,12 @@ def test_latest_per_key_breaks_ties(spark):
 
 def _ranked_like_a_window(spark, data, buckets):
     df = stage(spark.createDataFrame(data, "id int, g string, h string, v double"), "t")
-    got = rank_descending(df, "v", ["g"], {"r": [], "rh": ["h"]}, salt_on=["id"], buckets=buckets)
+    got = rank_descending(df, "v", ["g"], {"r": [], "rh": ["h"]}, salt_on=["id"], buckets=buckets, small_rows=0)
+    small = rank_descending(df, "v", ["g"], {"r": [], "rh": ["h"]}, salt_on=["id"])
     order = F.col("v").desc_nulls_last()
     want = df.withColumns({"r": F.rank().over(Window.partitionBy("g").orderBy(order)).cast("bigint"),
                            "rh": F.rank().over(Window.partitionBy("g", "h").orderBy(order)).cast("bigint")})
-    assert rows(got, "id", "r", "rh") == rows(want, "id", "r", "rh")
+    assert rows(got, "id", "r", "rh") == rows(want, "id", "r", "rh") == rows(small, "id", "r", "rh")
 
 
 @pytest.mark.parametrize("buckets", [2, 4, 128])
@@ -42,13 +43,14 @@ def test_rank_of_unknown_and_equal_values(spark):
     _ranked_like_a_window(spark, [(i, "a", "x", 1.0) for i in range(50)], 8)
 
 
-@pytest.mark.parametrize("buckets, leaf", [(2, 1), (4, 3), (16, 50), (128, 2_000_000)])
-def test_exact_percentiles_equal_numpy(spark, buckets, leaf):
+@pytest.mark.parametrize("buckets, leaf, small", [
+    (2, 1, 0), (4, 3, 0), (16, 50, 0), (128, 600, 0), (128, 2_000_000, 0), (128, 2_000_000, 100_000)])
+def test_exact_percentiles_equal_numpy(spark, buckets, leaf, small):
     rng = random.Random(leaf)
     values = [rng.choice([3.25, float(rng.randint(0, 9)), rng.gauss(0, 40)]) for _ in range(701)]
     df = stage(spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double"), "t")
     wanted = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p100": 1.0}
-    got = exact_percentiles(df, "x", wanted, buckets, leaf).first()
+    got = exact_percentiles(df, "x", wanted, buckets, leaf, small).first()
     for name, p in wanted.items():
         assert got[name] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
@@ -56,6 +58,9 @@ def test_exact_percentiles_equal_numpy(spark, buckets, leaf):
 def test_percentiles_of_nothing_and_of_one(spark):
     assert exact_percentiles(spark.sql("SELECT CAST(NULL AS DOUBLE) AS x"), "x", {"p": 0.5}).first()[0] is None
     assert exact_percentiles(spark.sql("SELECT 4 AS x"), "x", {"p": 0.5}).first()[0] == 4.0
+    assert exact_percentiles(spark.sql("SELECT 4 AS x"), "x", {"p": 0.5}, small_rows=0).first()[0] == 4.0
+    nothing = spark.sql("SELECT CAST(NULL AS DOUBLE) AS x")
+    assert exact_percentiles(nothing, "x", {"p": 0.5}, small_rows=0).first()[0] is None
 
 
 def test_at_latest_scope(spark):
