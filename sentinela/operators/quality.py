@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.config import QualitySpec, parse_value
 from sentinela.functions.dates import java_pattern
+from sentinela.operators.reconcile import COMPARISONS, Counterpart, comparison_outcomes
 
 DATASET = "Dataset"
 
@@ -205,13 +206,23 @@ def run_checks(df: DataFrame, checks: dict[str, Any], table: str) -> DataFrame:
                          "unexpected_count", "mean_unexpected", "status")
 
 
-def run_suite(df: DataFrame, spec: QualitySpec) -> list[dict[str, Any]]:
-    """Run a suite and return its outcomes in order (one small row per check).
+def run_suite(df: DataFrame, spec: QualitySpec, counterpart: Counterpart | None = None) -> list[dict[str, Any]]:
+    """Run a suite and return its outcomes (one small row per check): the one-pass checks in
+    configured order, then the comparisons with another system.
 
     Raises when something failed and the suite stops the job, whoever is or is not notified.
     """
-    rows = run_checks(df, spec.checks, spec.target).collect()
-    outcomes = sorted((row.asDict() for row in rows), key=lambda o: o["position"])
+    own = {name: params for name, params in spec.checks.items() if name not in COMPARISONS}
+    outcomes: list[dict[str, Any]] = []
+    if own:
+        rows = run_checks(df, own, spec.target).collect()
+        outcomes = sorted((row.asDict() for row in rows), key=lambda o: o["position"])
+    for name, params in spec.checks.items():
+        if name in COMPARISONS:
+            if counterpart is None:
+                raise ValueError(f"check {name!r} needs a counterpart to compare with")
+            for outcome in comparison_outcomes(df, name, parse_value(params), counterpart):
+                outcomes.append({"table_name": spec.target, "position": len(outcomes), **outcome})
     if spec.stop_job and any(o["status"] == "failure" for o in outcomes):
         failure = QualityFailure(f"quality checks failed for {spec.target}")
         failure.outcomes = outcomes

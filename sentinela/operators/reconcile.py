@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
     ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType,
     TimestampNTZType, TimestampType,
 )
 
-from sentinela.config import ColumnSpec
+from sentinela.config import ColumnSpec, parse_schema
 from sentinela.functions.text import strip_invisible
 from sentinela.operators.casting import cast_frame
 
@@ -96,3 +100,51 @@ def compare_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
         _long(left, metrics, "left_value").join(_long(right, metrics, "right_value"), "metric")
         .withColumn("status", _verdict(a.eqNullSafe(b) | absent))
     )
+
+
+def compare_tables(pairs: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """Metric comparison of several tables, told apart by ``table_name``."""
+    compared = [
+        compare_metrics(left, right).select(F.lit(name).alias("table_name"), "metric", "left_value", "right_value",
+                                            "status")
+        for name, left, right in pairs
+    ]
+    return reduce(DataFrame.unionByName, compared)
+
+
+# Names under which a suite's configuration asks for comparisons.
+COUNT_CHECK = "compare_count_df_with_db"
+ROW_CHECK = "compare_df_with_df_db"
+METRIC_CHECK = "general_metrics_athena_db"
+COMPARISONS = (COUNT_CHECK, ROW_CHECK, METRIC_CHECK)
+
+Counterpart = Callable[[dict[str, Any]], DataFrame]
+
+
+def comparison_outcomes(df: DataFrame, name: str, params: dict[str, Any], counterpart: Counterpart) -> list[dict[str, Any]]:
+    """Outcomes of one configured comparison.
+
+    ``counterpart`` turns the check's parameters into the other system's rows, usually by a
+    JDBC query; for metrics it is asked once per table, with ``db_table`` set.
+    """
+    if name == COUNT_CHECK:
+        found = compare_counts(df, counterpart(params)).first()
+        label = f"Row count comparison: {found['left_count']} and {found['right_count']}"
+        return [_comparison("Dataset", label, abs(found["left_count"] - found["right_count"]))]
+    if name == ROW_CHECK:
+        found = compare_rows(df, counterpart(params), parse_schema(params["schema"])).first()
+        different = found["only_left"] + found["only_right"]
+        return [_comparison("Dataset", f"Row comparison: {different} divergent row(s)", different)]
+    ours, theirs = (params[key].split(",") for key in ("athena_tables", "db_tables"))
+    pairs = [(a, df.sparkSession.table(a), counterpart({**params, "db_table": b}))
+             for a, b in zip(ours, theirs, strict=True)]
+    return [
+        _comparison(f"{row['table_name']}.{row['metric']}", f"{row['left_value']} and {row['right_value']}",
+                    int(row["status"] == "failure"))
+        for row in compare_tables(pairs).collect()
+    ]
+
+
+def _comparison(subject: str, label: str, different: int) -> dict[str, Any]:
+    return {"column_tested": subject, "test_applied": label, "unexpected_count": different,
+            "mean_unexpected": None, "status": "failure" if different else "success"}

@@ -11,6 +11,7 @@ from sentinela.config import IngestSpec, QualitySpec, RefineSpec
 from sentinela.operators.casting import cast_frame
 from sentinela.operators.filters import filter_value
 from sentinela.operators.quality import run_suite
+from sentinela.operators.reconcile import Counterpart
 from sentinela.sinks.runlog import RunLog
 from sentinela.sinks.tables import SQL_WRITES, insert_into, upsert_into
 from sentinela.sources.catalog import run_sql_model
@@ -60,11 +61,13 @@ def bronze_to_silver(
     quality: QualitySpec | None = None,
     log: RunLog | None = None,
     partitions: str = "dynamic",
+    counterpart: Counterpart | None = None,
 ) -> dict[str, Any]:
     """Read one ingestion date, cast, filter, check and write; returns count and test outcomes.
 
     Without checks, rows are counted while they are written. With checks, the cast rows are
-    staged once, so that checking and writing do not read and cast the input again.
+    staged once, so that checking and writing do not read and cast the input again;
+    ``counterpart`` supplies the other system's rows to checks that compare with it.
     """
     try:
         path = ingestion_path(spec.bronze_path, dt_ref, file_name)
@@ -82,7 +85,7 @@ def bronze_to_silver(
             if quality is None:
                 raise ValueError(f"quality checks are on for {spec.target!r} but none are configured")
             df = stage(df, f"silver-{spec.target}")
-            outcomes = _check(df, quality, log)
+            outcomes = _check(df, quality, log, counterpart)
 
         counted = Observation()
         observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
@@ -101,9 +104,10 @@ def bronze_to_silver(
         raise
 
 
-def _check(df: DataFrame, quality: QualitySpec, log: RunLog | None) -> list[dict[str, Any]]:
+def _check(df: DataFrame, quality: QualitySpec, log: RunLog | None,
+           counterpart: Counterpart | None) -> list[dict[str, Any]]:
     try:
-        outcomes = run_suite(df, quality)
+        outcomes = run_suite(df, quality, counterpart)
     except Exception as failure:
         if log and hasattr(failure, "outcomes"):
             log.add(has_bdq=True, quality_tests=_log_tests(failure.outcomes))

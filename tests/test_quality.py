@@ -111,3 +111,23 @@ def test_compare_metrics(spark):
     assert got["min_dt"] == ("2026-01-01", "2026-01-01", "success")
     assert got["max_ts"][0] == "2026-01-01 10:00:00"
     assert "sum_s" not in got
+
+
+def test_suite_with_comparisons(spark, sample):
+    sample.createOrReplaceTempView("ours")
+    spec = QualitySpec("t", {
+        "compare_count_df_with_db": {"db_query": "all"}, "not_null": {"column": "day"},
+        "compare_df_with_df_db": {"db_query": "all", "schema": {"Id": "int", "name": "string"}},
+        "general_metrics_athena_db": {"athena_tables": "ours,ours", "db_tables": "a,b"}})
+    asked = []
+
+    def counterpart(params):
+        asked.append(params.get("db_table", params.get("db_query")))
+        return sample.filter("price > 0") if asked[-1] == "b" else sample
+
+    got = [(o["column_tested"], o["unexpected_count"], o["status"]) for o in run_suite(sample, spec, counterpart)]
+    assert got[:3] == [("day", 1, "failure"), ("Dataset", 0, "success"), ("Dataset", 0, "success")]
+    assert ("ours.row_count", 1, "failure") in got and got.count(("ours.sum_price", 0, "success")) == 1
+    assert asked == ["all", "all", "a", "b"]
+    with pytest.raises(ValueError, match="counterpart"):
+        run_suite(sample, spec)
