@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.config import QualitySpec, parse_value
 from sentinela.functions.dates import java_pattern
+from sentinela.functions.numeric import stable_avg
 from sentinela.operators.reconcile import COMPARISONS, Counterpart, comparison_outcomes
 
 DATASET = "Dataset"
@@ -105,7 +106,7 @@ def values_between(df: DataFrame, params: dict) -> list[Check]:
         number = given.try_cast("double")
         bad = given.isNotNull() & ~F.coalesce(number.between(float(low), float(high)), F.lit(False))
         checks.append(Check(c, f"values between {float(low)} and {float(high)}", bad,
-                            note=F.avg(F.when(bad, number))))
+                            note=stable_avg(F.when(bad, number))))
     return checks
 
 

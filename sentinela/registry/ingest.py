@@ -24,7 +24,7 @@ from sentinela.sinks.tables import insert_into, upsert_into
 from sentinela.sources.delimited import align_header, read_aligned, read_delimited
 from sentinela.sources.json import explode_rows, read_json
 from sentinela.sources.lines import (
-    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, read_lines,
+    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, file_edges, read_lines,
 )
 from sentinela.sources.partitions import ingestion_path
 from sentinela.sources.zipped import unzip_csv
@@ -232,7 +232,9 @@ def _landed_lines(t: Tables, header: str | None = None, footer: str | None = Non
 def _(t):
     path = _landed_lines(t, header="00ARQ 20260417 PEDIDOS")
     literal = LiteralColumn("dt_arquivo", "yyyyMMdd", line=0, start=6, end=14)
-    dated = add_date_from_line(drop_edge_lines(t.spark, path, header=True), t.spark, path, literal)
+    edges = file_edges(t.spark, path)
+    dated = add_date_from_line(drop_edge_lines(t.spark, path, header=True, edges=edges), t.spark, path, literal,
+                               edges=edges)
     return cut_fixed_width(dated.drop("_file"), ORDER_LAYOUT[:1]).select(
         F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "dt_arquivo")
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sentinela.sources.lines import drop_edge_lines, header_line
+from sentinela.sources.lines import drop_edge_lines, file_edges, header_line
 from sentinela.staging import broadcast_if_small
 
 
@@ -52,31 +52,36 @@ def read_delimited(
 
 
 def read_aligned(spark: SparkSession, path: str | list[str], names: Iterable[str], sep: str = ",",
-                 encoding: str = "UTF-8", **options: str) -> DataFrame:
+                 encoding: str = "UTF-8", uniform_header: bool = False, **options: str) -> DataFrame:
     """Read files whose headers may differ in order or content; columns in upper case.
 
     The plain reader binds every file by the first one's header. It is used when all headers
     are equal. Otherwise each line is parsed next to its own file's header, in one scan.
+    Finding the headers passes over the text first; ``uniform_header`` saves that where the
+    files are known to agree.
     """
     names = [n.upper() for n in names]
-    headers = header_line(spark, path, 0, encoding)
-    kinds = [row[0] for row in headers.select("_line").distinct().limit(2).collect()]
-    if not kinds:
-        raise ValueError(f"no data files in {path}")
-    if len(kinds) == 1:
-        reader = spark.read.options(sep=sep, encoding=encoding, header=True, **options)
-        return align_header(reader.csv(path), names)
-    return _read_by_own_header(spark, path, names, headers, sep, encoding, options).drop("_file")
+    if not uniform_header:
+        edges = file_edges(spark, path)
+        headers = header_line(spark, path, 0, encoding, edges)
+        kinds = headers.select("_line").distinct().limit(2).count()
+        if kinds == 0:
+            raise ValueError(f"no data files in {path}")
+        if kinds > 1:
+            return _read_by_own_header(spark, path, names, headers, edges, sep, encoding, options).drop("_file")
+    reader = spark.read.options(sep=sep, encoding=encoding, header=True, **options)
+    return align_header(reader.csv(path), names)
 
 
 def _read_by_own_header(spark: SparkSession, path: str | list[str], names: list[str], headers: DataFrame,
-                        sep: str, encoding: str, options: dict[str, str], skip_first: bool = False,
-                        skip_last: bool = False) -> DataFrame:
+                        edges: DataFrame, sep: str, encoding: str, options: dict[str, str],
+                        skip_first: bool = False, skip_last: bool = False) -> DataFrame:
     separators = F.length(F.regexp_replace("_line", "[^" + re.escape(sep) + "]", ""))
     width = headers.agg(F.max(separators)).first()[0] + 1
     titles = F.transform(_cells(F.col("_line"), width, sep, options), lambda h: F.upper(F.trim(h)))
     titled = broadcast_if_small(headers).select("_file", titles.alias("_titles"))
-    lines = drop_edge_lines(spark, path, 2 if skip_first else 1, skip_last, encoding).filter(F.trim("value") != "")
+    lines = drop_edge_lines(spark, path, 2 if skip_first else 1, skip_last, encoding, edges)
+    lines = lines.filter(F.trim("value") != "")
     rows = lines.withColumn("_cells", _cells(F.col("value"), width, sep, options)).join(titled, "_file")
     return rows.select(*[
         F.try_element_at("_cells", F.nullif(F.array_position("_titles", F.lit(n)).cast("int"), F.lit(0))).alias(n)
@@ -91,7 +96,7 @@ def _cells(c: Column, width: int, sep: str, options: dict[str, str]) -> Column:
 
 def read_without_edges(spark: SparkSession, path: str | list[str], names: Iterable[str], header: bool, sep: str | None,
                        encoding: str = "UTF-8", skip_first: bool = False, skip_last: bool = False,
-                       **options: str) -> DataFrame:
+                       edges: DataFrame | None = None, **options: str) -> DataFrame:
     """Delimited rows without the first and/or last data line of each file, all text, plus ``_file``.
 
     A header line is not a data line: it names the columns and goes as well.
@@ -99,10 +104,11 @@ def read_without_edges(spark: SparkSession, path: str | list[str], names: Iterab
     if not sep:
         raise ValueError("a delimited file needs a separator")
     names = list(names)
+    edges = edges if edges is not None else file_edges(spark, path)
     if header:
-        headers = header_line(spark, path, 0, encoding)
-        return _read_by_own_header(spark, path, [n.upper() for n in names], headers, sep, encoding, options,
+        headers = header_line(spark, path, 0, encoding, edges)
+        return _read_by_own_header(spark, path, [n.upper() for n in names], headers, edges, sep, encoding, options,
                                    skip_first, skip_last)
-    lines = drop_edge_lines(spark, path, int(skip_first), skip_last, encoding).filter(F.trim("value") != "")
+    lines = drop_edge_lines(spark, path, int(skip_first), skip_last, encoding, edges).filter(F.trim("value") != "")
     cells = _cells(F.col("value"), len(names), sep, options)
     return lines.select(*[cells[i].alias(n) for i, n in enumerate(names)], "_file")

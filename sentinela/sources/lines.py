@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentinela.config import LiteralColumn
 from sentinela.functions.text import slice_text
@@ -24,56 +24,58 @@ def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
 def positioned_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """Lines with their file, the byte offset of their split and their place in the task's scan.
 
-    Rows of one split keep file order, so (offset, place) orders the lines of a file without
-    bringing the file into one task.
+    Rows of one split have consecutive places in file order, so (offset, place) orders the
+    lines of a file without bringing the file into one task.
     """
     lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("place")).alias("_at"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
     )
     return _decoded(lines, encoding)
 
 
+def file_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Where the first and the last line of every file are; staged, one row per file.
+
+    Plain numbers are reduced per split on the map side, without reading the text itself; then
+    the one row per split is compared.
+    """
+    splits = positioned_lines(spark, path).groupBy("_file", "_block").agg(
+        F.min("_place").alias("low"), F.max("_place").alias("high"))
+    return stage(splits.groupBy("_file").agg(
+        F.min(F.when(F.col("_block") == 0, F.col("low"))).alias("_first"),
+        F.max(F.struct("_block", F.col("high").alias("_place"))).alias("_last")), "edges")
+
+
 def drop_edge_lines(spark: SparkSession, path: str | list[str], header: int = 0, footer: bool = False,
-                    encoding: str = "UTF-8") -> DataFrame:
+                    encoding: str = "UTF-8", edges: DataFrame | None = None) -> DataFrame:
     """Lines without the first ``header`` lines and, on request, the last line of each file.
 
-    Columns: ``value``, ``_file``. The edges are one row per file from a map-side minimum and
-    maximum; leading lines are looked for in a file's first split. The edges are staged, so
-    that the lines themselves need no shuffle to look their file up.
+    Columns: ``value``, ``_file``. Leading lines are those of a file's first split; the lines
+    need no shuffle to look their file up.
     """
     lines = positioned_lines(spark, path, encoding)
     if not (header or footer):
-        return lines.drop("_at")
-    # Per split first, on plain numbers; one row per split is left for the comparison of structs.
-    splits = lines.groupBy("_file", F.col("_at.block").alias("block")).agg(
-        F.min("_at.place").alias("low"), F.max("_at.place").alias("high"))
-    edges = splits.groupBy("_file").agg(
-        F.min(F.struct("block", F.col("low").alias("place"))).alias("_first"),
-        F.max(F.struct("block", F.col("high").alias("place"))).alias("_last"))
-    if header > 1:
-        leading = _leading(lines, int(header)).groupBy("_file").agg(F.max("_at").alias("_first"))
-        edges = edges.drop("_first").join(leading, "_file")
+        return lines.select("value", "_file")
+    known = broadcast_if_small(edges if edges is not None else file_edges(spark, path))
     keep = F.lit(True)
     if header:
-        keep = keep & (F.col("_at") > F.col("_first"))
+        keep = keep & ((F.col("_block") > 0) | (F.col("_place") >= F.col("_first") + int(header)))
     if footer:
-        keep = keep & (F.col("_at") != F.col("_last"))
-    return lines.join(broadcast_if_small(stage(edges, "edges")), "_file").filter(keep).select("value", "_file")
+        keep = keep & (F.struct("_block", "_place") != F.col("_last"))
+    return lines.join(known, "_file").filter(keep).select("value", "_file")
 
 
-def _leading(lines: DataFrame, count: int) -> DataFrame:
-    """The first lines of every file. Only first splits are ranked, and Spark applies the rank
-    limit before the shuffle."""
-    order = Window.partitionBy("_file").orderBy("_at")
-    return lines.filter("_at.block = 0").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count)
-
-
-def header_line(spark: SparkSession, path: str | list[str], line: int = 0, encoding: str = "UTF-8") -> DataFrame:
+def header_line(spark: SparkSession, path: str | list[str], line: int = 0, encoding: str = "UTF-8",
+                edges: DataFrame | None = None) -> DataFrame:
     """Line number ``line`` (0-based) of every file, as ``_file``, ``_line``; staged, one row per file."""
-    found = _leading(positioned_lines(spark, path, encoding), line + 1).filter(F.col("_n") == line + 1)
+    known = broadcast_if_small(edges if edges is not None else file_edges(spark, path))
+    found = (
+        positioned_lines(spark, path, encoding).filter("_block = 0").join(known, "_file")
+        .filter(F.col("_place") == F.col("_first") + line)
+    )
     return stage(found.select("_file", F.col("value").alias("_line")), "header-lines")
 
 
@@ -85,9 +87,9 @@ def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:
 
 
 def add_date_from_line(df: DataFrame, spark: SparkSession, path: str | list[str], literal: LiteralColumn,
-                       encoding: str = "UTF-8") -> DataFrame:
+                       encoding: str = "UTF-8", edges: DataFrame | None = None) -> DataFrame:
     """Date cut out of a header line of the file each row came from (``_file``)."""
-    cut = broadcast_if_small(header_line(spark, path, literal.line, encoding)).select(
+    cut = broadcast_if_small(header_line(spark, path, literal.line, encoding, edges)).select(
         "_file",
         F.try_to_date(slice_text(F.col("_line"), literal.start, literal.end), literal.mask).alias(literal.name),
     )

@@ -5,6 +5,7 @@ import pytest
 
 from sentinela.config import IngestSpec, QualitySpec, RefineSpec
 from sentinela.operators.quality import QualityFailure
+from sentinela.plans.defaults import columns, create_table
 from sentinela.plans.jobs import bronze_to_silver, silver_to_gold
 from sentinela.sinks.files import dated_path, land_json, write_csv, write_parquet
 from sentinela.sinks.jdbc import jdbc_write_options
@@ -219,3 +220,16 @@ def test_staging(spark):
     hint = "ResolvedHint"
     assert hint in broadcast_if_small(staged)._jdf.queryExecution().analyzed().toString()
     assert hint not in broadcast_if_small(staged, max_rows=9)._jdf.queryExecution().analyzed().toString()
+
+
+def test_gold_rows_fit_the_declared_table(spark, folder):
+    """Counts and ranks are 64-bit in the plan and narrowed, with an overflow check, by the table."""
+    name = "t_" + os.path.basename(folder).replace("-", "_") + "_r"
+    create_table(spark, name, "tb_ft_ranking_anual", f"{folder}/r")
+    try:
+        row = ", ".join(f"CAST({7 if kind != 'string' else chr(39) + 'x' + chr(39)} AS "
+                        f"{'BIGINT' if kind == 'int' else kind}) AS {c}" for c, kind in columns("tb_ft_ranking_anual").items())
+        insert_into(spark.sql(f"SELECT {row}"), name, "overwrite")
+        assert spark.table(name).first()["nr_rank_estado"] == 7
+    finally:
+        spark.sql(f"DROP TABLE {name}")
