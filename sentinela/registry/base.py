@@ -226,7 +226,8 @@ class Tables:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return self._view("v_runs")
+        """Run records; truncating gives a zoned timestamp in Spark, while the given ones have no zone."""
+        return self._view("v_runs").withColumn("start_execution", F.col("start_execution").cast("timestamp_ntz"))
 
     @cached_property
     def dq_tests(self) -> DataFrame:

@@ -190,7 +190,8 @@ def _(t):
 
 @query("recon_differing_rows", """
 SELECT o_orderkey, o_orderpriority, o_orderstatus,
-       round(o_totalprice + side, 2) AS o_totalprice, 1 - side AS only_left, side AS only_right
+       round(o_totalprice + side, 2) AS o_totalprice, CAST(1 - side AS BIGINT) AS only_left,
+       CAST(side AS BIGINT) AS only_right
 FROM (SELECT o.*, unnest([0, 1]) AS side FROM orders o)
 WHERE CASE side WHEN 0 THEN o_orderstatus = 'P' OR o_orderpriority = '5-LOW'
                 ELSE o_orderstatus <> 'P' AND o_orderpriority = '5-LOW' END""")

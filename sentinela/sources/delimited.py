@@ -79,7 +79,7 @@ def _read_by_own_header(spark: SparkSession, path: str | list[str], names: list[
     separators = F.length(F.regexp_replace("_line", "[^" + re.escape(sep) + "]", ""))
     width = headers.agg(F.max(separators)).first()[0] + 1
     titles = F.transform(_cells(F.col("_line"), width, sep, options), lambda h: F.upper(F.trim(h)))
-    titled = broadcast_if_small(headers).select("_file", titles.alias("_titles"))
+    titled = broadcast_if_small(headers, max_rows=50_000).select("_file", titles.alias("_titles"))
     lines = drop_edge_lines(spark, path, 2 if skip_first else 1, skip_last, encoding, edges)
     lines = lines.filter(F.trim("value") != "")
     rows = lines.withColumn("_cells", _cells(F.col("value"), width, sep, options)).join(titled, "_file")
