@@ -277,7 +277,7 @@ def encoded(text: Column, vocabulary: str, fields: tuple[str, ...] = ("n_tokens"
             yield pd.DataFrame(rows, columns=list(fields))
 
     schema = ", ".join(f"{f} {FIELDS[f]}" for f in fields)
-    return F.pandas_udf(run, schema, F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, schema)(text)
 
 
 def encode(df: DataFrame, vocabulary: str, fields: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
@@ -296,4 +296,4 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded"
         for batch in batches:
             yield pd.Series([None if b is None else coder.decode(b) for b in batch], dtype=object)
 
-    return df.withColumn(to, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(ids)))
+    return df.withColumn(to, F.pandas_udf(run, "string")(F.col(ids)))
