@@ -33,7 +33,7 @@ from sentinela.llm.tables import CHARS_AT_ONCE, slices, text_or_empty, without
 
 NO_RANK = np.iinfo(np.int64).max
 # Distinct chunks a Python worker keeps (some 300 bytes each); the cache starts anew beyond it.
-CACHE = 800_000
+CACHE = 300_000
 # Arrow splits at these controls as well, the tokenizer does not.
 _ODD_SPACE = "[\\x1c-\\x1f]"
 # Up to here the character classes are the same in all versions of Unicode.
@@ -207,7 +207,7 @@ class Encoder:
         The chunks of many texts are numbered by Arrow; only distinct ones are looked up in Python.
         """
         self.decoding = self.decoding or decode
-        for start, end in slices(texts, 8 * CHARS_AT_ONCE):
+        for start, end in slices(texts, 4 * CHARS_AT_ONCE):
             split = _chunks(pa.array(texts[start:end], pa.large_string()))
             bounds = np.asarray(split.offsets).tolist()
             coded = split.values.dictionary_encode()
