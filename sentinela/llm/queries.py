@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentinela.llm import bpe, simhash
-from sentinela.llm.tables import table
+from sentinela.llm import bpe, language, quality, simhash, toxicity
+from sentinela.llm.tables import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query("op1_language_bloom_slices")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = language.identify(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity_factorization_machine")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    learnt = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
+    return toxicity.fit(toxicity.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"), learnt, "toxic"))
+
+
+@query("op7_quality_attention_mil")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    model = quality.fit(toxicity.labelled(docs, learnt, "quality"))
+    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
