@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentinela.llm import bpe, language, quality, simhash, toxicity
+from sentinela.llm import bpe, contamination, language, quality, simhash, toxicity
 from sentinela.llm.tables import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
     found = quality.score(docs, model)
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_pigeonhole_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.matches(docs, table(spark, sf_dir, "benchmark"))
