@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentinela.llm import bpe, contamination, language, quality, simhash, toxicity
+from sentinela.llm import bpe, contamination, language, pii, quality, simhash, toxicity
 from sentinela.llm.tables import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+# Stands for a secret that a real job gets from outside.
+PII_KEY = "surrogate key of the registered query"
+
+
+@query("op9_pii_surrogates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY, count="n_entities")
