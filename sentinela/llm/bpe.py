@@ -32,8 +32,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sentinela.llm.tables import CHARS_AT_ONCE, slices, text_or_empty, without
 
 NO_RANK = np.iinfo(np.int64).max
-# Distinct chunks a Python worker keeps (some 300 bytes each); the cache starts anew beyond it.
-CACHE = 300_000
+# Entries of some 200 bytes that a Python worker keeps of chunks seen (two a chunk where texts are
+# decoded too); the cache starts anew beyond it.
+CACHE = 650_000
 # Arrow splits at these controls as well, the tokenizer does not.
 _ODD_SPACE = "[\\x1c-\\x1f]"
 # Up to here the character classes are the same in all versions of Unicode.
@@ -201,19 +202,19 @@ class Encoder:
             self.texts.update({c: texts[w] for c, w in single.items()})
             self.texts.update({c: b"".join([texts[w] for w in found]) for c, found in parts.items()})
 
-    def encode(self, texts: list[str], decode: bool = True) -> Iterator[tuple[memoryview, memoryview | None]]:
+    def encode(self, texts: list[str] | pa.Array, decode: bool = True) -> Iterator[tuple[memoryview, memoryview | None]]:
         """Ids as little-endian 32-bit integers, and the decoded text in UTF-8, of each text.
 
         The chunks of many texts are numbered by Arrow; only distinct ones are looked up in Python.
         """
         self.decoding = self.decoding or decode
-        for start, end in slices(texts, 4 * CHARS_AT_ONCE):
+        for start, end in slices(texts.to_pylist() if isinstance(texts, pa.Array) else texts, 4 * CHARS_AT_ONCE):
             split = _chunks(pa.array(texts[start:end], pa.large_string()))
             bounds = np.asarray(split.offsets).tolist()
             coded = split.values.dictionary_encode()
             chunks = coded.dictionary.to_pylist()
             if new := set(chunks) - (self.texts if decode else self.ids).keys():
-                if len(self.ids) + len(new) > CACHE:
+                if (len(self.ids) + len(new)) * (1 + self.decoding) > CACHE:
                     self.ids.clear(), self.texts.clear()
                     new = {*chunks}
                 self.learn(new)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentinela.llm import bpe, contamination, language, pii, quality, simhash, toxicity
+from sentinela.llm import bpe, contamination, language, pii, quality, sequences, simhash, toxicity, urls
 from sentinela.llm.tables import fold, table
+from sentinela.staging import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +85,40 @@ PII_KEY = "surrogate key of the registered query"
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace(docs, PII_KEY, count="n_entities")
+
+
+URL_RULES = [
+    urls.Rule("net/", "block"), urls.Rule("example.net/en/", "allow"),
+    urls.Rule("example.com/de/", "block"), urls.Rule("org/fr/", "allow"),
+]
+
+
+@query("op4_url_shift_and", """
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), cut AS (
+  SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h, r FROM rest
+), parts AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM cut
+), ruled AS (
+  SELECT *, CASE
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query("op6_token_sequences_arrow")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    manifest = sequences.write(docs, scratch_path(spark, "sequences"), vocabulary, end_id=1)
+    return sequences.read(spark, manifest)
