@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentinela.llm import bpe, contamination, language, pii, quality, sequences, simhash, toxicity, urls
+from sentinela.llm import bpe, contamination, imatch, language, pii, quality, sequences, simhash, toxicity, urls
 from sentinela.llm.tables import fold, table
 from sentinela.staging import scratch_path
 
@@ -122,3 +122,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     manifest = sequences.write(docs, scratch_path(spark, "sequences"), vocabulary, end_id=1)
     return sequences.read(spark, manifest)
+
+
+@query("op2_imatch_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.with_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
