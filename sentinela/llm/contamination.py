@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.llm.tables import text_or_empty
 
@@ -132,26 +132,34 @@ def matches(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
     found = df.sparkSession.createDataFrame([], schema)
     for block in blocks(items):
-        def scan(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(block)
-            for batch in batches:
-                hits = [
-                    (doc, item, distance) for doc, t in zip(batch["doc_id"], batch["text"])
-                    for item, distance in matcher.find(t).items()
-                ]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "distance"])
-
-        found = found.union(docs.mapInPandas(scan, schema))
+        found = found.union(docs.mapInPandas(_scan(block), schema))
     return found
 
 
+def _scan(block: list[tuple[int, str]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(block)
+        for batch in batches:
+            hits = [
+                (doc, item, distance) for doc, t in zip(batch["doc_id"], batch["text"])
+                for item, distance in matcher.find(t).items()
+            ]
+            yield pd.DataFrame(hits, columns=["doc_id", "item_id", "distance"])
+
+    return run
+
+
+def _is_clean(text: Column, block: list[tuple[int, str]]) -> Column:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block)
+        for batch in batches:
+            yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(text)
+
+
 def drop_contaminated(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``df`` in which no item is found; its columns stay as they are. No shuffle."""
     for block in blocks(items):
-        def clean(batches: Iterator[pd.Series], block=block) -> Iterator[pd.Series]:
-            matcher = Matcher(block)
-            for batch in batches:
-                yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
-
-        df = df.where(F.pandas_udf(clean, "boolean")(text_or_empty(text)))
+        df = df.where(_is_clean(text_or_empty(text), block))
     return df
