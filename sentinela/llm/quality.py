@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.llm.arrays import Rolling, code_points, letter_table, spans
 from sentinela.llm.tables import slices, text_or_empty
-from sentinela.llm.toxicity import balanced, sigmoid
+from sentinela.llm.toxicity import sample, sigmoid
 
 PASSAGE, SAMPLE, PASSAGES = 64, 6_000, 32
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 128, 0.01
@@ -52,7 +52,8 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return figures, first
     place = np.arange(len(begin)) - (np.cumsum(words) - words)[owner]
     passage = first[owner] + place // PASSAGE
-    n = np.maximum(np.bincount(passage, minlength=first[-1]), 1)
+    held = np.bincount(passage, minlength=first[-1])
+    n = np.maximum(held, 1)
 
     def per_word(values: np.ndarray) -> np.ndarray:
         return np.bincount(passage, values, minlength=first[-1]) / n
@@ -74,18 +75,19 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     different = np.bincount((known >> np.uint64(40)).astype(np.int64), minlength=first[-1])
     # Three words in a row that the text holds elsewhere too: repeated lines.
     three = hashes.copy()
-    three[:-2] += hashes[1:-1] * np.uint64(3) + hashes[2:] * np.uint64(5)
+    within_text = owner[2:] == owner[:-2]
+    three[:-2] += np.where(within_text, hashes[1:-1] * np.uint64(3) + hashes[2:] * np.uint64(5), np.uint64(0))
     key = (owner.astype(np.uint64) << np.uint64(40)) | three >> np.uint64(24)
     _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
     broken = np.isin(codes, [10, 13])
     lines = np.r_[0, np.cumsum(broken, dtype=np.int64)]
-    after_break = lines[begin] - np.r_[0, lines[end[:-1]]]
+    after_break = np.where(np.r_[True, owner[1:] != owner[:-1]], 0, lines[begin] - np.r_[0, lines[end[:-1]]])
     columns = [
         per_word(length) / 8, per_word(uppers / length), per_word(marks / length), per_word(within(digit) / length),
         per_word(within(usual) > 0), per_word(within(codes == 33) > 0), per_word(within(codes == 124) > 0),
         per_word(same), different / n, per_word(times[inverse] > 1), per_word(np.minimum(after_break, 2)),
         per_word(letters == 0), per_word((uppers == letters) & (letters > 1)), per_word(marks - within(usual) > 1),
-        per_word(length <= 3), np.log1p(n) / 4,
+        per_word(length <= 3), np.log1p(held) / 4,
     ]
     figures[:] = np.stack(columns, axis=1)
     return figures, first
@@ -167,8 +169,8 @@ def _gradients(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarra
     }
 
 
-def fit(rows: DataFrame) -> Model:
-    """A model from rows of ``text`` and ``label`` (0 or 1)."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """A model from documents and the labels to learn from."""
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,10 +182,10 @@ def fit(rows: DataFrame) -> Model:
                     out.append(x[spread].astype("<f4").tobytes())
             yield pd.DataFrame({"bag": out, "label": batch["label"].to_numpy()})
 
-    sample = balanced(rows, "label", SAMPLE).mapInPandas(collect, "bag binary, label int").toPandas()
-    sample = sample.sort_values(["label", "bag"])
-    bags = [np.frombuffer(b, "<f4").reshape(-1, FIGURES).astype(np.float64) for b in sample["bag"]]
-    return learn(bags, sample["label"].to_numpy(np.float64))
+    rows = sample(docs, labels, label, SAMPLE).mapInPandas(collect, "bag binary, label int").toPandas()
+    rows = rows.sort_values(["label", "bag"])
+    bags = [np.frombuffer(b, "<f4").reshape(-1, FIGURES).astype(np.float64) for b in rows["bag"]]
+    return learn(bags, rows["label"].to_numpy(np.float64))
 
 
 def scored(text: Column, model: Model) -> Column:

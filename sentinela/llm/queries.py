@@ -51,21 +51,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity_factorization_machine")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1))
     held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    found = toxicity.score(docs, machine)
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
-    learnt = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
-    return toxicity.fit(toxicity.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"), learnt, "toxic"))
-
-
 @query("op7_quality_attention_mil")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learnt = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
-    model = quality.fit(toxicity.labelled(docs, learnt, "quality"))
+    model = quality.fit(docs, learnt)
     held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
     found = quality.score(docs, model)
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

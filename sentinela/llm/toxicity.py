@@ -6,7 +6,7 @@ pair of terms the product of their latent factors, which is how an insult togeth
 a group weighs more than both alone. All pairs of a text are summed in time linear in its terms.
 
 The machine is fitted on a bounded sample of labelled rows (``SAMPLE`` in expectation, half of each
-label, chosen by a hash). Terms take part if their link with the label in the sample is beyond
+label, chosen by a hash of the id). Terms take part if their link with the label in the sample is beyond
 chance, which keeps long texts from being judged by the sum of many meaningless weights. Sampled
 rows reach the driver as their hashed terms.
 
@@ -29,8 +29,8 @@ from sentinela.llm.arrays import Rolling, code_points, letter_table, spans
 from sentinela.llm.tables import slices, text_or_empty
 
 BUCKET_BITS, STEM = 20, 5
-SAMPLE, FACTORS, LEAST_Z, LEAST_ROWS = 12_000, 4, 4.0, 4
-EPOCHS, BATCH, RATE, DECAY = 25, 256, 0.15, 1e-5
+SAMPLE, FACTORS, LEAST_Z, LEAST_ROWS = 12_000, 4, 5.0, 4
+EPOCHS, BATCH, RATE, DECAY, DROPOUT = 25, 256, 0.15, 1e-5, 0.1
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,10 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             batch = order[i:i + BATCH]
             counts = bounds[batch + 1] - bounds[batch]
             at = np.repeat(bounds[batch] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            slots, own = flat[at], np.repeat(np.arange(len(batch)), counts)
+            own = np.repeat(np.arange(len(batch)), counts)
+            # Terms are left out at random, so that each learns to tell alone what it often tells with others.
+            used = random.random(len(at)) >= DROPOUT
+            slots, own = flat[at[used]], own[used]
             error = sigmoid(machine.raw(own, slots, len(batch))) - labels[batch]
             seen, place = np.unique(slots, return_inverse=True)
             by_term = np.bincount(place, error[own], minlength=len(seen))
@@ -123,22 +126,22 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     return machine
 
 
-def balanced(df: DataFrame, label: str, most: int, text: str = "text") -> DataFrame:
-    """About ``most`` labelled rows, half of each label as far as there are so many, chosen by a hash of the text."""
-    per_label = {int(r[0]): r[1] for r in df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    dice = F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(1_000_003)) / 1_000_003
-    share = F.when(F.col(label) == 1, F.lit(most / 2 / per_label.get(1, 1))).otherwise(F.lit(most / 2 / per_label.get(0, 1)))
-    return df.where(F.col(label).isin(0, 1) & (dice < share))
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id") -> DataFrame:
+    """``text`` and ``label`` of about ``most`` labelled documents, half of each label as far as there are so many.
 
+    The sample is drawn from the labels alone, by a hash of the id. Its bounded list of ids is sent to
+    the texts, so no text is shuffled. A document with several labels has the largest.
+    """
+    per_doc = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("label")).where("label in (0, 1)")
+    n = {r[0]: r[1] for r in per_doc.groupBy("label").count().collect()}
+    dice = F.pmod(F.xxhash64(F.lit("sample"), F.col("__id")), F.lit(1_000_003)) / 1_000_003
+    share = F.when(F.col("label") == 1, F.lit(most / 2 / n.get(1, 1))).otherwise(F.lit(most / 2 / n.get(0, 1)))
+    chosen = F.broadcast(per_doc.where(dice < share))
+    return docs.join(chosen, docs[doc_id] == chosen["__id"]).select(text_or_empty().alias("text"), "label")
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
-    """``text`` and label of each labelled document; a document with several labels has the largest."""
-    per_doc = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("label"))
-    return docs.join(per_doc, docs[doc_id] == per_doc["__id"]).select(text_or_empty().alias("text"), "label")
 
-
-def fit(rows: DataFrame) -> Machine:
-    """A machine from rows of ``text`` and ``label`` (0 or 1)."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
+    """A machine from documents and the labels to learn from."""
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,9 +152,9 @@ def fit(rows: DataFrame) -> Machine:
                 out += [part.astype("<i4").tobytes() for part in np.split(bucket, cuts)]
             yield pd.DataFrame({"terms": out, "label": batch["label"].to_numpy()})
 
-    sample = balanced(rows, "label", SAMPLE).mapInPandas(collect, "terms binary, label int").toPandas()
-    sample = sample.sort_values(["label", "terms"])
-    return learn([np.frombuffer(b, "<i4") for b in sample["terms"]], sample["label"].to_numpy(np.float64))
+    rows = sample(docs, labels, label, SAMPLE).mapInPandas(collect, "terms binary, label int").toPandas()
+    rows = rows.sort_values(["label", "terms"])
+    return learn([np.frombuffer(b, "<i4") for b in rows["terms"]], rows["label"].to_numpy(np.float64))
 
 
 def scored(text: Column, machine: Machine) -> Column:
