@@ -2,8 +2,8 @@
 
 Found entities are replaced by keyed surrogates of the same kind and format: digits become digits,
 letters become letters of the same case and script, while marks, titles, country codes, key
-prefixes and top-level domains stay. Numbers of cards keep their check digit right (or as wrong as
-it was). Names become pronounceable names, given names with the ending of the gender their title
+prefixes and top-level domains stay. Numbers of cards get a right check digit, without which a number
+is not taken for one. Names become pronounceable names, given names with the ending of the gender their title
 tells. A surrogate comes from a keyed permutation: Feistel rounds over the entity's variable
 characters, of which those at even and those at odd places move in turn by a digest of the others.
 Therefore
@@ -64,6 +64,8 @@ KINDS = {
     "family": rf"{_ANY_TITLE}{_NAME}|(?<!\w)(?=\p{{Lu}})(?<={_ANY_TITLE}\p{{Lu}}[\p{{L}}'’-]{{1,40}} ){_NAME}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
+# Ranges of card numbers by issuer.
+ISSUERS = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|35|6[0-5])\d{14}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11})$"
 # A text without any of these holds no entity.
 HINT = rf"[0-9@]|{_ANY_TITLE}\p{{Lu}}"
 
@@ -81,7 +83,12 @@ def _kind(m: Column) -> Column:
     for kind, pattern in reversed(KINDS.items()):
         if kind.startswith("given"):
             pattern = _title(TITLES[kind[-1]]) + _NAME + " "
-        if kind != "family":
+        if kind == "card":
+            # Other numbers of that length are no entities: a wrong check digit, or no issuer's range.
+            digits = F.regexp_replace(m, r"\D", "")
+            right = F.regexp_like(digits, F.lit(ISSUERS)) & (F.right(digits, F.lit(1)).cast("int") == _check_digit(digits))
+            found = F.when(F.regexp_like(m, F.lit(f"^(?:{pattern})$")), F.when(right, kind).otherwise("number")).otherwise(found)
+        elif kind != "family":
             found = F.when(F.regexp_like(m, F.lit(f"^(?:{pattern})$")), kind).otherwise(found)
     return found
 
@@ -106,7 +113,7 @@ def _tail(m: Column, kind: Column) -> Column:
 
 def _alphabet(c: Column, kind: Column) -> Column:
     """The characters among which this one is moved; none if it stays."""
-    found = F.when(kind == "ip", F.when(c == ".", "").otherwise(OCTET)).when(F.contains(F.lit(DIGITS), c), DIGITS)
+    found = F.when(kind == "number", "").when(kind == "ip", F.when(c == ".", "").otherwise(OCTET)).when(F.contains(F.lit(DIGITS), c), DIGITS)
     found = found.when(kind.startswith("hex"), F.when(F.contains(F.lit("abcdef"), c), "abcdef").otherwise("ABCDEF"))
     for letters in SCRIPTS:
         found = found.when(F.contains(F.lit(letters), c), letters)
@@ -191,8 +198,7 @@ def _written(e: Column) -> Column:
 
 
 def _finished(e: Column) -> Column:
-    last = F.right(e["m"], F.lit(1)).cast("int")
-    check = F.pmod(_check_digit(e["text"]) + last - _check_digit(e["m"]), F.lit(10)).cast("string")
+    check = _check_digit(e["text"]).cast("string")
     out = F.when(e["kind"] == "card", F.concat(F.substr(e["text"], F.lit(1), F.length(e["text"]) - 1), check))
     for gender, (latin, cyrillic, greek) in ENDINGS.items():
         ending = F.when(F.regexp_like(e["text"], F.lit(r"\p{IsCyrillic}")), cyrillic).when(
@@ -226,11 +232,14 @@ def replace(df: DataFrame, key: str, text: str = "text", count: str | None = Non
         pieces, F.col("__new"), lambda piece, e: F.concat(piece, F.coalesce(e["surrogate"], F.lit(""))))))
     out = found.withColumn(text, new)
     if count:
-        out = without(out, [count]).withColumn(count, F.size("__found"))
+        out = without(out, [count]).withColumn(count, F.size(F.filter("__new", lambda e: e["kind"] != "number")))
     return out.drop("__found", "__new")
 
 
 def collisions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Entities that share a surrogate with another of their kind: ``kind, surrogate, entities``. Empty by construction."""
-    found = df.select(F.explode(surrogates(mentions(F.col(text)), key)).alias("e")).select("e.*").distinct()
+    found = df.select(F.explode(surrogates(mentions(F.col(text)), key)).alias("e")).select("e.*").where("kind != 'number'")
+    # Spellings of one entity agree in their letters and digits.
+    entity = F.lower(F.regexp_replace(F.concat("kind", "m"), r"[^\p{L}\p{N}]", "")).alias("m")
+    found = found.select("kind", entity, F.lower(F.regexp_replace("surrogate", r"[^\p{L}\p{N}]", "")).alias("surrogate")).distinct()
     return found.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
