@@ -1,0 +1,71 @@
+import random
+
+import numpy as np
+
+from sentinela.llm import toxicity
+from sentinela.llm.queries import QUERIES
+from pyspark.sql import functions as F
+from tests.conftest import rows
+
+DATA = "/root/testdata/sf0.1"
+WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+
+
+def texts_with_pairs(n, seed):
+    """Texts that are toxic only if they hold both an insult and a group."""
+    chance = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = chance.choices(WORDS, k=20)
+        insult, group = chance.random() < 0.5, chance.random() < 0.5
+        words += ["vermin"] * insult + ["hobbits"] * group
+        chance.shuffle(words)
+        out.append((" ".join(words), int(insult and group)))
+    return out
+
+
+def test_learns_pairs_that_weights_alone_cannot():
+    texts, labels = zip(*texts_with_pairs(1500, 1))
+    owner, bucket = toxicity.distinct(*toxicity.terms(list(texts)))
+    machine = toxicity.learn(np.split(bucket, np.searchsorted(owner, np.arange(1, len(texts)))), np.array(labels, float))
+    tried, right = zip(*texts_with_pairs(400, 2))
+    assert ((machine.scores(list(tried)) >= 0.5) == np.array(right)).mean() > 0.97
+
+
+def test_pairs_in_linear_time_are_all_pairs():
+    random = np.random.default_rng(0)
+    machine = toxicity.Machine(0.3, np.arange(6), random.normal(size=6), random.normal(size=(6, toxicity.FACTORS)))
+    slots = np.array([0, 2, 5, 1])
+    w, v = machine.weights[slots], machine.factors[slots]
+    plain = 0.3 + w.sum() + sum(v[i] @ v[j] for i in range(4) for j in range(i))
+    assert np.isclose(machine.raw(np.zeros(4, int), slots, 1)[0], plain)
+
+
+def test_held_out(spark):
+    found = QUERIES["op5_toxicity_factorization_machine"](spark, DATA)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    held = found.where("held_out").join(labels, "doc_id")
+    n = {(r.toxic, r.predicted): r.n for r in held.groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
+    assert n.get((0, 1), 0) <= 0.005 * n[(0, 0)]
+    assert n[(1, 1)] >= 0.8 * (n[(1, 1)] + n.get((1, 0), 0))
+    assert found.where("predicted != int(score >= 0.7) or score < 0 or score > 1").count() == 0
+
+
+def test_odd_rows(spark):
+    learnt = [(i, t, "x") for i, (t, _) in enumerate(texts_with_pairs(300, 3))]
+    docs = spark.createDataFrame([*learnt, (900, None, "x"), (901, "", "x"), (902, "vermin hobbits " * 30_000, "x"),
+                                  (902, "vermin hobbits " * 30_000, "x"), (None, "vermin hobbits", "x")],
+                                 "doc_id long, text string, SCORE string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts_with_pairs(300, 3))] +
+                                   [(5, 0), (5, None), (7777, 1), (None, 1)], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    found = toxicity.score(docs, machine)
+    assert [c.lower() for c in found.columns] == ["doc_id", "text", "score"]
+    score = {r.doc_id: r[2] for r in found.where("doc_id >= 900 or doc_id is null").collect()}
+    assert score[900] == score[901] and score[902] == score[None] > 0.5
+    kept = toxicity.drop_toxic(docs, machine, 0.5)
+    assert kept.columns == docs.columns and kept.where("doc_id = 902 or doc_id is null").count() == 0
+    for few in (labels.limit(0), labels.where("toxic = 1")):
+        flat = toxicity.score(docs, toxicity.fit(docs, few)).select("score").distinct().collect()
+        assert len(flat) == 1
+    assert toxicity.score(docs.limit(0), machine).count() == 0
