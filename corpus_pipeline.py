@@ -25,8 +25,7 @@ TOXIC_FROM = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learnt = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
-    model = toxicity.fit(toxicity.labelled(docs, learnt, "toxic"))
-    return toxicity.drop_toxic(docs, model, TOXIC_FROM)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, learnt), TOXIC_FROM)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
