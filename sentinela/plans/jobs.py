@@ -18,7 +18,7 @@ from sentinela.sources.catalog import run_sql_model
 from sentinela.sources.delimited import read_delimited, read_without_edges
 from sentinela.sources.json import read_json
 from sentinela.sources.lines import (
-    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, file_edges,
+    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, positioned_lines, read_lines,
 )
 from sentinela.sources.partitions import ingestion_path
 from sentinela.staging import stage
@@ -35,26 +35,27 @@ def read_bronze(spark: SparkSession, spec: IngestSpec, path: str, variables: dic
     if from_line and spec.ext == "json":
         raise ValueError("a date cannot be cut from a line of a JSON document")
     by_line = spec.ext != "json" and (spec.skip_header or spec.skip_footer or from_line)
-    edges = file_edges(spark, path) if by_line else None
+    placed = positioned_lines(spark, path, spec.encoding) if by_line else None
     if spec.ext == "json":
         df = read_json(spark, path, explode_column=spec.explode_column, encoding=spec.encoding, **options)
     elif spec.ext == "txt":
-        lines = drop_edge_lines(spark, path, int(spec.skip_header), spec.skip_footer, spec.encoding, edges)
+        lines = read_lines(spark, path, spec.encoding)
+        if by_line:
+            lines = drop_edge_lines(placed, int(spec.skip_header), spec.skip_footer).drop("_place")
         df = cut_fixed_width(lines, list(spec.layout), spec.positional) if spec.layout else lines
     elif spec.ext == "csv":
         align = str(options.pop("normalize_schema", False)).lower() == "true"
         if by_line:
-            df = read_without_edges(spark, path, names, spec.header, spec.sep, spec.encoding, spec.skip_header,
-                                    spec.skip_footer, edges, **options)
+            df = read_without_edges(placed, names, spec.header, spec.sep, spec.skip_header, spec.skip_footer, **options)
         else:
             df = read_delimited(spark, path, names, spec.header, spec.sep, spec.encoding, align, **options)
     else:
         raise ValueError(f"unsupported extension {spec.ext!r}; supported are {EXTENSIONS}")
     if from_line:
-        df = add_date_from_line(df, spark, path, literal, spec.encoding, edges)
+        df = add_date_from_line(df, placed, literal)
     elif literal is not None:
         df = add_literal_date(df, literal)
-    return df.drop("_file")
+    return df.drop("_file", "_block")
 
 
 def bronze_to_silver(

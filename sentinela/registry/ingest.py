@@ -24,7 +24,7 @@ from sentinela.sinks.tables import insert_into, upsert_into
 from sentinela.sources.delimited import align_header, read_aligned, read_delimited
 from sentinela.sources.json import explode_rows, read_json
 from sentinela.sources.lines import (
-    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, file_edges, read_lines,
+    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, positioned_lines, read_lines,
 )
 from sentinela.sources.partitions import ingestion_path
 from sentinela.sources.zipped import unzip_csv
@@ -232,24 +232,23 @@ def _landed_lines(t: Tables, header: str | None = None, footer: str | None = Non
 def _(t):
     path = _landed_lines(t, header="00ARQ 20260417 PEDIDOS")
     literal = LiteralColumn("dt_arquivo", "yyyyMMdd", line=0, start=6, end=14)
-    edges = file_edges(t.spark, path)
-    dated = add_date_from_line(drop_edge_lines(t.spark, path, header=True, edges=edges), t.spark, path, literal,
-                               edges=edges)
-    return cut_fixed_width(dated.drop("_file"), ORDER_LAYOUT[:1]).select(
+    lines = positioned_lines(t.spark, path)
+    dated = add_date_from_line(drop_edge_lines(lines, header=1), lines, literal)
+    return cut_fixed_width(dated.drop("_file", "_block", "_place"), ORDER_LAYOUT[:1]).select(
         F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "dt_arquivo")
 
 
 @query("skip_header_row", "SELECT o_orderkey FROM orders")
 def _(t):
     path = _landed_lines(t, header="CABECALHO")
-    kept = drop_edge_lines(t.spark, path, header=True)
+    kept = drop_edge_lines(positioned_lines(t.spark, path), header=1)
     return kept.select(F.substring("value", 1, 20).cast("bigint").alias("o_orderkey"))
 
 
 @query("skip_footer_row", "SELECT o_orderkey FROM orders")
 def _(t):
     path = _landed_lines(t, header="CABECALHO", footer="TOTAL 999")
-    kept = drop_edge_lines(t.spark, path, header=True, footer=True)
+    kept = drop_edge_lines(positioned_lines(t.spark, path), header=1, footer=True)
     return kept.select(F.substring("value", 1, 20).cast("bigint").alias("o_orderkey"))
 
 

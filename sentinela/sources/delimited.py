@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sentinela.sources.lines import drop_edge_lines, file_edges, header_line
-from sentinela.staging import broadcast_if_small
+from sentinela.sources.lines import beside_lines, decoded, drop_edge_lines, header_line
 
 
 def align_header(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -55,37 +56,30 @@ def read_aligned(spark: SparkSession, path: str | list[str], names: Iterable[str
                  encoding: str = "UTF-8", uniform_header: bool = False, **options: str) -> DataFrame:
     """Read files whose headers may differ in order or content; columns in upper case.
 
-    The plain reader binds every file by the first one's header. It is used when all headers
-    are equal. Otherwise each line is parsed next to its own file's header, in one scan.
-    Finding the headers passes over the text first; ``uniform_header`` saves that where the
-    files are known to agree.
+    The CSV reader binds every file it is given by the first one's header. So files are grouped by
+    header, the reader reads each group, and the groups are put together by name. Finding the
+    headers passes over the text once; ``uniform_header`` saves that where all files agree.
     """
     names = [n.upper() for n in names]
-    if not uniform_header:
-        edges = file_edges(spark, path)
-        headers = header_line(spark, path, 0, encoding, edges)
-        kinds = headers.select("_line").distinct().limit(2).count()
-        if kinds == 0:
-            raise ValueError(f"no data files in {path}")
-        if kinds > 1:
-            return _read_by_own_header(spark, path, names, headers, edges, sep, encoding, options).drop("_file")
     reader = spark.read.options(sep=sep, encoding=encoding, header=True, **options)
-    return align_header(reader.csv(path), names)
-
-
-def _read_by_own_header(spark: SparkSession, path: str | list[str], names: list[str], headers: DataFrame,
-                        edges: DataFrame, sep: str, encoding: str, options: dict[str, str],
-                        skip_first: bool = False, skip_last: bool = False) -> DataFrame:
-    separators = F.length(F.regexp_replace("_line", "[^" + re.escape(sep) + "]", ""))
-    width = headers.agg(F.max(separators)).first()[0] + 1
-    titles = F.transform(_cells(F.col("_line"), width, sep, options), lambda h: F.upper(F.trim(h)))
-    titled = broadcast_if_small(headers, max_rows=50_000).select("_file", titles.alias("_titles"))
-    lines = drop_edge_lines(spark, path, 2 if skip_first else 1, skip_last, encoding, edges)
-    lines = lines.filter(F.trim("value") != "")
-    rows = lines.withColumn("_cells", _cells(F.col("value"), width, sep, options)).join(titled, "_file")
-    return rows.select(*[
-        F.try_element_at("_cells", F.nullif(F.array_position("_titles", F.lit(n)).cast("int"), F.lit(0))).alias(n)
-        for n in names], "_file")
+    if uniform_header:
+        return align_header(reader.csv(path), names)
+    # A list of files for each header, as Spark's own listing of the folder holds it.
+    groups = file_headers(spark, path, encoding).groupBy("_line").agg(F.collect_list("_file").alias("files")).collect()
+    if not groups:
+        raise ValueError(f"no data files in {path}")
+    groups = sorted(sorted(unquote(f) for f in g.files) for g in groups)
+    parts = [align_header(reader.csv(files), names) for files in groups]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def file_headers(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """First line of every file, as ``_file``, ``_line``, found in one scan."""
+    first = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"),
+    ).filter("_metadata.file_block_start = 0")
+    heads = first.groupBy("_file").agg(F.min_by("value", "_place").alias("value"))
+    return decoded(heads, encoding).select("_file", F.col("value").alias("_line"))
 
 
 def _cells(c: Column, width: int, sep: str, options: dict[str, str]) -> Column:
@@ -94,21 +88,28 @@ def _cells(c: Column, width: int, sep: str, options: dict[str, str]) -> Column:
     return F.array(*[parsed[p] for p in places])
 
 
-def read_without_edges(spark: SparkSession, path: str | list[str], names: Iterable[str], header: bool, sep: str | None,
-                       encoding: str = "UTF-8", skip_first: bool = False, skip_last: bool = False,
-                       edges: DataFrame | None = None, **options: str) -> DataFrame:
-    """Delimited rows without the first and/or last data line of each file, all text, plus ``_file``.
+def read_without_edges(lines: DataFrame, names: Iterable[str], header: bool, sep: str | None, skip_first: bool = False,
+                       skip_last: bool = False, **options: str) -> DataFrame:
+    """Delimited rows without the first and/or last data line of each file, all text, plus ``_file``, ``_block``.
 
-    A header line is not a data line: it names the columns and goes as well.
+    ``lines`` are ``positioned_lines``. A header line is not a data line: it names the columns and
+    goes as well. A record is one line here; files with line breaks inside quotes are refused.
     """
     if not sep:
         raise ValueError("a delimited file needs a separator")
+    if str(options.get("multiLine", options.get("multiline", False))).lower() == "true":
+        raise ValueError("edge lines cannot be dropped from files whose records span lines")
     names = list(names)
-    edges = edges if edges is not None else file_edges(spark, path)
-    if header:
-        headers = header_line(spark, path, 0, encoding, edges)
-        return _read_by_own_header(spark, path, [n.upper() for n in names], headers, edges, sep, encoding, options,
-                                   skip_first, skip_last)
-    lines = drop_edge_lines(spark, path, int(skip_first), skip_last, encoding, edges).filter(F.trim("value") != "")
-    cells = _cells(F.col("value"), len(names), sep, options)
-    return lines.select(*[cells[i].alias(n) for i, n in enumerate(names)], "_file")
+    kept = drop_edge_lines(lines, int(header) + int(skip_first), skip_last).filter(F.trim("value") != "")
+    if not header:
+        cells = _cells(F.col("value"), len(names), sep, options)
+        return kept.select(*[cells[i].alias(n) for i, n in enumerate(names)], "_file", "_block")
+    headers = header_line(lines)
+    separators = F.length(F.regexp_replace("_line", "[^" + re.escape(sep) + "]", ""))
+    width = (headers.agg(F.max(separators)).first()[0] or 0) + 1
+    titles = F.transform(_cells(F.col("_line"), width, sep, options), lambda h: F.upper(F.trim(h))).alias("_titles")
+    rows = beside_lines(lines, headers.select("_file", titles), kept)
+    rows = rows.withColumn("_cells", _cells(F.col("value"), width, sep, options))
+    return rows.select(*[
+        F.try_element_at("_cells", F.nullif(F.array_position("_titles", F.lit(n.upper())).cast("int"), F.lit(0))).alias(n.upper())
+        for n in names], "_file", "_block")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sentinela.config import LiteralColumn
 from sentinela.functions.text import slice_text
-from sentinela.staging import broadcast_if_small, stage
+from sentinela.staging import stage
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """One row per line, in the column ``value``."""
-    return _decoded(spark.read.text(path), encoding)
+    return decoded(spark.read.text(path), encoding)
 
 
-def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
+def decoded(lines: DataFrame, encoding: str) -> DataFrame:
     """The text reader keeps a line's bytes as they are; other encodings are decoded here."""
     if encoding.upper().replace("-", "") == "UTF8":
         return lines
@@ -22,10 +22,12 @@ def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
 
 
 def positioned_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """Lines with their file, the byte offset of their split and their place in the task's scan.
+    """Lines with their file, the byte offset of their split and their place; staged.
 
-    Rows of one split have consecutive places in file order, so (offset, place) orders the
-    lines of a file without bringing the file into one task.
+    Columns: ``value``, ``_file``, ``_block``, ``_place``. Places of one split are consecutive in
+    file order, so (block, place) orders the lines of a file without bringing the file into one task.
+    Both depend on how the scan was split, therefore they are written once, and everything that
+    compares places takes them from this copy.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -33,50 +35,52 @@ def positioned_lines(spark: SparkSession, path: str | list[str], encoding: str =
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_place"),
     )
-    return _decoded(lines, encoding)
+    return stage(decoded(lines, encoding), "lines")
 
 
-def file_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Where the first and the last line of every file are; staged, one row per file.
+def _blocks(lines: DataFrame) -> DataFrame:
+    """First and last place of every split, and the lines of its file before it.
 
-    Plain numbers are reduced per split on the map side, without reading the text itself; then
-    the one row per split is compared.
+    Reads numbers only, reduced on the map side; then there is one row a split.
     """
-    splits = positioned_lines(spark, path).groupBy("_file", "_block").agg(
-        F.min("_place").alias("low"), F.max("_place").alias("high"))
-    return stage(splits.groupBy("_file").agg(
-        F.min(F.when(F.col("_block") == 0, F.col("low"))).alias("_first"),
-        F.max(F.struct("_block", F.col("high").alias("_place"))).alias("_last")), "edges")
+    bounds = lines.groupBy("_file", "_block").agg(F.min("_place").alias("low"), F.max("_place").alias("high"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return bounds.withColumn("before", F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(before), F.lit(0)))
 
 
-def drop_edge_lines(spark: SparkSession, path: str | list[str], header: int = 0, footer: bool = False,
-                    encoding: str = "UTF-8", edges: DataFrame | None = None) -> DataFrame:
-    """Lines without the first ``header`` lines and, on request, the last line of each file.
+def drop_edge_lines(lines: DataFrame, header: int = 0, footer: bool = False) -> DataFrame:
+    """``positioned_lines`` without the first ``header`` and, on request, the last line of each file.
 
-    Columns: ``value``, ``_file``. Leading lines are those of a file's first split; the lines
-    need no shuffle to look their file up.
+    The lines to drop are few and named by their place, which no two lines share, so looking them
+    up spreads evenly however large a file is.
     """
-    lines = positioned_lines(spark, path, encoding)
     if not (header or footer):
-        return lines.select("value", "_file")
-    known = broadcast_if_small(edges if edges is not None else file_edges(spark, path))
-    keep = F.lit(True)
+        return lines
+    blocks, edges = _blocks(lines), []
     if header:
-        keep = keep & ((F.col("_block") > 0) | (F.col("_place") >= F.col("_first") + int(header)))
+        last = F.least("high", F.col("low") + int(header) - F.col("before") - 1)
+        edges.append(blocks.filter(F.col("before") < int(header)).select(F.explode(F.sequence("low", last)).alias("_place")))
     if footer:
-        keep = keep & (F.struct("_block", "_place") != F.col("_last"))
-    return lines.join(known, "_file").filter(keep).select("value", "_file")
+        last = blocks.groupBy("_file").agg(F.max(F.struct("_block", "high")).alias("last"))
+        edges.append(last.select(F.col("last.high").alias("_place")))
+    named = edges[0] if len(edges) == 1 else edges[0].union(edges[1])
+    return lines.join(stage(named, "edges"), "_place", "left_anti")
 
 
-def header_line(spark: SparkSession, path: str | list[str], line: int = 0, encoding: str = "UTF-8",
-                edges: DataFrame | None = None) -> DataFrame:
-    """Line number ``line`` (0-based) of every file, as ``_file``, ``_line``; staged, one row per file."""
-    known = broadcast_if_small(edges if edges is not None else file_edges(spark, path))
-    found = (
-        positioned_lines(spark, path, encoding).filter("_block = 0").join(known, "_file")
-        .filter(F.col("_place") == F.col("_first") + line)
-    )
-    return stage(found.select("_file", F.col("value").alias("_line")), "header-lines")
+def header_line(lines: DataFrame, line: int = 0) -> DataFrame:
+    """Line number ``line`` (0-based) of every file that has it, as ``_file``, ``_line``; one row per file."""
+    place = F.col("low") + line - F.col("before")
+    wanted = _blocks(lines).filter(place.between(F.col("low"), F.col("high"))).select(place.alias("_place"))
+    return stage(lines.join(wanted, "_place", "left_semi").select("_file", F.col("value").alias("_line")), "header-lines")
+
+
+def beside_lines(lines: DataFrame, per_file: DataFrame, kept: DataFrame) -> DataFrame:
+    """Join what is known of each file to its lines ``kept``.
+
+    The key is the split, not the file: a file of any size is met by many small keys.
+    """
+    per_block = stage(_blocks(lines).select("_file", "_block").join(per_file, "_file", "left"), "per-block")
+    return kept.join(per_block, ["_file", "_block"], "left")
 
 
 def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:
@@ -86,14 +90,10 @@ def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:
     return df.withColumn(literal.name, F.try_to_date(F.lit(literal.value), literal.mask))
 
 
-def add_date_from_line(df: DataFrame, spark: SparkSession, path: str | list[str], literal: LiteralColumn,
-                       encoding: str = "UTF-8", edges: DataFrame | None = None) -> DataFrame:
-    """Date cut out of a header line of the file each row came from (``_file``)."""
-    cut = broadcast_if_small(header_line(spark, path, literal.line, encoding, edges)).select(
-        "_file",
-        F.try_to_date(slice_text(F.col("_line"), literal.start, literal.end), literal.mask).alias(literal.name),
-    )
-    return df.join(cut, "_file", "left")
+def add_date_from_line(df: DataFrame, lines: DataFrame, literal: LiteralColumn) -> DataFrame:
+    """Date cut out of a header line of the file each row came from (``_file``, ``_block``)."""
+    date = F.try_to_date(slice_text(F.col("_line"), literal.start, literal.end), literal.mask).alias(literal.name)
+    return beside_lines(lines, header_line(lines, literal.line).select("_file", date), df)
 
 
 def cut_fixed_width(df: DataFrame, layout: list[tuple[str, int, int]], positional: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from sentinela.sinks.files import dated_path, land_json, write_csv, write_parque
 from sentinela.sinks.jdbc import jdbc_write_options
 from sentinela.sinks.runlog import RunLog, read_runs
 from sentinela.sinks.tables import OVERWRITE_MODE, insert_into, upsert_into
-from sentinela.staging import broadcast_if_small, scratch_root, stage
+from sentinela.staging import scratch_root, stage
 from tests.conftest import rows
 
 SCHEMA = "{'cd_geocode': 'int', 'ds_doenca': 'string', 'dt_semana': ['date', 'yyyy-MM-dd'], 'vl_rt': 'double'}"
@@ -217,9 +217,6 @@ def test_jdbc_write_options():
 def test_staging(spark):
     staged = stage(spark.range(10), "x")
     assert staged.count() == 10 and scratch_root(spark) in staged.inputFiles()[0].replace("file://", "")
-    hint = "ResolvedHint"
-    assert hint in broadcast_if_small(staged)._jdf.queryExecution().analyzed().toString()
-    assert hint not in broadcast_if_small(staged, max_rows=9)._jdf.queryExecution().analyzed().toString()
 
 
 def test_gold_rows_fit_the_declared_table(spark, folder):

@@ -12,7 +12,7 @@ from sentinela.sources.delimited import align_header, read_aligned, read_delimit
 from sentinela.sources.jdbc import jdbc_query_options, jdbc_split_options, jdbc_url
 from sentinela.sources.json import json_reader_options, read_json
 from sentinela.sources.lines import (
-    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, header_line, read_lines,
+    add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, header_line, positioned_lines, read_lines,
 )
 from sentinela.sources.partitions import ingestion_path
 from sentinela.sources.zipped import read_zipped_csv
@@ -75,25 +75,58 @@ def test_edge_lines_of_split_files(spark, folder, small_splits):
     put(folder, "2.txt", "same line\n" + "".join(f"row {i}\n" for i in range(200)) + "same line\n")
     put(folder, "3.txt", "only\n")
     assert read_lines(spark, folder).rdd.getNumPartitions() > 8
-    kept = drop_edge_lines(spark, folder, header=True, footer=True)
+    lines = positioned_lines(spark, folder)
+    kept = drop_edge_lines(lines, header=1, footer=True)
     counted = dict(kept.groupBy("value").count().collect())
     assert counted.pop("same line") == 300 and counted.pop("HEAD") == 1
     assert set(counted) == {f"row {i}" for i in range(200)} and set(counted.values()) == {1}
-    headless = drop_edge_lines(spark, folder, header=True)
-    assert headless.count() == 303 - 1 + 202 - 1
+    assert drop_edge_lines(lines, header=1).count() == 303 - 1 + 202 - 1
+    # More header lines than a file has, and a header longer than a split.
+    assert drop_edge_lines(lines, header=2).count() == 303 - 2 + 202 - 2
+    put(folder, "4.txt", "h" * 900 + "\n" + "second\n" + "third\n")
+    assert "third" in [r.value for r in drop_edge_lines(positioned_lines(spark, folder), header=2).collect()]
+
+
+def test_edge_lines_do_not_depend_on_how_files_are_split(spark, folder):
+    """The size of splits changes between finding edges and reading rows, as with another number of executors."""
+    for k in range(4):
+        put(folder, f"{k}.txt", "HEAD\n" + "".join(f"{k} {i}\n" for i in range(3000)) + "TAIL\n")
+    key, want = "spark.sql.files.maxPartitionBytes", sorted(f"{k} {i}" for k in range(4) for i in range(3000))
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "500b")
+        lines = positioned_lines(spark, folder)
+        kept = drop_edge_lines(lines, header=1, footer=True)
+        heads = header_line(lines)
+        spark.conf.set(key, "7k")
+        assert sorted(r.value for r in kept.collect()) == want
+        assert [r._line for r in heads.collect()] == ["HEAD"] * 4
+        dated = add_date_from_line(kept, lines, LiteralColumn("d", "yyyyMMdd", line=1, start=0, end=8))
+        spark.conf.set(key, "1g")
+        assert dated.count() == len(want)
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_header_line_and_dates_from_it(spark, folder, small_splits):
     put(folder, "1.txt", "H1 20260417\nH2 31/12/2025\n" + "AAABBB\n" * 100)
     put(folder, "2.txt", "H1 20260501\nH2 01/01/2026\n" + "CCCDDD\n" * 50)
-    assert [r[0] for r in rows(header_line(spark, folder, 1), "_line")] == ["H2 01/01/2026", "H2 31/12/2025"]
-    lines = drop_edge_lines(spark, folder, header=True)
-    first = add_date_from_line(lines, spark, folder, LiteralColumn("d", "yyyyMMdd", line=0, start=3, end=11))
+    lines = positioned_lines(spark, folder)
+    assert [r[0] for r in rows(header_line(lines, 1), "_line")] == ["H2 01/01/2026", "H2 31/12/2025"]
+    kept = drop_edge_lines(lines, header=1)
+    first = add_date_from_line(kept, lines, LiteralColumn("d", "yyyyMMdd", line=0, start=3, end=11))
     assert dict(first.groupBy("d").count().collect()) == {date(2026, 4, 17): 101, date(2026, 5, 1): 51}
-    second = add_date_from_line(lines, spark, folder, LiteralColumn("d", "dd/MM/yyyy", line=1, start=3, end=13))
+    second = add_date_from_line(kept, lines, LiteralColumn("d", "dd/MM/yyyy", line=1, start=3, end=13))
     assert dict(second.groupBy("d").count().collect()) == {date(2025, 12, 31): 101, date(2026, 1, 1): 51}
 
 
+def test_differing_headers_with_line_breaks_in_quotes(spark, folder):
+    put(folder, "1.csv", 'a,b\n1,"two\nlines"\n2,x\n')
+    put(folder, "2 of.csv", 'b,a\n"three\nmore\nlines",3\n')
+    got = rows(read_aligned(spark, folder, ["a", "b"], multiLine=True), "A", "B")
+    assert got == [("1", "two\nlines"), ("2", "x"), ("3", "three\nmore\nlines")]
+
+
 def test_fixed_width(spark):
     df = spark.createDataFrame([("001 Ana  M9",), ("002Bruna F",)], "value string")
     cut = cut_fixed_width(df, [("id", 0, 3), ("nome", 3, 9), ("sexo", 9, 10), ("x", 10, 11)], positional=("nome",))
@@ -202,7 +235,7 @@ def test_flatten_alert(spark, folder):
 def test_rows_without_first_and_last_data_line(spark, folder, small_splits):
     put(folder, "1.csv", "a;b\nunits;kg\n" + "1;x\n" * 200 + "total;200\n")
     put(folder, "2.csv", "b;a\nkg;units\ny;2\nend;\n")
-    got = read_without_edges(spark, folder, ["a", "b"], True, ";", skip_first=True, skip_last=True).drop("_file")
+    got = read_without_edges(positioned_lines(spark, folder), ["a", "b"], True, ";", skip_first=True, skip_last=True).drop("_file", "_block")
     assert dict((tuple(r)[:2], r["count"]) for r in got.groupBy("A", "B").count().collect()) == {("1", "x"): 200, ("2", "y"): 1}
-    bare = read_without_edges(spark, f"{folder}/2.csv", ["p", "q"], False, ";", skip_last=True).drop("_file")
+    bare = read_without_edges(positioned_lines(spark, f"{folder}/2.csv"), ["p", "q"], False, ";", skip_last=True).drop("_file", "_block")
     assert rows(bare) == [("b", "a"), ("kg", "units"), ("y", "2")]
