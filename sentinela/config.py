@@ -128,6 +128,9 @@ class IngestSpec:
 
     @classmethod
     def parse(cls, params: dict[str, Any]) -> IngestSpec:
+        # Names that existing configuration records use for the same settings.
+        params = {**params, "bronze_path": params.get("bronze_path") or params.get("s3_bronze_path"),
+                  "merge_query": params.get("merge_query") or params.get("iceberg_query")}
         required = ("trgt_tbl", "ext", "bronze_path", "silver_table", "table_schema")
         missing = [name for name in required if not params.get(name)]
         if missing:

@@ -72,6 +72,12 @@ def iso_week(c: Column) -> Column:
     return F.weekofyear(c).cast("int")
 
 
+def look_back(end: Column, weeks: int = 4) -> dict[str, Column]:
+    """ISO year and week at the end of a capture window, and ``weeks`` weeks before it."""
+    start = F.date_sub(end.cast("date"), 7 * weeks)
+    return {"year_end": iso_year(end), "week_end": iso_week(end), "year_start": iso_year(start), "week_start": iso_week(start)}
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """Seconds with their fraction; NULL when either side is not a timestamp."""
     micros = F.unix_micros(end.try_cast("timestamp")) - F.unix_micros(start.try_cast("timestamp"))

@@ -4,20 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Sums of doubles depend on the order rows arrive in, which changes with every shuffle.
-# Ten decimal places in a decimal make means and sums repeatable.
-STABLE_TYPE = "decimal(28,10)"
-
-
-def stable_sum(c: Column) -> Column:
-    """Order-independent sum of a double column."""
-    return F.sum(c.cast(STABLE_TYPE)).cast("double")
-
-
-def stable_avg(c: Column) -> Column:
-    """Order-independent mean of a double column; NULLs are left out."""
-    return stable_sum(c) / F.nullif(F.count(c), F.lit(0)).cast("double")
-
 
 def safe_rate(part: Column, whole: Column, per: float) -> Column:
     """``part * per / whole`` as double; NULL when the whole is 0 or unknown."""

@@ -4,31 +4,22 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.functions.dates import bucket_end
-from sentinela.functions.numeric import percent_or_zero, stable_avg, stable_sum
-
-_FLOATING = ("double", "float")
-
-
-def _mean(df: DataFrame, column: str) -> Column:
-    return stable_avg(F.col(column)) if df.schema[column].dataType.simpleString() in _FLOATING else F.avg(column)
-
-
-def _sum(df: DataFrame, column: str) -> Column:
-    return stable_sum(F.col(column)) if df.schema[column].dataType.simpleString() in _FLOATING else F.sum(column)
+from sentinela.functions.numeric import percent_or_zero
+from sentinela.staging import stage
 
 
 def aggregate_column(df: DataFrame, function: str, column: str) -> Column:
     """``sum``, ``mean``/``avg``, ``max`` or ``min``; any other name means ``sum``."""
     if function in ("mean", "avg"):
-        return _mean(df, column)
+        return F.avg(column)
     if function == "max":
         return F.max(column)
     if function == "min":
         return F.min(column)
-    return _sum(df, column)
+    return F.sum(column)
 
 
 def kpis(df: DataFrame, metrics: dict[str, dict[str, Any]]) -> DataFrame:
@@ -48,7 +39,7 @@ def kpis(df: DataFrame, metrics: dict[str, dict[str, Any]]) -> DataFrame:
         elif operation == "unique":
             figure = F.count_distinct(column)
         elif operation == "sum":
-            figure = F.coalesce(_sum(df, column), F.lit(0))
+            figure = F.coalesce(F.sum(column), F.lit(0))
         else:
             figure = aggregate_column(df, operation, column)
         out.append(figure.alias(label))
@@ -82,8 +73,7 @@ def time_series(df: DataFrame, date_column: str, freq: str = "D", function: str
                 column: str | None = None) -> DataFrame:
     """Figures per day, week or month, with every period between the first and the last.
 
-    An empty period counts and sums to 0 and has no mean or extreme. After the aggregation
-    there is one row per period, so the gaps are filled from each row to the next one.
+    An empty period counts and sums to 0 and has no mean or extreme.
     """
     dated = df.select(F.col(date_column).try_cast("date").alias("_day"), *([column] if column else []))
     dated = dated.filter(F.col("_day").isNotNull()).withColumn(date_column, bucket_end(F.col("_day"), freq))
@@ -95,17 +85,20 @@ def time_series(df: DataFrame, date_column: str, freq: str = "D", function: str
 
 
 def fill_periods(periods: DataFrame, date_column: str, freq: str, figure: str, zero: bool) -> DataFrame:
-    """Insert the missing periods of a frame that has one row per period."""
+    """Insert the missing periods of a frame that has one row per period.
+
+    The calendar is the sequence between the first and the last period, met by a left join.
+    """
     step = {"D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M": "INTERVAL 1 MONTH"}[freq]
     start = F.trunc(date_column, "MM") if freq == "M" else F.col(date_column)
-    following = F.lead("_start").over(Window.orderBy("_start"))
-    spread = periods.withColumn("_start", start).withColumn("_next", F.coalesce(following, F.col("_start")))
-    until = F.when(F.col("_next") > F.col("_start"), F.date_sub("_next", 1)).otherwise(F.col("_start"))
-    exploded = spread.select(figure, F.posexplode(F.sequence("_start", until, F.expr(step))).alias("_k", "_period"))
+    known = stage(periods.select(start.alias("_period"), figure), "periods")
+    calendar = known.agg(F.min("_period").alias("low"), F.max("_period").alias("high")).filter("low IS NOT NULL").select(
+        F.explode(F.sequence("low", "high", F.expr(step))).alias("_period"))
     label = F.last_day("_period") if freq == "M" else F.col("_period")
+    present = known.withColumn("_known", F.lit(True))
     empty = F.lit(0 if zero else None).cast(periods.schema[figure].dataType)
-    return exploded.select(label.alias(date_column),
-                           F.when(F.col("_k") == 0, F.col(figure)).otherwise(empty).alias(figure))
+    return calendar.join(present, "_period", "left").select(
+        label.alias(date_column), F.when(F.col("_known"), F.col(figure)).otherwise(empty).alias(figure))
 
 
 def success_rate(df: DataFrame, status: str = "status", success: Any = "SUCCEEDED") -> DataFrame:

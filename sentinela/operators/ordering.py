@@ -18,7 +18,7 @@ from sentinela.staging import stage
 
 BUCKETS = 128
 SALTS = 64
-SMALL_ROWS = 2_000_000
+LEAF_ROWS = 2_000_000
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -58,21 +58,14 @@ def rank_descending(
     ranks: dict[str, list[str]],
     salt_on: list[str],
     buckets: int = BUCKETS,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Add ``RANK() OVER (PARTITION BY groups [+ more] ORDER BY value DESC NULLS LAST)`` columns.
 
     ``ranks`` maps each output column to the columns that partition it beyond ``groups``; one
-    set of cut points per group serves them all. ``df`` should be a staged table: it is counted
-    first, and a table of at most ``small_rows`` rows is ranked by plain windows, no group of
-    which can be larger than that. Beyond it, ``df`` is read three times; the cut points and
-    bucket counts are staged, so that their true size decides whether they are broadcast.
+    set of cut points per group serves them all. ``df`` should be a staged table: it is read three
+    times. Cut points and bucket counts are staged, so that Spark knows their true size.
     """
     falling = F.col(value).desc_nulls_last()
-    if df.count() <= small_rows:
-        return df.withColumns({
-            output: F.rank().over(Window.partitionBy(*groups, *more).orderBy(falling)).cast("bigint")
-            for output, more in ranks.items()})
     cuts = stage(df.groupBy(*groups).agg(_cut_points(F.col(value), buckets).alias("_cuts")), "cuts")
     keyed = df.join(cuts.withColumnsRenamed({g: f"_{g}" for g in groups}),
                     _renamed_match(groups), "left").drop(*[f"_{g}" for g in groups])
@@ -117,22 +110,18 @@ def exact_percentiles(
     value: str,
     percentiles: dict[str, float],
     buckets: int = BUCKETS,
-    leaf_rows: int = SMALL_ROWS,
-    small_rows: int = 100_000,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """One row of exact, linearly interpolated percentiles; NULL and NaN are left out.
 
-    Up to ``small_rows`` rows, the built-in aggregate does it. It keeps every distinct value in
-    one buffer, so beyond that the value range is cut until every wanted position lies on a
-    cut point or in a piece of at most ``leaf_rows`` rows, and only those pieces are ordered.
+    The built-in aggregate would keep every distinct value in one buffer. Here the value range is
+    cut until every wanted position lies on a cut point or in a piece of at most ``leaf_rows``
+    rows, and only those pieces are ordered.
     A pass brings back at most ``buckets`` cut points and twice as many counts, whatever the
     size of the data; ``df`` should be a table or a staged one, since each pass reads it again.
     """
     number = F.col(value).cast("double")
     numbers = df.select(number.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if df.count() <= small_rows:
-        found = numbers.agg(F.percentile("_v", [float(p) for p in percentiles.values()]).alias("_p"))
-        return found.select(*[F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(percentiles)])
     pieces = _pieces(numbers, None, None, 0, buckets)
     total = pieces[-1].start + pieces[-1].rows if pieces else 0
     if total == 0:

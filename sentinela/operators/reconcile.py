@@ -81,8 +81,11 @@ def metric_columns(df: DataFrame) -> dict[str, Column]:
             metrics[f"max_{name}"] = F.date_format(F.max(c), "yyyy-MM-dd HH:mm:ss")
         elif isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
             metrics[f"sum_{name}"] = F.sum(c.cast("decimal(38,0)")).cast("string")
-        elif isinstance(kind, (FloatType, DoubleType, DecimalType)):
-            metrics[f"sum_{name}"] = F.round(F.sum(c.cast("decimal(28,10)")), 2).cast("decimal(38,2)").cast("string")
+        elif isinstance(kind, (FloatType, DoubleType)):
+            total = F.sum(c.cast("double"))
+            metrics[f"sum_{name}"] = F.when(total.isNotNull(), F.format_string("%.2f", total))
+        elif isinstance(kind, DecimalType):
+            metrics[f"sum_{name}"] = F.sum(c).cast("decimal(38,2)").cast("string")
     return metrics
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.functions.labels import ALERT_NAMES, ALERT_TITLES, alert_title
-from sentinela.functions.numeric import percent_or_zero, stable_avg, stable_sum
+from sentinela.functions.numeric import percent_or_zero
 from sentinela.operators.filters import at_latest
 from sentinela.operators.reshape import wide_to_long
 
@@ -23,7 +23,7 @@ def _total(column: str) -> Column:
 
 
 def _mean(column: str) -> Column:
-    return F.coalesce(stable_avg(F.col(column)), F.lit(0.0))
+    return F.coalesce(F.avg(column), F.lit(0.0))
 
 
 def _count_where(condition: Column) -> Column:
@@ -86,7 +86,7 @@ def overview_kpis(weekly: DataFrame, disease: str) -> DataFrame:
         latest_week(weekly, disease).agg(
             _total("vl_casos").alias("total_cases"),
             F.count(F.lit(1)).alias("total_municipalities"),
-            F.round(stable_avg(F.col("vl_rt")), 2).alias("avg_rt"),
+            F.round(F.avg("vl_rt"), 2).alias("avg_rt"),
             _count_where(F.col("fl_epidemia") == 1).alias("municipalities_in_epidemic"),
             _count_where(F.col("nr_nivel_alerta") == 1).alias("green"),
         )
@@ -132,7 +132,7 @@ def weekly_series(weekly: DataFrame, disease: str, year: int) -> DataFrame:
         weekly.filter((F.col("ds_doenca") == disease) & (F.col("nr_ano_epi") == year))
         .groupBy(F.col(WEEK).alias("week_date"), F.col("nr_semana_epi").alias("week_num")).agg(
             _total("vl_casos").alias("total_cases"),
-            F.coalesce(stable_sum(F.col("vl_casos_estimados")), F.lit(0.0)).alias("estimated_cases"),
+            F.coalesce(F.sum("vl_casos_estimados"), F.lit(0.0)).alias("estimated_cases"),
             _mean("vl_rt").alias("avg_rt"),
             *[_count_where(F.col("nr_nivel_alerta") == level).alias(name) for level, name in LEVEL_COLUMNS.items()],
             F.count_distinct("cd_geocode").alias("municipalities"),
@@ -196,8 +196,8 @@ def history_weeks(alerts: DataFrame, municipalities: DataFrame, disease: str, as
     by_code = (
         alerts.filter((F.col("ds_doenca") == disease) & (F.col(WEEK) >= since))
         .groupBy(F.date_trunc("week", WEEK).cast("date").alias("semana"), "cd_geocode").agg(
-            F.sum(F.col("vl_casos_estimados").cast("decimal(28,10)")).alias("_cases"),
-            F.sum(F.col("vl_incidencia").cast("decimal(28,10)")).alias("_incidence"),
+            F.sum("vl_casos_estimados").alias("_cases"),
+            F.sum("vl_incidencia").alias("_incidence"),
             F.count("vl_incidencia").alias("_n"),
         )
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.functions.labels import age_band, alert_name, disease_name, epidemic_flag, sex_or_unknown
-from sentinela.functions.numeric import safe_rate, stable_avg
+from sentinela.functions.numeric import safe_rate
 from sentinela.operators.ordering import latest_per_key, rank_descending
 from sentinela.staging import stage
 
@@ -59,7 +59,7 @@ def annual_burden(alerts: DataFrame, municipalities: DataFrame, population: Data
         F.sum("vl_casos").alias("vl_total_casos"),
         F.max("nr_nivel_alerta").alias("nr_max_alerta"),
         *[F.count_if(F.coalesce(condition, F.lit(False))).alias(name) for name, condition in weeks.items()],
-        F.round(stable_avg(F.col("vl_rt")), 4).alias("vl_rt_medio"),
+        F.round(F.avg("vl_rt"), 4).alias("vl_rt_medio"),
     )
     return (
         burden.join(municipalities.select("cd_geocode", *NAMES), "cd_geocode", "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sentinela.config import IngestSpec, QualitySpec, RefineSpec
 from sentinela.operators.casting import cast_frame
@@ -21,7 +22,7 @@ from sentinela.sources.lines import (
     add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, positioned_lines, read_lines,
 )
 from sentinela.sources.partitions import ingestion_path
-from sentinela.staging import stage
+from sentinela.staging import scratch_scope, stage
 
 EXTENSIONS = ("csv", "txt", "json")
 
@@ -37,7 +38,7 @@ def read_bronze(spark: SparkSession, spec: IngestSpec, path: str, variables: dic
     by_line = spec.ext != "json" and (spec.skip_header or spec.skip_footer or from_line)
     placed = positioned_lines(spark, path, spec.encoding) if by_line else None
     if spec.ext == "json":
-        df = read_json(spark, path, explode_column=spec.explode_column, encoding=spec.encoding, **options)
+        df = read_json(spark, path, spec.explode_column, _json_schema(spec), encoding=spec.encoding, **options)
     elif spec.ext == "txt":
         lines = read_lines(spark, path, spec.encoding)
         if by_line:
@@ -58,6 +59,15 @@ def read_bronze(spark: SparkSession, spec: IngestSpec, path: str, variables: dic
     return df.drop("_file", "_block")
 
 
+def _json_schema(spec: IngestSpec) -> StructType:
+    """Declared fields as text, as in the other formats: no inference pass, no types that depend on the data.
+
+    Documents of one line each (``multiline`` false) let Spark split large files.
+    """
+    fields = StructType([StructField(c.source, StringType()) for c in spec.columns])
+    return StructType([StructField(spec.explode_column, ArrayType(fields))]) if spec.explode_column else fields
+
+
 def bronze_to_silver(
     spark: SparkSession,
     spec: IngestSpec,
@@ -72,8 +82,15 @@ def bronze_to_silver(
 
     Without checks, rows are counted while they are written. With checks, the cast rows are
     staged once, so that checking and writing do not read and cast the input again;
-    ``counterpart`` supplies the other system's rows to checks that compare with it.
+    ``counterpart`` supplies the other system's rows to checks that compare with it. Staged copies
+    are deleted at the end.
     """
+    with scratch_scope(spark):
+        return _ingest(spark, spec, dt_ref, file_name, quality, log, partitions, counterpart)
+
+
+def _ingest(spark: SparkSession, spec: IngestSpec, dt_ref: str, file_name: str | None, quality: QualitySpec | None,
+            log: RunLog | None, partitions: str, counterpart: Counterpart | None) -> dict[str, Any]:
     try:
         path = ingestion_path(spec.bronze_path, dt_ref, file_name)
         raw = read_bronze(spark, spec, path, {"dt_ref": dt_ref})
@@ -93,8 +110,7 @@ def bronze_to_silver(
             outcomes = _check(df, quality, log, counterpart)
 
         counted = Observation()
-        observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
-        _write(observed, spec, partitions)
+        _write(df, spec, partitions, counted)
         rows = counted.get["rows"]
         if log:
             if rows == 0:
@@ -129,11 +145,11 @@ def _log_tests(outcomes: list[dict[str, Any]]) -> list[dict[str, str]]:
     return [{k: o[k] for k in ("column_tested", "test_applied", "status")} for o in outcomes]
 
 
-def _write(df: DataFrame, spec: IngestSpec, partitions: str) -> None:
+def _write(df: DataFrame, spec: IngestSpec, partitions: str, counted: Observation) -> None:
     if spec.mode in SQL_WRITES and not spec.merge_sql:
-        upsert_into(df, spec.silver_table, list(spec.merge_keys))
+        upsert_into(df, spec.silver_table, list(spec.merge_keys), counted)
     else:
-        insert_into(df, spec.silver_table, spec.mode, partitions, spec.merge_sql)
+        insert_into(df, spec.silver_table, spec.mode, partitions, spec.merge_sql, counted)
 
 
 def silver_to_gold(
@@ -146,8 +162,15 @@ def silver_to_gold(
 ) -> int:
     """Run a gold model (SQL text or a function) and replace the partitions it has rows for.
 
-    A model whose mode leaves the write to its own SQL is only run. Returns the row count.
+    A model whose mode leaves the write to its own SQL is only run. Returns the row count; copies
+    that the model staged are deleted.
     """
+    with scratch_scope(spark):
+        return _refine(spark, spec, model, params, frames, log)
+
+
+def _refine(spark: SparkSession, spec: RefineSpec, model: str | Callable[[], DataFrame], params: dict[str, Any] | None,
+            frames: dict[str, DataFrame] | None, log: RunLog | None) -> int:
     try:
         if callable(model):
             df = model()
@@ -156,7 +179,7 @@ def silver_to_gold(
         rows = 0
         if spec.mode not in SQL_WRITES:
             counted = Observation()
-            insert_into(df.observe(counted, F.count(F.lit(1)).alias("rows")), spec.table, spec.mode)
+            insert_into(df, spec.table, spec.mode, counted=counted)
             rows = counted.get["rows"]
         if log:
             log.add(mode=spec.mode, refined_layer=spec.layer, target=spec.table, count=rows)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sentinela.functions.dates import seconds_between
-from sentinela.functions.numeric import percent_or_zero, stable_avg
+from sentinela.functions.numeric import percent_or_zero
 from sentinela.operators.aggregates import group_aggregate, top_failed_tests, value_counts
 
 
-def recent(runs: DataFrame, as_of: str, days: int = 90, limit: int | None = 10_000) -> DataFrame:
-    """Runs of the last days, newest first; ``limit`` is the size of the listing."""
+def recent(runs: DataFrame, as_of: str, days: int = 90, limit: int | None = None) -> DataFrame:
+    """Runs of the last days, newest first; all of them, or the first ``limit`` of a listing."""
     since = F.date_sub(F.lit(as_of).cast("date"), days)
     newest = runs.filter(F.col("dt_ref") >= since).orderBy(F.col("start_execution").desc_nulls_last(), *_tie(runs))
     return newest.limit(limit) if limit else newest
@@ -33,7 +33,7 @@ def metrics(runs: DataFrame) -> DataFrame:
         percent_or_zero(yes(status == "success"), F.count(F.lit(1))).alias("success_rate"),
         yes((F.lower(status) == "error") | (status == "FAILED")).alias("errors"),
         F.count("warning_description").alias("warnings"),
-        stable_avg(F.col("duration_seconds")).alias("avg_duration"),
+        F.avg("duration_seconds").alias("avg_duration"),
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.functions.labels import rt_status, size_class
-from sentinela.functions.numeric import stable_avg, stable_sum
 from sentinela.operators.casting import coerce_numeric
 from sentinela.operators.ordering import exact_percentiles
 
@@ -80,15 +79,15 @@ def critical_threshold(year: DataFrame) -> DataFrame:
 def priority_by_region(scored: DataFrame) -> DataFrame:
     """Priority summed over the two levels of the hierarchy; unknown names are left out."""
     named = scored.filter(F.col("nm_mesorregiao").isNotNull() & F.col("nm_municipio").isNotNull())
-    return named.groupBy("nm_mesorregiao", "nm_municipio").agg(stable_sum(F.col("vl_prioridade")).alias("vl_prioridade"))
+    return named.groupBy("nm_mesorregiao", "nm_municipio").agg(F.sum("vl_prioridade").alias("vl_prioridade"))
 
 
 def by_mesoregion(year: DataFrame) -> DataFrame:
     return (
         year.filter(F.col("nm_mesorregiao").isNotNull()).groupBy("nm_mesorregiao").agg(
-            stable_sum(F.col("vl_total_casos")).alias("total_casos"),
-            stable_sum(F.col("nr_semanas_alerta_alto")).alias("semanas_alerta_alto"),
-            stable_avg(F.col("vl_rt_medio")).alias("rt_medio"),
+            F.sum(F.col("vl_total_casos").cast("double")).alias("total_casos"),
+            F.sum(F.col("nr_semanas_alerta_alto").cast("double")).alias("semanas_alerta_alto"),
+            F.avg("vl_rt_medio").alias("rt_medio"),
             F.count("nm_municipio").alias("municipios"),
         )
         .withColumn("situacao_rt", rt_status(F.col("rt_medio")))

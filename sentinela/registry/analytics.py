@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sentinela.functions.dates import iso_week, iso_year
+from sentinela.functions.dates import look_back
 from sentinela.functions.labels import rt_status, size_class
 from sentinela.operators import aggregates
 from sentinela.operators.filters import search_text
@@ -61,21 +61,22 @@ def _(t):
 
 
 @query("priority_by_region", """
-SELECT nm_mesorregiao, nm_municipio, CAST(sum(CAST(vl_prioridade AS DECIMAL(28,10))) AS DOUBLE) AS vl_prioridade
+SELECT nm_mesorregiao, nm_municipio, round(sum(vl_prioridade), 6) AS vl_prioridade
 FROM g_scored WHERE nm_mesorregiao IS NOT NULL AND nm_municipio IS NOT NULL GROUP BY ALL""")
 def _(t):
-    return ranking.priority_by_region(ranking.with_priority(year(t)))
+    found = ranking.priority_by_region(ranking.with_priority(year(t)))
+    return found.withColumn("vl_prioridade", F.round("vl_prioridade", 6))
 
 
 @query("ranking_by_mesoregion", """
 SELECT *, CASE WHEN rt_medio > 1.2 THEN 'Crescendo' WHEN rt_medio >= 1 THEN 'Atenção' ELSE 'Controlado' END
     AS situacao_rt
 FROM (SELECT nm_mesorregiao, sum(vl_total_casos) AS total_casos, sum(nr_semanas_alerta_alto) AS semanas_alerta_alto,
-             CAST(sum(CAST(vl_rt_medio AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS rt_medio,
+             round(avg(vl_rt_medio), 8) AS rt_medio,
              count(nm_municipio) AS municipios
       FROM g_year WHERE nm_mesorregiao IS NOT NULL GROUP BY nm_mesorregiao)""")
 def _(t):
-    return ranking.by_mesoregion(year(t))
+    return ranking.by_mesoregion(year(t)).withColumn("rt_medio", F.round("rt_medio", 8))
 
 
 @query("mesoregion_median", """
@@ -176,8 +177,8 @@ def _(t):
 
 
 @query("kpis_config", """
-SELECT count(*) AS total, round(sum(CAST(l_extendedprice AS DECIMAL(28,10))), 2)::DOUBLE AS receita,
-       round(avg(CAST(l_discount AS DECIMAL(28,10))), 8)::DOUBLE AS desconto_medio, max(l_quantity) AS maior,
+SELECT count(*) AS total, round(sum(l_extendedprice), 2) AS receita,
+       round(avg(l_discount), 8) AS desconto_medio, max(l_quantity) AS maior,
        min(l_quantity) AS menor, count(DISTINCT l_suppkey) AS fornecedores, 0 AS ausente,
        CAST(NULL AS DOUBLE) AS desconhecida
 FROM lineitem""")
@@ -196,7 +197,7 @@ def _(t):
 
 
 @query("group_by_agg", """
-SELECT c_nationkey, c_mktsegment, round(sum(CAST(c_acctbal AS DECIMAL(28,10))), 2)::DOUBLE AS sum
+SELECT c_nationkey, c_mktsegment, round(sum(c_acctbal), 2) AS sum
 FROM customer GROUP BY ALL ORDER BY sum DESC, c_nationkey, c_mktsegment LIMIT 15""")
 def _(t):
     grouped = aggregates.group_aggregate(t.customer, ["c_nationkey", "c_mktsegment"], "sum", "c_acctbal", limit=15)
@@ -214,10 +215,11 @@ def _(t):
 @query("time_series_week", """
 WITH d AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS w, value FROM events),
 spine AS (SELECT CAST(unnest(range(min(w), max(w) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS DATE) AS w FROM d)
-SELECT s.w AS ts, CAST(coalesce(sum(CAST(value AS DECIMAL(28,10))), 0) AS DOUBLE) AS sum
+SELECT s.w AS ts, round(coalesce(sum(value), 0), 6) AS sum
 FROM spine s LEFT JOIN d ON d.w = s.w GROUP BY s.w""")
 def _(t):
-    return aggregates.time_series(t.events, "ts", "W", "sum", "value")
+    found = aggregates.time_series(t.events, "ts", "W", "sum", "value")
+    return found.withColumn("sum", F.round("sum", 6))
 
 
 @query("time_series_month", """
@@ -251,7 +253,5 @@ SELECT DISTINCT CAST(ts AS DATE) AS as_of, CAST(isoyear(ts) AS INT) AS year_end,
        CAST(isoyear(ts - INTERVAL 28 DAY) AS INT) AS year_start, CAST(week(ts - INTERVAL 28 DAY) AS INT) AS week_start
 FROM events""")
 def _(t):
-    end, start = F.col("as_of"), F.date_sub("as_of", 28)
-    return t.events.select(F.col("ts").cast("date").alias("as_of")).distinct().select(
-        "as_of", iso_year(end).alias("year_end"), iso_week(end).alias("week_end"),
-        iso_year(start).alias("year_start"), iso_week(start).alias("week_start"))
+    days = t.events.select(F.col("ts").cast("date").alias("as_of")).distinct()
+    return days.withColumns(look_back(F.col("as_of")))

@@ -17,7 +17,9 @@ BASE_TABLES = (
 )
 
 # The input views. The text runs in both engines; codes and counts are 64-bit, since they grow
-# with the tables.
+# with the tables. Measures are whole numbers of 64ths or 32nds, so that sums of doubles are exact
+# and do not depend on the order in which an engine adds them. Where a mean is rounded, the SQL adds
+# a billionth, as it would otherwise round some exact halves down.
 VIEWS = {
     "v_municipios": """
 SELECT CAST(s.s_suppkey*10 + s.s_suppkey%7 AS BIGINT) AS cd_geocode, s.s_name AS nm_municipio,
@@ -32,9 +34,10 @@ SELECT CAST(l_suppkey*10 + l_suppkey%7 AS BIGINT) AS cd_geocode,
        CAST(weekofyear(CAST(date_trunc('week', l_shipdate) AS DATE)) AS INT) AS nr_semana_epi,
        CAST(1 + sum(l_linenumber)%4 AS INT) AS nr_nivel_alerta,
        CAST(count(*) AS BIGINT) AS vl_casos,
-       CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE)/25.0 AS vl_casos_estimados,
+       CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE)/32.0 AS vl_casos_estimados,
        CASE WHEN min(l_partkey)%11 = 0 THEN NULL
-            ELSE CAST(sum(CAST(round(l_discount*100) AS BIGINT)) AS DOUBLE)/CAST(count(*) AS DOUBLE)/5.0 END AS vl_rt,
+            ELSE CAST(floor(CAST(sum(CAST(round(l_discount*100) AS BIGINT)) AS DOUBLE)/CAST(count(*) AS DOUBLE)*64/5.0)
+                 AS DOUBLE)/64.0 END AS vl_rt,
        CAST(count(*) AS DOUBLE)*2.5 AS vl_incidencia,
        CAST(sum(l_linenumber)%2 AS INT) AS vl_transmissao,
        CAST(min(l_linenumber)%2 AS INT) AS vl_receptividade,
@@ -92,7 +95,7 @@ SELECT w.cd_geocode, nm_municipio, nm_microrregiao, nm_mesorregiao, any_value(vl
        count(*) FILTER (WHERE nr_nivel_alerta >= 3) AS nr_semanas_alerta_alto,
        count(*) FILTER (WHERE fl_transmissao = 1) AS nr_semanas_transmissao_ativa,
        count(*) FILTER (WHERE vl_rt > 1) AS nr_semanas_rt_acima_1,
-       round(CAST(sum(CAST(vl_rt AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(vl_rt), 0), 4) AS vl_rt_medio,
+       round(avg(vl_rt) + 1e-9, 4) AS vl_rt_medio,
        nr_ano_epi, ds_doenca
 FROM g_weekly w GROUP BY w.cd_geocode, nm_municipio, nm_microrregiao, nm_mesorregiao, nr_ano_epi, ds_doenca""",
     "g_rate": """
@@ -147,7 +150,7 @@ WHERE dt_semana_epidemiologica = (SELECT max(dt_semana_epidemiologica) FROM v_al
 GROUP BY ds_doenca, nr_nivel_alerta""",
     "g_meso": """
 SELECT nm_mesorregiao, CAST(sum(vl_casos) AS BIGINT) AS total_cases,
-       coalesce(CAST(sum(CAST(vl_rt AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(vl_rt), 0), 0.0) AS avg_rt,
+       coalesce(avg(vl_rt), 0.0) AS avg_rt,
        max(nr_nivel_alerta) AS max_alert_level,
        count(*) FILTER (WHERE nr_nivel_alerta >= 3) AS municipalities_high_alert,
        count(DISTINCT cd_geocode) AS total_municipalities,
@@ -155,8 +158,8 @@ SELECT nm_mesorregiao, CAST(sum(vl_casos) AS BIGINT) AS total_cases,
 FROM g_latest GROUP BY nm_mesorregiao""",
     "g_series": """
 SELECT dt_semana_epidemiologica AS week_date, nr_semana_epi AS week_num, CAST(sum(vl_casos) AS BIGINT) AS total_cases,
-       CAST(sum(CAST(vl_casos_estimados AS DECIMAL(28,10))) AS DOUBLE) AS estimated_cases,
-       coalesce(CAST(sum(CAST(vl_rt AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(vl_rt), 0), 0.0) AS avg_rt,
+       sum(vl_casos_estimados) AS estimated_cases,
+       coalesce(avg(vl_rt), 0.0) AS avg_rt,
        count(*) FILTER (WHERE nr_nivel_alerta = 1) AS green_count,
        count(*) FILTER (WHERE nr_nivel_alerta = 2) AS yellow_count,
        count(*) FILTER (WHERE nr_nivel_alerta = 3) AS orange_count,

@@ -73,7 +73,7 @@ def _(t):
 
 @query("kpi_trends", """
 SELECT dt_semana_epidemiologica, CAST(sum(vl_casos) AS BIGINT) AS total_cases,
-       coalesce(CAST(sum(CAST(vl_rt AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(vl_rt), 0), 0.0) AS avg_rt,
+       coalesce(avg(vl_rt), 0.0) AS avg_rt,
        count(*) FILTER (WHERE fl_epidemia = 1) AS municipalities_epidemic,
        CAST(count(*) FILTER (WHERE nr_nivel_alerta = 1) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 AS pct_green
 FROM g_weekly WHERE ds_doenca = 'dengue' GROUP BY dt_semana_epidemiologica
@@ -84,7 +84,7 @@ def _(t):
 
 @query("overview_kpis", """
 SELECT CAST(sum(vl_casos) AS BIGINT) AS total_cases, count(*) AS total_municipalities,
-       round(CAST(sum(CAST(vl_rt AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(vl_rt), 0), 2) AS avg_rt,
+       round(avg(vl_rt) + 1e-9, 2) AS avg_rt,
        count(*) FILTER (WHERE fl_epidemia = 1) AS municipalities_in_epidemic,
        CAST(count(*) FILTER (WHERE nr_nivel_alerta = 1) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 AS pct_green,
        CASE WHEN count(*) FILTER (WHERE nr_nivel_alerta = 1) * 10 > count(*) * 9 THEN 'Controlado' ELSE 'Atenção' END
@@ -165,8 +165,8 @@ def _(t):
 
 @query("history_12_weeks", """
 SELECT dt_semana_epidemiologica AS semana, nm_municipio,
-       CAST(sum(CAST(vl_casos_estimados AS DECIMAL(28,10))) AS DOUBLE) AS total_casos,
-       CAST(sum(CAST(vl_incidencia AS DECIMAL(28,10))) AS DOUBLE) / count(vl_incidencia) AS incidencia_media
+       sum(vl_casos_estimados) AS total_casos,
+       sum(vl_incidencia) / count(vl_incidencia) AS incidencia_media
 FROM v_alertas JOIN v_municipios USING (cd_geocode)
 WHERE ds_doenca = 'dengue' AND dt_semana_epidemiologica >= DATE '2001-08-01' - INTERVAL 84 DAY
 GROUP BY semana, nm_municipio""")

@@ -9,6 +9,7 @@ from sentinela.operators.filters import filter_members
 from sentinela.operators.nested import explode_quality_tests, normalize_quality_info, parse_json_field
 from sentinela.plans import observability
 from sentinela.registry.base import Tables, query
+from sentinela.sinks.runlog import execution_id
 
 
 @query("run_duration", """
@@ -168,8 +169,9 @@ def _(t):
 
 
 @query("execution_id", """
-SELECT event_id, sha256(job_name || '-' || table_name || '-' || CAST(event_id AS VARCHAR)) AS execution_id
+SELECT event_id, sha256(job_name || '-' || table_name || '-' || strftime(start_execution, '%Y-%m-%d %H:%M:%S'))
+       AS execution_id
 FROM v_runs""")
 def _(t):
-    return t.runs.select("event_id", F.sha2(
-        F.concat_ws("-", "job_name", "table_name", F.col("event_id").cast("string")), 256).alias("execution_id"))
+    return t.runs.select("event_id", execution_id(
+        F.col("job_name"), F.col("table_name"), F.col("start_execution")).alias("execution_id"))

@@ -6,7 +6,7 @@ import hashlib
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sentinela.config import split_identifier
 
@@ -26,6 +26,11 @@ def local_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None) - LOCAL_OFFSET
 
 
+def execution_id(job: Column, target: Column, started: Column) -> Column:
+    """Id of the runs in a table; the rule of ``RunLog`` for whole seconds."""
+    return F.sha2(F.concat_ws("-", job, target, F.date_format(started, "yyyy-MM-dd HH:mm:ss")), 256)
+
+
 class RunLog:
     """One run: collects facts while the job works and is written once, as one typed row."""
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from sentinela.staging import stage
 
@@ -40,25 +41,30 @@ def rebalanced(df: DataFrame, table: str) -> DataFrame:
     return df.hint("rebalance", *keys) if keys else df
 
 
+def _observed(df: DataFrame, counted: Observation | None) -> DataFrame:
+    return df if counted is None else df.observe(counted, F.count(F.lit(1)).alias("rows"))
+
+
 def insert_into(df: DataFrame, table: str, mode: str = "append", partitions: str = "dynamic",
-                merge_sql: str | None = None) -> None:
+                merge_sql: str | None = None, counted: Observation | None = None) -> None:
     """Append, overwrite, or let a given SQL statement write the rows (seen as ``source_table``).
 
     With ``partitions="dynamic"`` an overwrite replaces only the partitions it has rows for;
-    ``"static"`` replaces the table.
+    ``"static"`` replaces the table. ``counted`` observes the written ``rows``, after any shuffle of
+    the write, so that map tasks that run again are not counted twice.
     """
     spark = df.sparkSession
     ordered = in_table_order(df, table)
     if mode in SQL_WRITES:
         if not merge_sql:
             raise ValueError(f"mode {mode!r} needs the SQL statement that writes")
-        ordered.createOrReplaceTempView("source_table")
+        _observed(ordered, counted).createOrReplaceTempView("source_table")
         spark.sql(merge_sql)
     elif mode == "append":
-        rebalanced(ordered, table).write.mode("append").insertInto(table)
+        _observed(rebalanced(ordered, table), counted).write.mode("append").insertInto(table)
     elif mode == "overwrite":
         with partition_overwrite(spark, partitions):
-            rebalanced(ordered, table).write.mode("overwrite").insertInto(table)
+            _observed(rebalanced(ordered, table), counted).write.mode("overwrite").insertInto(table)
     else:
         raise ValueError(f"unsupported write mode {mode!r}")
 
@@ -72,34 +78,43 @@ def partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
-def _in_partitions(df: DataFrame, chosen: DataFrame, keys: list[str], listed: int = 200) -> DataFrame:
-    """Rows in the chosen partitions. A short list prunes the scan by literals."""
-    found = chosen.limit(listed + 1).collect()
-    if len(found) > listed:
-        same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(chosen[k]) for k in keys])
-        return df.join(chosen, same, "left_semi")
-    hit = F.lit(False)
-    for row in found:
-        hit = hit | reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys])
-    return df.filter(hit)
-
-
-def upsert_into(source: DataFrame, table: str, keys: list[str]) -> None:
-    """Upsert for tables whose format has no MERGE.
+def upsert_into(source: DataFrame, table: str, keys: list[str], counted: Observation | None = None) -> None:
+    """Upsert for tables whose format has no MERGE; as with MERGE, a key may occur once in the source.
 
-    Only partitions that hold a replaced row or receive a new one are rewritten. Should one of
-    them end up empty, the whole table is rewritten, since an overwrite cannot empty a single
-    partition. The result is staged first: a table must not be overwritten while it is read.
+    Only partitions that hold a replaced row or receive a new one are rewritten; one that ends up
+    empty, because its rows moved, is dropped. The result is staged first: a table must not be
+    overwritten while it is read.
     """
     spark = source.sparkSession
-    rows = stage(in_table_order(source, table), "upsert-source")
+    rows = stage(_observed(in_table_order(source, table), counted), "upsert-source")
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"several source rows for {table} have the key {[twice[k] for k in keys]}")
     target = spark.table(table)
     by = partition_columns(spark, table)
-    if by:
-        replaced = target.join(rows.select(*keys), keys, "left_semi").select(*by)
-        touched = stage(replaced.union(rows.select(*by)).distinct(), "touched")
-        merged = stage(upserted(_in_partitions(target, touched, by), rows, keys), "upsert")
-        if merged.select(*by).distinct().count() == touched.count():
-            return insert_into(merged, table, "overwrite", partitions="dynamic")
-    merged = stage(upserted(target, rows, keys), "upsert")
-    insert_into(merged, table, "overwrite", partitions="static")
+    if not by:
+        return insert_into(stage(upserted(target, rows, keys), "upsert"), table, "overwrite", partitions="static")
+    replaced = target.join(rows.select(*keys), keys, "left_semi").select(*by)
+    touched = stage(replaced.union(rows.select(*by)).distinct(), "touched")
+    inside = target.join(touched, _same(target, touched, by), "left_semi")
+    merged = stage(upserted(inside, rows, keys), "upsert")
+    left = merged.select(*by).distinct()
+    emptied = touched.join(left, _same(touched, left, by), "left_anti").collect()
+    insert_into(merged, table, "overwrite", partitions="dynamic")
+    for row in emptied:
+        drop_partition(spark, table, row.asDict())
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+
+
+def drop_partition(spark: SparkSession, table: str, values: dict[str, Any]) -> None:
+    """Take one partition out of the catalog, and its files too, which an external table would keep."""
+    kinds = {c.name: c.dataType for c in spark.catalog.listColumns(table)}
+    spec = ", ".join(f"{c} = " + ("null" if v is None else f"CAST('{v}' AS {kinds[c]})") for c, v in values.items())
+    location = spark.sql(f"DESCRIBE FORMATTED {table} PARTITION ({spec})").filter("col_name = 'Location'").first()[1]
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark.catalog.refreshTable(table)

@@ -30,7 +30,8 @@ JSON_OPTIONS = {
 
 def json_reader_options(params: dict[str, Any] | None = None) -> dict[str, str]:
     """Reader options from snake_case parameters; an unknown name is an error."""
-    params = params or {}
+    # A setting of the format only, without a meaning for the reader.
+    params = {k: v for k, v in (params or {}).items() if k != "use_unsafe_row"}
     unknown = sorted(set(params) - set(JSON_OPTIONS))
     if unknown:
         raise ValueError(f"unknown JSON options: {unknown}")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+# What the open scopes staged, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,11 +46,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside; nothing that is still to be read may come from there."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything this application staged; call it when no staged frame is needed any more."""
     folder = f"{scratch_root(spark)}/sentinela/{spark.sparkContext.applicationId}"
+    _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,7 +18,7 @@ def test_latest_per_key_breaks_ties(spark):
 
 def _ranked_like_a_window(spark, data, buckets):
     df = stage(spark.createDataFrame(data, "id int, g string, h string, v double"), "t")
-    got = rank_descending(df, "v", ["g"], {"r": [], "rh": ["h"]}, salt_on=["id"], buckets=buckets, small_rows=0)
+    got = rank_descending(df, "v", ["g"], {"r": [], "rh": ["h"]}, salt_on=["id"], buckets=buckets)
     small = rank_descending(df, "v", ["g"], {"r": [], "rh": ["h"]}, salt_on=["id"])
     order = F.col("v").desc_nulls_last()
     want = df.withColumns({"r": F.rank().over(Window.partitionBy("g").orderBy(order)).cast("bigint"),
@@ -58,9 +58,9 @@ def test_exact_percentiles_equal_numpy(spark, buckets, leaf, small):
 def test_percentiles_of_nothing_and_of_one(spark):
     assert exact_percentiles(spark.sql("SELECT CAST(NULL AS DOUBLE) AS x"), "x", {"p": 0.5}).first()[0] is None
     assert exact_percentiles(spark.sql("SELECT 4 AS x"), "x", {"p": 0.5}).first()[0] == 4.0
-    assert exact_percentiles(spark.sql("SELECT 4 AS x"), "x", {"p": 0.5}, small_rows=0).first()[0] == 4.0
+    assert exact_percentiles(spark.sql("SELECT 4 AS x"), "x", {"p": 0.5}).first()[0] == 4.0
     nothing = spark.sql("SELECT CAST(NULL AS DOUBLE) AS x")
-    assert exact_percentiles(nothing, "x", {"p": 0.5}, small_rows=0).first()[0] is None
+    assert exact_percentiles(nothing, "x", {"p": 0.5}).first()[0] is None
 
 
 def test_at_latest_scope(spark):
