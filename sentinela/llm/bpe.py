@@ -208,7 +208,7 @@ class Encoder:
         The chunks of many texts are numbered by Arrow; only distinct ones are looked up in Python.
         """
         self.decoding = self.decoding or decode
-        for start, end in slices(texts.to_pylist() if isinstance(texts, pa.Array) else texts, 4 * CHARS_AT_ONCE):
+        for start, end in slices(texts.to_pylist() if isinstance(texts, pa.Array) else texts, 12 * CHARS_AT_ONCE):
             split = _chunks(pa.array(texts[start:end], pa.large_string()))
             bounds = np.asarray(split.offsets).tolist()
             coded = split.values.dictionary_encode()

@@ -11,13 +11,11 @@ the parts on which they agree, of those in which either text has a term.
 Defined cases: a null text counts as empty. A text without lexicon terms is fingerprinted by all its
 terms, one without any term by its hash, so equal texts always have equal fingerprints. Neighbours
 are taken among distinct rows: rows of equal id and text count as one, rows of equal id and other
-text follow the text's hash, null ids come last. A single row is its own neighbour.
+text follow the text's hash, null ids come last (the least 64-bit number counts as a null id). A single row is its own neighbour.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sentinela.llm.tables import text_or_empty
@@ -27,6 +25,8 @@ RAREST, COMMONEST = 1 / 100, 1 / 4
 # One in so many lexicon terms is in a part; so many parts of each size.
 PARTS = {4: 2, 16: 4, 64: 10, 256: 16, 1024: 16, 4096: 16}
 EMPTY = "0000"
+# Stands for a null id, which comes last in descending order.
+NO_ID = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
@@ -44,7 +44,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
 
 def fingerprinted(df: DataFrame, text: str, known: DataFrame, to: str) -> DataFrame:
-    """Add an array of one hash for each part of the lexicon; ``EMPTY`` where the text has no term of that part."""
+    """Add the fingerprint: one short hash for each part of the lexicon, ``EMPTY`` where the text has no term of that part."""
     # The sub-query stands in a projection of its own, outside of the functions on arrays.
     found = df.withColumn("__terms", terms(F.col(text)))
     found = found.withColumn("__kept", F.array_intersect("__terms", known.scalar()))
@@ -59,78 +59,76 @@ def parts(kept: Column) -> Column:
         inside = F.filter(kept, lambda t: F.pmod(F.xxhash64(t, F.lit(k), F.lit(size)), F.lit(size)) == 0)
         return F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(inside), 48))), 4, "0")
 
-    return F.array(*[part(k, size) for size, n in PARTS.items() for k in range(n)])
+    return F.concat(*[part(k, size) for size, n in PARTS.items() for k in range(n)])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    agree = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), None).when(x == y, 1.0).otherwise(0.0))
+    """Share of equal parts of two fingerprints in text form, of those that either holds."""
+    def pieces(c: Column) -> Column:
+        places = F.sequence(F.lit(0), F.lit(sum(PARTS.values()) - 1))
+        return F.transform(places, lambda i: F.substr(c, i * len(EMPTY) + 1, F.lit(len(EMPTY))))
+
+    agree = F.zip_with(pieces(a), pieces(b), lambda x, y: F.when((x == EMPTY) & (y == EMPTY), None).when(x == y, 1.0).otherwise(0.0))
     held = F.filter(agree, lambda v: v.isNotNull())
     total = F.aggregate(held, F.lit(0.0), lambda s, v: s + v)
     return F.when(F.size(held) > 0, total / F.size(held)).otherwise((a == b).cast("double"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """``id, h, next_id, next_h``: for each distinct key the next one in descending order, after the last the first.
+    """``k, h, next_k, next_h``: for each distinct key the next one in descending order, after the last the first.
 
     Keys are range-partitioned; inside a partition a window looks one row ahead, and the first key of
     every partition, one row each, closes the gaps between partitions.
     """
-    order = [F.col("id").desc_nulls_last(), F.col("h")]
+    order = [F.col("k").desc(), F.col("h")]
     ranged = stage(keys.distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "imatch-keys")
     inside = Window.partitionBy("part").orderBy(*order)
     ahead = ranged.select(
-        "id", "h", "part", F.row_number().over(inside).alias("place"),
-        F.lead(F.struct("id", "h")).over(inside).alias("next"),
+        "k", "h", "part", F.row_number().over(inside).alias("place"),
+        F.lead(F.struct("k", "h")).over(inside).alias("next"),
     )
     ahead = stage(ahead, "imatch-ahead")
-    firsts = ahead.where("place = 1").select("part", F.struct("id", "h").alias("first"))
+    firsts = ahead.where("place = 1").select("part", F.struct("k", "h").alias("first"))
     # One row a partition.
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gaps = firsts.select("part", F.coalesce(
         F.lead("first").over(Window.orderBy("part")), F.first("first").over(across)).alias("onward"))
-    closed = ahead.join(gaps, "part").select("id", "h", F.coalesce("next", "onward").alias("next"))
-    return closed.select("id", "h", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
-
-
-def same(left: list[Column], right: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right)))
+    closed = ahead.join(gaps, "part").select("k", "h", F.coalesce("next", "onward").alias("next"))
+    return closed.select("k", "h", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
 
 
 def with_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited texts.
 
     Columns: ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next``.
-    The edited text has its last half replaced by the beginning of the next document's. Texts move
-    once, and of each text the part that its neighbour takes over moves a second time.
+    The edited text has its last half replaced by the beginning of the next document's. Texts are
+    shuffled once, by one exchange that both joins read, and of each text the part that its neighbour
+    takes over moves a second time.
     """
-    docs = df.select(F.col(f"`{doc_id}`").alias("id"), text_or_empty(text).alias("text"))
-    docs = docs.select("id", "text", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID))
+    docs = df.select(key.alias("k"), F.xxhash64(text_or_empty(text)).alias("h"), text_or_empty(text).alias("text"))
     known = lexicon(docs)
-    prints = stage(fingerprinted(docs, "text", known, "fp").select("id", "h", "n", "fp"), "imatch-prints")
-    single = prints.groupBy("id", "h").agg(F.max("n").alias("n"), F.max("fp").alias("fp"))
-    follows = successors(prints.select("id", "h"))
-    cur, nxt = single.alias("cur"), single.alias("nxt")
-    pairs = follows.join(cur, same([follows.id, follows.h], [F.col("cur.id"), F.col("cur.h")])).select(
-        follows.id, follows.h, "next_id", "next_h", F.col("cur.n").alias("n"), F.col("cur.fp").alias("fp"))
-    pairs = pairs.join(nxt, same([pairs.next_id, pairs.next_h], [F.col("nxt.id"), F.col("nxt.h")])).select(
-        pairs.id, pairs.h, "next_id", "next_h", pairs.n, pairs.fp, F.col("nxt.fp").alias("next_fp"))
-    pairs = stage(pairs, "imatch-pairs")
+    prints = fingerprinted(docs, "text", known, "fp").select("k", "h", F.length("text").alias("n"), "fp")
+    # Repeated rows have one fingerprint.
+    prints = stage(stage(prints, "imatch-prints").dropDuplicates(["k", "h"]), "imatch-distinct-prints")
+    follows = successors(prints.select("k", "h"))
+    onward = prints.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("fp").alias("next_fp"))
+    pairs = stage(follows.join(prints, ["k", "h"]).join(onward, ["next_k", "next_h"]), "imatch-pairs")
     # What each text gives to the one before it; of repeated rows one is enough.
-    asked = pairs.select(F.col("next_id").alias("a_id"), F.col("next_h").alias("a_h"), F.col("id").alias("t_id"),
-                         F.col("h").alias("t_h"), F.floor(F.col("n") / 2).cast("int").alias("take"))
-    giving = docs.join(asked, same([docs.id, docs.h], [asked.a_id, asked.a_h]))
-    copy = F.row_number().over(Window.partitionBy("t_id", "t_h").orderBy("t_id"))
-    given = giving.select("t_id", "t_h", F.substring("text", F.lit(1), F.col("take")).alias("tail")).withColumn(
-        "copy", copy).where("copy = 1").drop("copy")
-    held = pairs.select(F.col("id").alias("p_id"), F.col("h").alias("p_h"), "fp", "next_fp")
-    whole = docs.join(held, same([docs.id, docs.h], [held.p_id, held.p_h]))
-    whole = whole.join(given, same([whole.id, whole.h], [given.t_id, given.t_h]))
-    edited = whole.select("id", "n", "fp", "next_fp", F.concat(
-        F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int")), "tail").alias("edited"))
+    asked = pairs.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"),
+                         F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("take"))
+    given = docs.join(asked, ["k", "h"]).select(
+        F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("take")).alias("tail"))
+    copy = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
+    given = given.withColumn("copy", copy).where("copy = 1").drop("copy")
+    whole = docs.join(pairs.select("k", "h", "fp", "next_fp"), ["k", "h"]).join(given, ["k", "h"])
+    n = F.length("text")
+    edited = whole.select("k", n.alias("n"), "fp", "next_fp", F.concat(
+        F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "tail").alias("edited"))
     edited = fingerprinted(edited, "edited", known, "edited_fp")
     return edited.select(
-        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited",
-        F.array_join("fp", "").alias("fingerprint"), F.array_join("edited_fp", "").alias("edited_fingerprint"),
+        F.nullif("k", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited",
+        F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

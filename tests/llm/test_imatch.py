@@ -59,7 +59,7 @@ def test_odd_rows(spark):
     assert len(found) == 8
     edited = {(r.doc_id, r.n_chars): r.edited for r in found}
     assert edited[(1, 400_000)] == ("long text " * 20_000) + "no id"
-    assert edited[(None, 5)] == "no ta" or edited[(None, 5)] == "no i" + "t" or len(edited[(None, 5)]) == 5
+    assert edited[(None, 5)] == "no " + "ta"
     assert edited[(4, 0)] == ""
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
     alone = imatch.with_edited(docs.limit(1)).collect()
@@ -68,7 +68,7 @@ def test_odd_rows(spark):
 
 
 def test_neighbours_over_many_partitions(spark):
-    keys = spark.range(5000).select((F.col("id") * 3 % 15001).alias("id"), F.lit(1).cast("long").alias("h"))
-    ids = sorted((r.id for r in keys.collect()), reverse=True)
+    keys = spark.range(5000).select((F.col("id") * 3 % 15001).alias("k"), F.lit(1).cast("long").alias("h"))
+    ids = sorted((r.k for r in keys.collect()), reverse=True)
     want = dict(zip(ids, ids[1:] + ids[:1]))
-    assert {r.id: r.next_id for r in imatch.successors(keys).collect()} == want
+    assert {r.k: r.next_k for r in imatch.successors(keys).collect()} == want
