@@ -111,8 +111,8 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
 
 def drop_partition(spark: SparkSession, table: str, values: dict[str, Any]) -> None:
     """Take one partition out of the catalog, and its files too, which an external table would keep."""
-    kinds = {c.name: c.dataType for c in spark.catalog.listColumns(table)}
-    spec = ", ".join(f"{c} = " + ("null" if v is None else f"CAST('{v}' AS {kinds[c]})") for c, v in values.items())
+    quoted = {c: "null" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for c, v in values.items()}
+    spec = ", ".join(f"`{c}` = {v}" for c, v in quoted.items())
     location = spark.sql(f"DESCRIBE FORMATTED {table} PARTITION ({spec})").filter("col_name = 'Location'").first()[1]
     spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)

@@ -11,7 +11,7 @@ from sentinela.sinks.files import dated_path, land_json, write_csv, write_parque
 from sentinela.sinks.jdbc import jdbc_write_options
 from sentinela.sinks.runlog import RunLog, read_runs
 from sentinela.sinks.tables import OVERWRITE_MODE, insert_into, upsert_into
-from sentinela.staging import scratch_root, stage
+from sentinela.staging import scratch_root, scratch_scope, stage
 from tests.conftest import rows
 
 SCHEMA = "{'cd_geocode': 'int', 'ds_doenca': 'string', 'dt_semana': ['date', 'yyyy-MM-dd'], 'vl_rt': 'double'}"
@@ -150,7 +150,26 @@ def test_upsert_rewrites_only_touched_partitions(spark, folder, table):
 def test_upsert_that_empties_a_partition(spark, folder, table):
     got, kept = _upsert(spark, folder, table, [(3, "a", 7.0)])
     assert got == [(1, "a", 1.0), (2, "a", 2.0), (3, "a", 7.0), (4, None, 4.0), (5, "c", 5.0)]
-    assert not kept
+    assert kept and not os.path.exists(f"{folder}/u/ds_doenca=b")
+
+
+def test_upsert_refuses_a_key_that_occurs_twice(spark, folder, table):
+    with pytest.raises(ValueError, match="several source rows"):
+        _upsert(spark, folder, table, [(3, "a", 7.0), (3, "b", 8.0)])
+
+
+def test_jobs_free_what_they_stage(spark):
+    kept = stage(spark.range(3), "outside")
+    with scratch_scope(spark):
+        inside = stage(spark.range(3), "inside").inputFiles()[0].replace("file://", "")
+        assert os.path.exists(inside)
+    assert not os.path.exists(inside) and kept.count() == 3
+
+
+def test_execution_id_of_a_column_is_that_of_a_run(spark, folder):
+    log = RunLog(spark, folder, "job", "src_tb_x", "silver", clock=lambda: datetime(2026, 1, 2, 3, 4, 5))
+    df = spark.sql("SELECT 'job' AS j, 'src_tb_x' AS t, TIMESTAMP_NTZ '2026-01-02 03:04:05' AS s")
+    assert df.select(execution_id(*[df[c] for c in "jts"])).first()[0] == log.record["execution_id"]
 
 
 def test_write_left_to_sql(spark, folder, table):

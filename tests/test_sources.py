@@ -142,8 +142,9 @@ def test_json_options():
     options = json_reader_options({"multiline": False, "line_sep": "\n", "primitive_as_string": True})
     assert options["multiLine"] == "false" and options["lineSep"] == "\n" and options["primitivesAsString"] == "true"
     assert "lineSep" not in json_reader_options()
+    assert json_reader_options({"use_unsafe_row": True}) == json_reader_options()
     with pytest.raises(ValueError):
-        json_reader_options({"use_unsafe_row": True})
+        json_reader_options({"no_such_option": True})
 
 
 def test_json_document_with_an_array(spark, folder):
@@ -194,42 +195,44 @@ def test_sql_model(spark):
     assert table_schema(df) == [("id", "bigint")]
 
 
-def test_flatten_municipality(spark, folder):
+def test_places_with_and_without_a_region(spark, folder):
     put(folder, "a.json", """[
-      {"id": 3550308, "nome": "São Paulo", "microrregiao": {"nome": "SP", "mesorregiao": {"nome": "Metro"}}},
-      {"id": 9999, "nome": "Unknown"}]""")
+      {"id": 41, "nome": "Barra", "microrregiao": {"nome": "Litoral", "mesorregiao": {"nome": "Leste"}}},
+      {"id": 42, "nome": "Ilha", "microrregiao": {"nome": "Mar", "mesorregiao": null}},
+      {"id": 43, "nome": "Morro", "microrregiao": null}]""")
     assert rows(flatten_municipalities(read_json(spark, folder))) == [
-        (3550308, "São Paulo", "SP", "Metro"), (9999, "Unknown", None, None)]
+        (41, "Barra", "Litoral", "Leste"), (42, "Ilha", "Mar", None), (43, "Morro", None, None)]
 
 
-def test_flatten_municipality_without_any_region(spark, folder):
-    put(folder, "a.json", '[{"id": 9999, "nome": "Unknown"}]')
+def test_places_none_of_which_has_a_region(spark, folder):
+    put(folder, "a.json", '[{"id": 8, "nome": "Morro"}, {"id": 9, "nome": null}]')
     df = read_json(spark, folder)
-    assert rows(flatten_municipalities(df)) == [(9999, "Unknown", None, None)]
-    assert df.select(field_or_null(df, "nome.x").alias("x")).first()[0] is None
+    assert rows(flatten_municipalities(df)) == [(8, "Morro", None, None), (9, None, None, None)]
+    assert {r[0] for r in df.select(field_or_null(df, "nome.parte").alias("x")).collect()} == {None}
 
 
-def test_parse_population(spark):
+def test_population_records(spark):
+    """The title record goes; a suffix in brackets goes; a figure that is no number is unknown."""
     df = spark.createDataFrame(
-        [("Valor", "Município (Código)", "Município", "Ano (Código)"),
-         ("11904961", "3550308", "São Paulo (SP)", "2025"), ("...", "3550309", "X", "2025")],
+        [("512", "77", "Lago (PR)", "1999"), ("Valor", "Município (Código)", "Município", "Ano (Código)"), ("-", "78", "Serra", "1999")],
         "V string, D1C string, D1N string, D3C string")
-    assert rows(parse_population(df)) == [(3550308, "São Paulo", 11904961, 2025), (3550309, "X", None, 2025)]
+    assert rows(parse_population(df)) == [(77, "Lago", 512, 1999), (78, "Serra", None, 1999)]
 
 
-def test_flatten_alert(spark, folder):
-    put(folder, "a.json", """[
-      {"SE": 202512, "data_iniSE": 1711065600000, "casos": 150, "casos_est": 180.5, "Rt": 1.2, "p_inc100k": 12.5,
-       "nivel": 3, "receptivo": 1, "transmissao": 0, "tempmin": 18.1},
-      {"SE": 202401, "data_iniSE": 0}, {"casos": 2}]""")
-    got = flatten_alerts(read_json(spark, folder), F.lit("dengue"), F.lit(35)).collect()
-    assert len(got[0]) == 19
+def test_alert_records(spark, folder):
+    """Weeks are cut from their number, dates come from milliseconds, absent fields are unknown or zero."""
+    noon = 43_200_000
+    put(folder, "a.json", f"""[
+      {{"SE": 199953, "data_iniSE": {86_400_000 * 10_957 + noon}, "casos": 4, "casos_est": 6.25, "Rt": 0.5, "p_inc100k": 3,
+        "nivel": 1, "receptivo": 0, "transmissao": 1, "tempmin": -2.5}},
+      {{"SE": 200007, "data_iniSE": 0, "casos": 9}}, {{"nivel": 4}}]""")
+    got = flatten_alerts(read_json(spark, folder), F.lit("zika"), F.lit(12)).collect()
     by_week = {(r["nr_ano_epi"], r["nr_semana_epi"]): r for r in got}
-    full = by_week[(2025, 12)]
-    assert (full["dt_semana_epidemiologica"], full["vl_casos"], full["vl_rt"], full["nr_nivel_alerta"]) == (
-        date(2024, 3, 22), 150, 1.2, 3)
-    assert by_week[(2024, 1)]["dt_semana_epidemiologica"] is None
-    assert by_week[(0, 0)]["vl_casos"] == 2 and by_week[(0, 0)]["cd_geocode"] == 35
+    assert set(by_week) == {(1999, 53), (2000, 7), (0, 0)} and len(got[0]) == 19
+    full, dateless, bare = by_week[(1999, 53)], by_week[(2000, 7)], by_week[(0, 0)]
+    assert full["dt_semana_epidemiologica"] == date(2000, 1, 1) and dateless["dt_semana_epidemiologica"] is None
+    assert (full["vl_casos"], full["vl_casos_estimados"], full["vl_rt"], full["vl_temp_min"]) == (4, 6.25, 0.5, -2.5)
+    assert (bare["nr_nivel_alerta"], bare["cd_geocode"], bare["ds_doenca"]) == (4, 12, "zika")
 
 
 def test_rows_without_first_and_last_data_line(spark, folder, small_splits):
