@@ -6,8 +6,11 @@ import io
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sentinela.config import IngestSpec, LiteralColumn, QualitySpec, RefineSpec, parse_schema
@@ -27,7 +30,7 @@ from sentinela.sources.lines import (
     add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, positioned_lines, read_lines,
 )
 from sentinela.sources.partitions import ingestion_path
-from sentinela.sources.zipped import unzip_csv
+from sentinela.sources.zipped import read_zipped_csv
 from sentinela.staging import scratch_path
 
 ORDER_SCHEMA = {
@@ -114,31 +117,44 @@ def _(t):
     return found.select("c_custkey", "c_name", F.col("c_nationkey").cast("int"), "c_acctbal", "c_mktsegment")
 
 
-@query("scan_ingestion_partition", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority = '2-HIGH'")
+PRIORITY_DATES = {"1-URGENT": "2026-01-01", "2-HIGH": "2026-02-01", "3-MEDIUM": "2026-03-01",
+                  "4-NOT SPECIFIED": "2026-04-01", "5-LOW": "2026-05-01"}
+
+
+@query("scan_ingestion_partition", "SELECT o_orderkey, o_orderstatus, CASE o_orderpriority " + " ".join(
+    f"WHEN '{p}' THEN '{d}'" for p, d in PRIORITY_DATES.items()) + " END AS dt_ref FROM orders")
 def _(t):
+    """All orders, landed by priority and read one ingestion date at a time."""
     root = scratch_path(t.spark, "landing")
-    dated = t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(
-        "o_orderkey", "o_orderstatus",
-        F.when(F.col("o_orderpriority") == "2-HIGH", "2026-02-01").otherwise("2026-01-01").alias("ingestion_date"))
-    dated.write.partitionBy("ingestion_date").json(root)
-    found = read_json(t.spark, ingestion_path(root, "2026-02-01", "none"), multiline=False)
-    return found.select("o_orderkey", "o_orderstatus")
+    dates = F.create_map(*[F.lit(x) for pair in PRIORITY_DATES.items() for x in pair])
+    t.orders.select("o_orderkey", "o_orderstatus", dates[F.col("o_orderpriority")].alias("ingestion_date")).write.partitionBy(
+        "ingestion_date").json(root)
+    parts = [
+        read_json(t.spark, ingestion_path(root, d, "none"), schema="o_orderkey long, o_orderstatus string", multiline=False)
+        .withColumn("dt_ref", F.lit(d)) for d in PRIORITY_DATES.values()]
+    return reduce(DataFrame.union, parts)
 
 
 @query("scan_zip_csv", ORDER_SQL)
 def _(t):
-    names = ORDER_NAMES
+    """Archives are written to the shared folder and read as files."""
+    names, root = ORDER_NAMES, scratch_path(t.spark, "zip")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for i, batch in enumerate(batches):
+        system, folder = fs.FileSystem.from_uri(root)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
             packed = io.BytesIO()
             with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("leia-me.txt", "dados")
                 archive.writestr("dados.csv", batch[names[::-1]].to_csv(index=False).encode("latin-1"))
-            yield pd.DataFrame({"path": [f"{i}.zip"], "content": [packed.getvalue()]})
+            name = f"{folder}/{TaskContext.get().partitionId()}-{batch['o_orderkey'].iloc[0]}.zip"
+            with system.open_output_stream(name) as sink:
+                sink.write(packed.getvalue())
+            yield pd.DataFrame({"rows": [len(batch)]})
 
-    archives = order_texts(t).mapInPandas(pack, "path string, content binary")
-    return typed_orders(unzip_csv(archives, names))
+    order_texts(t).mapInPandas(pack, "rows long").agg(F.sum("rows")).collect()
+    return typed_orders(read_zipped_csv(t.spark, root, names))
 
 
 # Casts and filters
@@ -499,10 +515,10 @@ def _(t):
     return t.spark.read.parquet(location)
 
 
-def _silver(t: Tables, table: str, bronze: str, ext: str, suffix: str, partitions: list[str]) -> tuple[str, str]:
+def _silver(t: Tables, table: str, bronze: str, ext: str, suffix: str) -> tuple[str, str]:
     """Ingest one landed table with its declared schema and checks; returns catalog name and location."""
     name, location = f"silver.{table}_{suffix}", scratch_path(t.spark, table)
-    create_table(t.spark, name, table, location, wide=True, partitions=partitions)
+    create_table(t.spark, name, table, location, wide=True)
     spec = IngestSpec.parse({
         "trgt_tbl": f"monitor_{table}", "ext": ext, "sep": ",", "bronze_path": bronze, "silver_table": name,
         "table_schema": ingest_schema(table, wide=True), "partition_column": INGEST_PARTITION[table],
@@ -512,6 +528,24 @@ def _silver(t: Tables, table: str, bronze: str, ext: str, suffix: str, partition
     return name, location
 
 
+@query("refine_stored_sql", """
+SELECT ds_doenca, nr_ano_epi, count(DISTINCT cd_geocode) AS municipios, sum(vl_casos) AS casos
+FROM v_alertas WHERE vl_casos >= 2 GROUP BY ALL""")
+def _(t):
+    """A gold model kept as SQL text, with a parameter, through the job."""
+    text = """SELECT count(DISTINCT cd_geocode) AS municipios, sum(vl_casos) AS casos, nr_ano_epi, ds_doenca
+              FROM {alertas} WHERE vl_casos >= :minimo GROUP BY ds_doenca, nr_ano_epi"""
+    location = scratch_path(t.spark, "gold")
+    t.spark.sql("CREATE DATABASE IF NOT EXISTS gold")
+    table = "s" + location.rsplit("-", 1)[1]
+    t.spark.sql(f"CREATE TABLE gold.{table} (municipios BIGINT, casos BIGINT, nr_ano_epi BIGINT, ds_doenca STRING) "
+                f"USING parquet PARTITIONED BY (ds_doenca) LOCATION '{location}'")
+    silver_to_gold(t.spark, RefineSpec.parse({"target_table": f"gold_{table}"}), text, {"minimo": 2}, {"alertas": t.alerts})
+    result = t.spark.read.schema(t.spark.table(f"gold.{table}").schema).parquet(location)
+    t.spark.sql(f"DROP TABLE gold.{table}")
+    return result.withColumn("nr_ano_epi", F.col("nr_ano_epi").cast("int"))
+
+
 @query("medallion_ranking", "SELECT * FROM g_ranking")
 def _(t):
     """Landed records to silver tables to the gold ranking, every step through the two jobs."""
@@ -529,8 +563,7 @@ def _(t):
     for table, records in landed.items():
         bronze = scratch_path(t.spark, f"bronze-{table}")
         land_json(records, bronze, "2026-02-01")
-        by = INGEST_PARTITION[table]
-        tables.append(_silver(t, table, bronze, "json", suffix, [by] if by else [])[0])
+        tables.append(_silver(t, table, bronze, "json", suffix)[0])
         silver[table] = t.spark.table(tables[-1])
     location = scratch_path(t.spark, "gold")
     target = f"tb_ft_ranking_anual_{suffix}"
@@ -559,7 +592,7 @@ def _(t):
     options = {"header": True, "emptyValue": ""}
     texts.filter(first).write.options(**options).csv(folder)
     texts.filter(~first).select(*texts.columns[::-1]).write.mode("append").options(**options).csv(folder)
-    name, stored = _silver(t, "tb_notificacoes", bronze, "csv", suffix, [])
+    name, stored = _silver(t, "tb_notificacoes", bronze, "csv", suffix)
     result = t.spark.table(name)
     back = t.spark.read.schema(result.schema).parquet(stored)
     t.spark.sql(f"DROP TABLE {name}")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sentinela.config import parse_schema
+from sentinela.config import QualitySpec, parse_schema
 from sentinela.operators import reconcile
-from sentinela.operators.quality import run_checks
+from sentinela.operators.quality import run_checks, run_suite
 from sentinela.plans.defaults import SUITES
 from sentinela.registry.base import Tables, query
 
@@ -113,54 +113,117 @@ def _(t):
     return found.withColumn("test_applied", F.regexp_replace("test_applied", "'", ""))
 
 
-@query("dq_suite", """
+# Inputs on which every check of the suites meets some rows that violate it; the text runs in both engines.
+BAD_ALERTS = """
+SELECT CASE WHEN nr_semana_epi = 9 THEN NULL ELSE cd_geocode END AS cd_geocode,
+       CASE nr_semana_epi WHEN 10 THEN NULL WHEN 11 THEN 'febre' ELSE ds_doenca END AS ds_doenca,
+       CASE WHEN nr_semana_epi = 12 AND vl_casos > 1 THEN NULL WHEN nr_semana_epi = 12 THEN 54 ELSE nr_semana_epi END
+           AS nr_semana_epi,
+       CASE nr_semana_epi WHEN 13 THEN NULL WHEN 14 THEN 9 ELSE nr_nivel_alerta END AS nr_nivel_alerta,
+       CASE nr_semana_epi WHEN 15 THEN NULL WHEN 16 THEN -1 ELSE vl_casos END AS vl_casos,
+       CASE WHEN nr_semana_epi = 17 THEN 7 ELSE vl_receptividade END AS vl_receptividade,
+       CASE WHEN nr_semana_epi = 18 THEN 5 ELSE vl_transmissao END AS vl_transmissao
+FROM {alerts}"""
+BAD_PLACES = """
+SELECT CASE cd_geocode % 5 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE cd_geocode END AS cd_geocode,
+       CASE WHEN cd_geocode % 3 = 0 THEN NULL ELSE nm_municipio END AS nm_municipio
+FROM {places}"""
+BAD_POPULATION = """
+SELECT CASE WHEN cd_geocode % 11 = 0 THEN NULL ELSE cd_geocode END AS cd_geocode,
+       CASE WHEN cd_geocode % 4 = 0 THEN NULL ELSE vl_populacao END AS vl_populacao
+FROM {population}"""
+BAD_NOTIFICATIONS = """
+SELECT CASE WHEN sg_uf = 33 THEN NULL ELSE id_agravo END AS id_agravo,
+       CASE WHEN nu_idade_n IS NULL THEN NULL ELSE dt_notific END AS dt_notific,
+       CASE WHEN id_municip % 10 = 0 THEN NULL ELSE id_municip END AS id_municip
+FROM {notifications}"""
+
+
+@query("dq_suite", f"""
+WITH bad AS ({BAD_ALERTS.format(alerts="v_alertas")}), found AS (
+SELECT unnest(['cd_geocode', 'ds_doenca', 'nr_semana_epi', 'nr_nivel_alerta', 'vl_casos', 'ds_doenca',
+               'nr_nivel_alerta', 'vl_receptividade', 'vl_transmissao', 'nr_semana_epi', 'vl_casos', 'Dataset']) AS c,
+       unnest([count(*) FILTER (WHERE cd_geocode IS NULL), count(*) FILTER (WHERE ds_doenca IS NULL),
+               count(*) FILTER (WHERE nr_semana_epi IS NULL), count(*) FILTER (WHERE nr_nivel_alerta IS NULL),
+               count(*) FILTER (WHERE vl_casos IS NULL), count(*) FILTER (WHERE ds_doenca = 'febre'),
+               count(*) FILTER (WHERE nr_nivel_alerta NOT BETWEEN 1 AND 4),
+               count(*) FILTER (WHERE vl_receptividade NOT BETWEEN 0 AND 4),
+               count(*) FILTER (WHERE vl_transmissao NOT BETWEEN 0 AND 4),
+               count(*) FILTER (WHERE nr_semana_epi NOT BETWEEN 1 AND 53), count(*) FILTER (WHERE vl_casos < 0),
+               CASE WHEN count(*) NOT BETWEEN 1 AND 200000 THEN 1 ELSE 0 END]) AS n
+FROM bad
+UNION ALL
+SELECT 'cd_geocode', sum(k) FROM (SELECT count(*) AS k FROM bad WHERE cd_geocode IS NOT NULL GROUP BY cd_geocode
+                                  HAVING count(*) > 1))
 SELECT 'monitor_tb_alertas' AS table_name, c AS column_tested, CAST(n AS BIGINT) AS unexpected_count,
        CASE WHEN n = 0 THEN 'success' ELSE 'failure' END AS status
-FROM (SELECT unnest(['cd_geocode', 'ds_doenca', 'nr_semana_epi', 'nr_nivel_alerta', 'vl_casos', 'ds_doenca',
-                     'nr_nivel_alerta', 'vl_receptividade', 'vl_transmissao', 'nr_semana_epi', 'vl_casos', 'Dataset'])
-             AS c, CASE WHEN c = 'Dataset' AND total NOT BETWEEN 1 AND 200000 THEN 1 ELSE 0 END AS n
-      FROM (SELECT count(*) AS total FROM v_alertas)
-      UNION ALL
-      SELECT 'cd_geocode', sum(k) FROM (SELECT count(*) AS k FROM v_alertas GROUP BY cd_geocode HAVING count(*) > 1))
-""")
+FROM found""")
 def _(t):
     checks = {**SUITES["tb_alertas"], "unique_vals": {"column": "cd_geocode"}}
-    found = run_checks(t.alerts, checks, "monitor_tb_alertas")
+    found = run_checks(t.spark.sql(BAD_ALERTS, alerts=t.alerts), checks, "monitor_tb_alertas")
     return found.select("table_name", "column_tested", "unexpected_count", "status")
 
 
-@query("dq_suite_places", """
+@query("dq_suite_places", f"""
+WITH bad AS ({BAD_PLACES.format(places="v_municipios")})
 SELECT 'tb_municipios' AS table_name, unnest(['cd_geocode', 'nm_municipio', 'cd_geocode', 'Dataset']) AS column_tested,
-       unnest([0, 0, count(*) - count(DISTINCT cd_geocode), CAST(count(*) NOT BETWEEN 640 AND 660 AS BIGINT)])
-           AS unexpected_count
-FROM v_municipios""")
+       unnest([count(*) FILTER (WHERE cd_geocode IS NULL), count(*) FILTER (WHERE nm_municipio IS NULL),
+               (SELECT coalesce(sum(k), 0)::BIGINT FROM (SELECT count(*) AS k FROM bad WHERE cd_geocode IS NOT NULL
+                                                         GROUP BY cd_geocode HAVING count(*) > 1)),
+               CAST(count(*) NOT BETWEEN 640 AND 660 AS BIGINT)]) AS unexpected_count
+FROM bad""")
 def _(t):
-    found = run_checks(t.municipalities, SUITES["tb_municipios"], "tb_municipios")
+    found = run_checks(t.spark.sql(BAD_PLACES, places=t.municipalities), SUITES["tb_municipios"], "tb_municipios")
     return found.select("table_name", "column_tested", "unexpected_count")
 
 
-@query("dq_suite_population", """
+@query("dq_suite_population", f"""
+WITH bad AS ({BAD_POPULATION.format(population="v_populacao")})
 SELECT 'tb_populacao' AS table_name, c AS column_tested, CAST(n AS BIGINT) AS unexpected_count
 FROM (SELECT unnest(['cd_geocode', 'vl_populacao', 'Dataset', 'vl_populacao']) AS c,
-             unnest([0, 0, CAST(count(*) NOT BETWEEN 640 AND 660 AS BIGINT),
-                     count(*) FILTER (WHERE vl_populacao NOT BETWEEN 100 AND 15000000)]) AS n FROM v_populacao
+             unnest([count(*) FILTER (WHERE cd_geocode IS NULL), count(*) FILTER (WHERE vl_populacao IS NULL),
+                     CAST(count(*) NOT BETWEEN 640 AND 660 AS BIGINT),
+                     count(*) FILTER (WHERE vl_populacao NOT BETWEEN 100 AND 15000000)]) AS n FROM bad
       UNION ALL
       SELECT 'cd_geocode', coalesce(sum(k), 0)
-      FROM (SELECT count(*) AS k FROM v_populacao GROUP BY cd_geocode HAVING count(*) > 1))""")
+      FROM (SELECT count(*) AS k FROM bad WHERE cd_geocode IS NOT NULL GROUP BY cd_geocode HAVING count(*) > 1))""")
 def _(t):
-    found = run_checks(t.population, SUITES["tb_populacao"], "tb_populacao")
+    found = run_checks(t.spark.sql(BAD_POPULATION, population=t.population), SUITES["tb_populacao"], "tb_populacao")
     return found.select("table_name", "column_tested", "unexpected_count")
 
 
-@query("dq_suite_notifications", """
+@query("dq_suite_notifications", f"""
+WITH bad AS ({BAD_NOTIFICATIONS.format(notifications="v_notificacoes")})
 SELECT 'tb_notificacoes' AS table_name, unnest(['id_agravo', 'dt_notific', 'id_municip', 'dataset']) AS column_tested,
-       unnest([0, 0, 0, CAST(count(*) NOT BETWEEN 1000 AND 50000000 AS BIGINT)]) AS unexpected_count
-FROM v_notificacoes""")
+       unnest([count(*) FILTER (WHERE id_agravo IS NULL), count(*) FILTER (WHERE dt_notific IS NULL),
+               count(*) FILTER (WHERE id_municip IS NULL),
+               CAST(count(*) NOT BETWEEN 1000 AND 50000000 AS BIGINT)]) AS unexpected_count
+FROM bad""")
 def _(t):
-    found = run_checks(t.notifications, SUITES["tb_notificacoes"], "tb_notificacoes")
+    bad = t.spark.sql(BAD_NOTIFICATIONS, notifications=t.notifications)
+    found = run_checks(bad, SUITES["tb_notificacoes"], "tb_notificacoes")
     return found.select("table_name", F.lower("column_tested").alias("column_tested"), "unexpected_count")
 
 
+@query("dq_stop_job", f"""
+WITH bad AS ({BAD_PLACES.format(places="v_municipios")})
+SELECT unnest(['cd_geocode', 'nm_municipio']) AS column_tested,
+       unnest([CASE WHEN count(cd_geocode) < count(*) THEN 'failure' ELSE 'success' END,
+               CASE WHEN count(nm_municipio) < count(*) THEN 'failure' ELSE 'success' END]) AS status
+FROM bad""")
+def _(t):
+    """A suite that stops the job hands over the outcomes of all its checks."""
+    quality = QualitySpec.parse({"trgt_tbl": "tb_municipios", "stop_job": True, "quality_params": {
+        "not_null": {"column": "cd_geocode,nm_municipio"}}})
+    try:
+        outcomes = run_suite(t.spark.sql(BAD_PLACES, places=t.municipalities), quality)
+    except Exception as stop:
+        if not hasattr(stop, "outcomes"):
+            raise
+        outcomes = stop.outcomes
+    return t.spark.createDataFrame([(o["column_tested"], o["status"]) for o in outcomes], "column_tested string, status string")
+
+
 def _perturbed_orders(t: Tables) -> DataFrame:
     """A copy from another system: padded text, one status missing, one priority repriced."""
     return t.orders.filter(F.col("o_orderstatus") != "P").select(
@@ -201,12 +264,12 @@ def _(t):
     return rows.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-@query("recon_normalized", "SELECT trim(text) AS text, doc_id FROM documents WHERE NOT regexp_matches(text, "
-       "'[\\x{200B}\\x{00A0}\\x{2000}-\\x{200F}\\x{2028}\\x{2029}\\x{3000}\\x{FEFF}]')")
+@query("recon_normalized", """
+SELECT trim(regexp_replace(trim(text), '[\\x{200B}\\x{00A0}\\x{2000}-\\x{200F}\\x{2028}\\x{2029}\\x{3000}\\x{FEFF}]', '', 'g'))
+       AS text, doc_id FROM documents""")
 def _(t):
-    plain = t.documents.filter(~F.col("text").rlike("[\\u200B\\u00A0\\u2000-\\u200F\\u2028\\u2029\\u3000\\uFEFF]"))
-    noisy = plain.select("doc_id", F.concat(F.lit("﻿ 　"), F.regexp_replace("text", " ", " ‍"),
-                                            F.lit("​ ")).alias("text"))
+    noisy = t.documents.select("doc_id", F.concat(
+        F.lit("\ufeff\u00a0\u3000"), F.regexp_replace(F.trim("text"), " ", " \u200d"), F.lit("\u200b ")).alias("text"))
     return reconcile.normalized(noisy)
 
 
@@ -214,8 +277,8 @@ def _(t):
 WITH pair AS (
 SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n2,
        sum(o_orderkey) AS k, sum(o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS k2,
-       sum(CAST(o_totalprice AS DECIMAL(28,10))) AS p,
-       sum(CAST(o_totalprice AS DECIMAL(28,10)) + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END)
+       sum(CAST(o_totalprice AS DECIMAL(18,2))) AS p,
+       sum(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END)
            FILTER (WHERE o_orderstatus <> 'P') AS p2,
        min(o_orderdate) AS lo, min(o_orderdate) FILTER (WHERE o_orderstatus <> 'P') AS lo2,
        max(o_orderdate) AS hi, max(o_orderdate) FILTER (WHERE o_orderstatus <> 'P') AS hi2 FROM orders),

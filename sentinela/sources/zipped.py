@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -28,19 +27,15 @@ def unzip_csv(archives: DataFrame, names: Iterable[str], sep: str = ",", encodin
             if not members:
                 raise ValueError(f"no CSV file in {archive}")
             with packed.open(members[0]) as stream:
-                rows = csv.reader(io.TextIOWrapper(stream, encoding=encoding, newline=""), delimiter=sep)
-                header = [h.strip().upper() for h in next(rows, [])]
-                places = [header.index(n) if n in header else None for n in wanted]
-                chunk: list[list[str | None]] = []
-                for row in rows:
-                    if not row:
-                        continue
-                    chunk.append([(row[p] or None) if p is not None and p < len(row) else None for p in places])
-                    if len(chunk) == ROWS_PER_BATCH:
-                        yield pd.DataFrame(chunk, columns=wanted, dtype=object)
-                        chunk = []
-                if chunk:
-                    yield pd.DataFrame(chunk, columns=wanted, dtype=object)
+                try:
+                    chunks = pd.read_csv(stream, sep=sep, encoding=encoding, dtype=str, na_filter=False, index_col=False,
+                                         chunksize=ROWS_PER_BATCH)
+                except pd.errors.EmptyDataError:
+                    return
+                for chunk in chunks:
+                    chunk.columns = [c.strip().upper() for c in chunk.columns]
+                    found = chunk.reindex(columns=wanted).astype(object)
+                    yield found.where(found.notna() & (found != ""), None)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,7 +9,7 @@ from sentinela.plans.defaults import columns, create_table
 from sentinela.plans.jobs import bronze_to_silver, silver_to_gold
 from sentinela.sinks.files import dated_path, land_json, write_csv, write_parquet
 from sentinela.sinks.jdbc import jdbc_write_options
-from sentinela.sinks.runlog import RunLog, read_runs
+from sentinela.sinks.runlog import RunLog, execution_id, read_runs
 from sentinela.sinks.tables import OVERWRITE_MODE, insert_into, upsert_into
 from sentinela.staging import scratch_root, scratch_scope, stage
 from tests.conftest import rows
