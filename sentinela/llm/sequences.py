@@ -143,6 +143,9 @@ def write(df: DataFrame, root: str, vocabulary: str, end_id: int, doc_id: str =
             writer.close(), index.close()
         if documents:
             for draft, final in zip(drafts, finals):
+                # Left by an attempt whose executor was lost after renaming.
+                if system.get_file_info(final).type != fs.FileType.NotFound:
+                    system.delete_file(final)
                 system.move(draft, final)
             yield pa.RecordBatch.from_pydict({"part": [part], "tokens": [writer.total]})
         else:
