@@ -259,9 +259,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` whose id is the smallest of its component; of rows that share that id, the one of the least text hash."""
+    """Rows of ``df`` whose id is the smallest of its component; of rows that share that id, the one of the least text hash.
+
+    Texts are shuffled once: the join and the choice among rows of one id use the same key, the id's
+    text, which for a null id is empty.
+    """
+    def key(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(""))
+
     found = near_duplicates(df, doc_id, text)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    kept = df.join(stays, df[doc_id].eqNullSafe(stays["__kept"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(F.col(f"`{doc_id}`")).orderBy(F.xxhash64(text_or_empty(text))))
-    return kept.withColumn("__copy", rank).where("__copy = 1").drop("__copy")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__key")).distinct()
+    kept = df.withColumn("__key", key(F.col(f"`{doc_id}`"))).join(stays, "__key", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(text_or_empty(text))))
+    return kept.withColumn("__copy", rank).where("__copy = 1").select(*[F.col(f"`{c}`") for c in df.columns])
