@@ -46,22 +46,23 @@ def _title(names: tuple[str, ...]) -> str:
 _ANY_TITLE = _title(sum(TITLES.values(), ()))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ASSIGNED = r"(?i:(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}+"
+_NAME = r"\p{Lu}[\p{L}'’-]++"
 # Kinds in the order in which they are tried at each place of a text.
 KINDS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}",
-    "hex_secret": rf"{_ASSIGNED}[0-9A-Fa-f]{{8,256}}+(?![^\s\"'.,;])",
-    "secret": rf"{_ASSIGNED}(?=[^\s\"']{{0,255}}\d)[^\s\"']{{4,256}}+",
+    "hex_secret": rf"{_ASSIGNED}[0-9A-Fa-f]{{8,}}+(?![^\s\"'.,;])",
+    "secret": rf"{_ASSIGNED}(?=[^\s\"'\d]*+\d)[^\s\"']{{4,}}+",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "hex_key": r"\b[0-9A-Fa-f]{32,256}+\b",
+    "hex_key": r"\b[0-9A-Fa-f]{32,}+\b",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "card": r"(?<![\w+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?=\+?(?:[ ().-]{0,2}\d){9,15}(?!\w))\+?(?:\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])"
              r"\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)",
     **{f"given_{g}": rf"{_title(names)}{_NAME} (?={_NAME})" for g, names in TITLES.items()},
-    "family": rf"{_ANY_TITLE}{_NAME}|(?<!\w)(?=\p{{Lu}})(?<={_ANY_TITLE}\p{{Lu}}[\p{{L}}'’-]{{1,40}} ){_NAME}",
+    # A name takes the blank before a further one; no other match ends with a blank, so the next one goes on from there.
+    "family": rf"(?:{_ANY_TITLE}|\G(?<= )){_NAME}(?: (?={_NAME}))?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 # Ranges of card numbers by issuer.
@@ -102,7 +103,7 @@ def _head(m: Column, kind: Column) -> Column:
     return (
         F.when(kind.endswith("secret"), first(r"^([\w-]+\s*[=:]\s*[\"']?)")).when(kind == "access_key", 4).when(kind == "iban", 2)
         .when(kind == "card", 1).when(kind == "phone", first(r"^(.*?)(?:\D*\d){10}\D*$"))
-        .when(kind.like("given%") | (kind == "family"), first(r"^(\p{L}+\.? )")).otherwise(0)
+        .when(kind.like("given%") | (kind == "family"), first(rf"^({_ANY_TITLE})\p{{Lu}}")).otherwise(0)
     )
 
 
@@ -132,11 +133,11 @@ def _entities(matches: Column) -> Column:
     found = _map(found, lambda e: {
         "head": _head(e["m"], e["kind"]), "end": F.length(e["m"]) - _tail(e["m"], e["kind"]),
         "chars": F.when(e["kind"] == "ip", F.regexp_extract_all(e["m"], F.lit(r"\d+|\."), 0)).otherwise(
-            F.transform(F.sequence(F.lit(1), F.length(e["m"])), lambda i: F.substr(e["m"], i, F.lit(1)))),
+            F.regexp_extract_all(e["m"], F.lit("(?s)."), 0)),
     }, "m", "kind")
     found = _map(found, lambda e: {"letters": F.transform(e["chars"], lambda c, i: F.struct(
         c.alias("c"),
-        F.when((i >= e["head"]) & (i < e["end"]), _alphabet(c, e["kind"])).otherwise("").alias("a"),
+        F.when((i >= e["head"]) & (i < e["end"]), _alphabet(c, e["kind"])).otherwise("").alias("a"), i.alias("i"),
     ))}, "m", "kind")
     found = _map(found, lambda e: {"moved": F.filter(e["letters"], lambda x: x["a"] != "")}, "m", "kind", "letters")
     return _map(found, lambda e: {
@@ -187,14 +188,14 @@ def _written(e: Column) -> Column:
     """The mention with its variable characters replaced."""
     name = e["kind"].like("given%") | (e["kind"] == "family")
 
-    def put(done: Column, x: Column) -> Column:
-        value = F.get(e["values"], done["at"])
+    def put(x: Column, value: Column) -> Column:
         new = F.when(x["a"] == OCTET, value.cast("string")).otherwise(F.substr(x["a"], value + 1, F.lit(1)))
-        return F.when(x["a"] == "", F.struct(F.concat(done["text"], x["c"]).alias("text"), done["at"].alias("at"))).otherwise(
-            F.struct(F.concat(done["text"], F.when(name, _syllable(new)).otherwise(new)).alias("text"), (done["at"] + 1).alias("at")))
+        return F.struct(x["i"].alias("i"), F.when(name, _syllable(new)).otherwise(new).alias("c"))
 
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    return F.aggregate(e["letters"], start, put, lambda done: done["text"])
+    moved = F.zip_with(F.filter(e["letters"], lambda x: x["a"] != ""), e["values"], put)
+    stay = F.transform(F.filter(e["letters"], lambda x: x["a"] == ""), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))
+    # Sorted by place rather than appended one by one, which takes the square of a long secret's length.
+    return F.array_join(F.transform(F.sort_array(F.concat(moved, stay)), lambda x: x["c"]), "")
 
 
 def _finished(e: Column) -> Column:

@@ -78,3 +78,25 @@ def test_odd_rows(spark):
     assert got[5][0].startswith("x" * 300_000 + " ") and got[5][1] == 1 and got[5][0] != texts[5]
     assert replaced(spark, ["mail me@you.org"], "k1") != replaced(spark, ["mail me@you.org"], "k2")
     assert pii.replace(docs.limit(0), "k").count() == 0
+
+
+def test_long_secrets_go_whole(spark):
+    jwt, key = "eyJhbGciOiJIUzI1NiJ9" * 24, "0123456789abcdef" * 40
+    texts = [f"token={jwt} end", f"secret: {key}, end", f"key {key} end", f"token={'x' * 300}1 end", f"token={'aB3-' * 50_000} end"]
+    for old, new in zip(texts, replaced(spark, texts)):
+        assert len(new) == len(old) and new.endswith(" end")
+        start = old.index("=") + 1 if "=" in old else 8 if old[0] == "s" else 4
+        assert new[:start] == old[:start]
+        for i in range(start, len(old) - 40, max(20, len(old) // 500)):
+            assert new[i:i + 20] != old[i:i + 20]
+
+
+def test_every_word_of_a_name_goes(spark):
+    texts = ["Dr. Ana Maria Lopez Garcia came. Mr. Lopez left", "Mr. Don Smith", "Dr. " + "A" + "b" * 60 + " left",
+             "see a@b.org Smith, 10.0.0.1 Smith, token=ab12cd Smith"]
+    new = replaced(spark, texts)
+    m = re.fullmatch(r"Dr\. (\w+e) (\w+) (\w+) (\w+) came\. Mr\. (\w+) left", new[0])
+    assert m and not {"Ana", "Maria", "Lopez", "Garcia"} & set(m.groups()) and m[3] == m[5]
+    assert re.fullmatch(r"Mr\. \w+o \w+", new[1]) and "Smith" not in new[1]
+    assert re.fullmatch(r"Dr\. \w+ left", new[2]) and "bbbb" not in new[2]
+    assert new[3].count(" Smith") == 3
