@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.llm.tables import text_or_empty
 from sentinela.staging import stage
@@ -246,29 +246,33 @@ def connect(edges: DataFrame) -> DataFrame:
         last = state
 
 
+def _rooted(points: DataFrame) -> DataFrame:
+    """``fp``, ``least`` and the ``root`` of each point's component."""
+    points = stage(points, "simhash-points")
+    roots = connect(_links(points))
+    rooted = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return stage(rooted, "simhash-roots")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` (the fingerprint as a long) and ``component_id`` of every row."""
     docs = stage(df.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(text_or_empty(text)).alias("fp")), "simhash")
-    points = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
-    roots = connect(_links(points))
-    rooted = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stage(rooted, "simhash-roots")
+    rooted = _rooted(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_point = rooted.join(components, "root").select("fp", "component_id")
     return docs.join(of_point, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` whose id is the smallest of its component; of rows that share that id, the one of the least text hash.
+    """One row of ``df`` for each component: that of the smallest id, null last, and of these that of the least text hash.
 
-    Texts are shuffled once: the join and the choice among rows of one id use the same key, the id's
-    text, which for a null id is empty.
+    Rows are numbered as they are written, so ids need not tell them apart. Minima combine before
+    they are shuffled; texts are shuffled once, by row number, which no two rows share.
     """
-    def key(c: Column) -> Column:
-        return F.coalesce(c.cast("string"), F.lit(""))
-
-    found = near_duplicates(df, doc_id, text)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__key")).distinct()
-    kept = df.withColumn("__key", key(F.col(f"`{doc_id}`"))).join(stays, "__key", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(text_or_empty(text))))
-    return kept.withColumn("__copy", rank).where("__copy = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = stage(numbered.select(
+        "*", F.xxhash64(text_or_empty(text)).alias("__hash"), fingerprints(text_or_empty(text)).alias("__fp")), "simhash-rows")
+    order = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), "__hash", "__row")
+    rooted = _rooted(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("least")))
+    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.__row")
+    return rows.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

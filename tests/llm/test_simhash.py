@@ -101,3 +101,11 @@ def test_odd_rows(spark):
     assert rows(kept.select("doc_id")) == [(None,), (1,), (3,), (5,)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_stay_by_their_texts(spark):
+    a, b, c, d = ("one two three four", "five six seven eight", "nine ten eleven twelve", "red green blue grey")
+    docs = spark.createDataFrame(
+        [(3, a), (7, a), (7, b), (7, c), (7, c), (None, d), (None, "pink white"), (None, "pink white"), (None, b)],
+        "doc_id long, text string")
+    assert rows(simhash.keep_one(docs)) == [(None, "pink white"), (None, d), (3, a), (7, b), (7, c)]
