@@ -6,8 +6,7 @@ attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``, weighs the passages of a
 weighted sum of their encodings is scored. All parts are learned together from document labels.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` in expectation, half of each
-label), which reach the driver as the figures of their passages, at most ``PASSAGES`` evenly spread
-ones a document; scoring uses all passages.
+label), which reach the driver as the figures of all their passages; scoring uses all passages, too.
 
 Defined cases: a null text counts as empty; a text without words is one passage of zeros. Without
 rows of both labels every score is the share of label 1 (0 if there are none). Equal texts get
@@ -28,7 +27,7 @@ from sentinela.llm.arrays import Rolling, code_points, letter_table, spans
 from sentinela.llm.tables import slices, text_or_empty
 from sentinela.llm.toxicity import sample, sigmoid
 
-PASSAGE, SAMPLE, PASSAGES = 64, 6_000, 32
+PASSAGE, SAMPLE = 64, 6_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 128, 0.01
 FIGURES = 16
 
@@ -177,9 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             texts, out = batch["text"].tolist(), []
             for start, end in slices(texts):
                 x, first = passages(texts[start:end])
-                for a, b in zip(first, first[1:]):
-                    spread = np.unique(np.linspace(a, b - 1, min(b - a, PASSAGES)).astype(np.int64))
-                    out.append(x[spread].astype("<f4").tobytes())
+                out += [x[a:b].astype("<f4").tobytes() for a, b in zip(first, first[1:])]
             yield pd.DataFrame({"bag": out, "label": batch["label"].to_numpy()})
 
     rows = sample(docs, labels, label, SAMPLE).mapInPandas(collect, "bag binary, label int").toPandas()

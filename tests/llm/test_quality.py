@@ -79,3 +79,12 @@ def test_odd_rows(spark):
     flat = quality.score(docs, quality.fit(docs, labels.limit(0))).select("score").distinct().collect()
     assert len(flat) == 1
     assert quality.score(docs.limit(0), quality.fit(docs, labels)).count() == 0
+
+
+def test_fit_takes_all_passages_of_a_document(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(quality, "learn", lambda bags, labels: learnt.extend(bags))
+    docs = spark.createDataFrame([(1, "word " * 64 * 39 + "last"), (2, "short text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    assert sorted(map(len, learnt)) == [1, 40]
