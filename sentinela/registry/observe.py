@@ -60,7 +60,7 @@ def _(t):
 SELECT event_id, start_execution, job_name, status FROM v_runs WHERE dt_ref >= DATE '2024-04-10' - 90
 ORDER BY start_execution DESC, event_id LIMIT 10000""")
 def _(t):
-    return observability.recent(t.runs, "2024-04-10").select("event_id", "start_execution", "job_name", "status")
+    return observability.recent(t.runs, "2024-04-10", limit=10_000).select("event_id", "start_execution", "job_name", "status")
 
 
 @query("critical_failures", "SELECT event_id, job_name FROM v_runs WHERE critical_table AND status = 'error'")

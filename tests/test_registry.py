@@ -43,3 +43,13 @@ def test_query_matches_its_sql(spark, db, name):
 
 def test_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
+
+
+def test_recent_runs_is_its_sql_where_the_window_holds_more(spark):
+    larger = "/root/testdata/sf0.1"
+    connection = duckdb.connect()
+    for path in glob.glob(f"{larger}/*.parquet"):
+        connection.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    got = sorted(tuple(map(cell, r)) for r in QUERIES["recent_runs"](spark, larger).collect())
+    assert len(got) == 10_000
+    assert got == sorted(tuple(map(cell, r)) for r in connection.sql(ORACLES["recent_runs"]).fetchall())
