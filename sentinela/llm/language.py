@@ -112,7 +112,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters | None
                         yield pd.DataFrame({"lang": language, "size": size, "gram": values.view(np.int64), "n": n})
 
     counted = (
-        sample.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+        # Copies of a text count once: the dice take or leave them together.
+        sample.select(F.col(text).alias("text"), F.col(lang).alias("lang")).distinct()
         .mapInPandas(count, "lang string, size int, gram long, n long")
         .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     )

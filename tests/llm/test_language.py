@@ -52,3 +52,13 @@ def test_odd_rows(spark):
     assert language.fit(learnt.limit(0)) is None
     assert rows(language.identify(docs.limit(1), None).select("lang_pred", "score")) == [("und", 0.0)]
     assert language.identify(docs.limit(0), None).count() == 0
+
+
+def test_copies_of_a_text_count_once_in_the_fit(spark):
+    texts = [("the quick brown fox jumps over the lazy dog", "en"), ("the dog and the fox are quick and brown", "en"),
+             ("der schnelle braune fuchs springt weit", "de"), ("der fuchs und der hund sind braun und schnell", "de")]
+    # Blanks within the texts, so that it does not matter which ones share a batch.
+    texts = [(f". {t} .", lang) for t, lang in texts]
+    copies = texts + [(". zzzz yyyy xxxx wwww zzzz yyyy xxxx wwww .", "en")] * 1500
+    one, many = (language.fit(spark.createDataFrame(t, "text string, lang string")) for t in (copies[:5], copies))
+    assert (one.words == many.words).all()
