@@ -231,7 +231,10 @@ def replace(df: DataFrame, key: str, text: str = "text", count: str | None = Non
     found = found.select(*kept, "__found", surrogates(F.col("__found"), key).alias("__new"))
     new = F.when(F.size("__found") == 0, F.col(text)).otherwise(F.concat_ws("", F.zip_with(
         pieces, F.col("__new"), lambda piece, e: F.concat(piece, F.coalesce(e["surrogate"], F.lit(""))))))
-    out = found.withColumn(text, new)
+    # As the only element of an array that is laid out again: Spark then never merges this expression into a later
+    # projection, where a Python UDF over it would be left unplanned ("Cannot evaluate expression").
+    taken = [F.col(f"`{c}`") for c in df.columns if c != text]
+    out = found.select(*taken, "__new", F.explode(F.array(new)).alias(text)).select(*kept, "__new")
     if count:
         out = without(out, [count]).withColumn(count, F.size(F.filter("__new", lambda e: e["kind"] != "number")))
     return out.drop("__found", "__new")
