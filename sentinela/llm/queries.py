@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentinela.llm import bpe, contamination, imatch, language, pii, quality, sequences, simhash, toxicity, urls
+from sentinela.llm import (
+    bpe, contamination, imatch, language, periodicity, pii, quality, sequences, simhash, toxicity, urls,
+)
 from sentinela.llm.tables import fold, table
 from sentinela.staging import scratch_path
 
@@ -125,3 +127,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = imatch.with_edited(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
                         "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodicity.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodicity.detect(docs).withColumn("best", periodicity.longest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodicity.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
