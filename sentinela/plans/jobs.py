@@ -42,21 +42,22 @@ def read_bronze(spark: SparkSession, spec: IngestSpec, path: str, variables: dic
     elif spec.ext == "txt":
         lines = read_lines(spark, path, spec.encoding)
         if by_line:
-            lines = drop_edge_lines(placed, int(spec.skip_header), spec.skip_footer).drop("_place")
+            lines = drop_edge_lines(placed, int(spec.skip_header), spec.skip_footer)
         df = cut_fixed_width(lines, list(spec.layout), spec.positional) if spec.layout else lines
     elif spec.ext == "csv":
         align = str(options.pop("normalize_schema", False)).lower() == "true"
         if by_line:
-            df = read_without_edges(placed, names, spec.header, spec.sep, spec.skip_header, spec.skip_footer, **options)
+            df = read_without_edges(placed, names, spec.header, spec.sep, spec.skip_header, spec.skip_footer, spec.encoding,
+                                    **options)
         else:
             df = read_delimited(spark, path, names, spec.header, spec.sep, spec.encoding, align, **options)
     else:
         raise ValueError(f"unsupported extension {spec.ext!r}; supported are {EXTENSIONS}")
     if from_line:
-        df = add_date_from_line(df, placed, literal)
+        df = add_date_from_line(df, placed, literal, spec.encoding)
     elif literal is not None:
         df = add_literal_date(df, literal)
-    return df.drop("_file", "_block")
+    return df.drop("_file", "_block", "_length", "_size")
 
 
 def _json_schema(spec: IngestSpec) -> StructType:

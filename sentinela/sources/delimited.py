@@ -10,7 +10,9 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sentinela.sources.lines import beside_lines, decoded, drop_edge_lines, header_line
+from sentinela.sources.lines import drop_edge_lines, header_line, with_header_line
+from sentinela.sources.ranges import file_heads
+from sentinela.staging import stage
 
 
 def align_header(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -57,8 +59,8 @@ def read_aligned(spark: SparkSession, path: str | list[str], names: Iterable[str
     """Read files whose headers may differ in order or content; columns in upper case.
 
     The CSV reader binds every file it is given by the first one's header. So files are grouped by
-    header, the reader reads each group, and the groups are put together by name. Finding the
-    headers passes over the text once; ``uniform_header`` saves that where all files agree.
+    header, the reader reads each group, and the groups are put together by name. A short read of
+    every file finds the headers; ``uniform_header`` saves that where all files agree.
     """
     names = [n.upper() for n in names]
     reader = spark.read.options(sep=sep, encoding=encoding, header=True, **options)
@@ -74,12 +76,8 @@ def read_aligned(spark: SparkSession, path: str | list[str], names: Iterable[str
 
 
 def file_headers(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """First line of every file, as ``_file``, ``_line``, found in one scan."""
-    first = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"),
-    ).filter("_metadata.file_block_start = 0")
-    heads = first.groupBy("_file").agg(F.min_by("value", "_place").alias("value"))
-    return decoded(heads, encoding).select("_file", F.col("value").alias("_line"))
+    """First line of every file, as ``_file``, ``_line``; reads the beginnings of the files only."""
+    return file_heads(spark, spark.read.text(path).inputFiles(), 1, encoding).select("_file", "_line")
 
 
 def _cells(c: Column, width: int, sep: str, options: dict[str, str]) -> Column:
@@ -89,7 +87,7 @@ def _cells(c: Column, width: int, sep: str, options: dict[str, str]) -> Column:
 
 
 def read_without_edges(lines: DataFrame, names: Iterable[str], header: bool, sep: str | None, skip_first: bool = False,
-                       skip_last: bool = False, **options: str) -> DataFrame:
+                       skip_last: bool = False, encoding: str = "UTF-8", **options: str) -> DataFrame:
     """Delimited rows without the first and/or last data line of each file, all text, plus ``_file``, ``_block``.
 
     ``lines`` are ``positioned_lines``. A header line is not a data line: it names the columns and
@@ -104,11 +102,12 @@ def read_without_edges(lines: DataFrame, names: Iterable[str], header: bool, sep
     if not header:
         cells = _cells(F.col("value"), len(names), sep, options)
         return kept.select(*[cells[i].alias(n) for i, n in enumerate(names)], "_file", "_block")
-    headers = header_line(lines)
+    # There are few different headers, however many files: each is cut once, and rows find its titles by the line.
+    headers = stage(header_line(lines, encoding=encoding).select("_line").distinct(), "header-lines")
     separators = F.length(F.regexp_replace("_line", "[^" + re.escape(sep) + "]", ""))
     width = (headers.agg(F.max(separators)).first()[0] or 0) + 1
     titles = F.transform(_cells(F.col("_line"), width, sep, options), lambda h: F.upper(F.trim(h))).alias("_titles")
-    rows = beside_lines(lines, headers.select("_file", titles), kept)
+    rows = with_header_line(kept, encoding=encoding).join(headers.select("_line", titles), "_line", "left")
     rows = rows.withColumn("_cells", _cells(F.col("value"), width, sep, options))
     return rows.select(*[
         F.try_element_at("_cells", F.nullif(F.array_position("_titles", F.lit(n.upper())).cast("int"), F.lit(0))).alias(n.upper())

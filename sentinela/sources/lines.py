@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from sentinela.config import LiteralColumn
 from sentinela.functions.text import slice_text
-from sentinela.staging import stage
+from sentinela.sources.ranges import Head, file_heads, head_lines, last_start
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -22,65 +27,98 @@ def decoded(lines: DataFrame, encoding: str) -> DataFrame:
 
 
 def positioned_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """Lines with their file, the byte offset of their split and their place; staged.
+    """Lines with the split of the file they were read from: ``value, _file, _block, _length, _size``.
 
-    Columns: ``value``, ``_file``, ``_block``, ``_place``. Places of one split are consecutive in
-    file order, so (block, place) orders the lines of a file without bringing the file into one task.
-    Both depend on how the scan was split, therefore they are written once, and everything that
-    compares places takes them from this copy.
+    A scan of its own: nothing is written, and the split is the one in force when the rows are read.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_place"),
-    )
-    return stage(decoded(lines, encoding), "lines")
+    lines = spark.read.text(path).select("value", *[
+        F.col(f"_metadata.{name}").alias(to) for name, to in (
+            ("file_path", "_file"), ("file_block_start", "_block"), ("file_block_length", "_length"), ("file_size", "_size"))])
+    return decoded(lines, encoding)
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """First and last place of every split, and the lines of its file before it.
+def _edges_of(file: str | None, block: int, length: int, size: int, header: int, footer: bool) -> tuple[int, bool]:
+    """How many of a split's first rows are header lines of its file, and whether its last row is the file's last.
 
-    Reads numbers only, reduced on the map side; then there is one row a split.
+    A split holds the lines that begin after its start and up to its end; the first one also the line at its start.
+    A split that is a whole file is known without a look at the file, a compressed one included.
     """
-    bounds = lines.groupBy("_file", "_block").agg(F.min("_place").alias("low"), F.max("_place").alias("high"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return bounds.withColumn("before", F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(before), F.lit(0)))
+    if file is None:
+        return header, footer
+
+    def held(at: int) -> bool:
+        return (block < at or block == at == 0) and at <= block + length
+
+    head = sum(map(held, Head(file, header, compressed=False).starts)) if header else 0
+    return head, footer and held(last_start(file, size))
+
+
+def _inner_rows(header: int, footer: bool):
+    """Whether each row of a stream of splits is neither a header nor a last line, one row late."""
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        split, seen, head, last, late = None, 0, 0, False, None
+        for batch in batches:
+            files, blocks, lengths, sizes, paths = (column.to_numpy() for column in batch)
+            n = len(files)
+            if not n:
+                yield pd.Series([], dtype=bool)
+                continue
+            kept = np.ones(n, bool)
+            starts = np.flatnonzero(np.r_[True, (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])])
+            for start, end in zip(starts, [*starts[1:], n]):
+                if (files[start], blocks[start]) != split:
+                    if last and start:
+                        kept[start - 1] = False
+                    elif last:
+                        late = False
+                    split, seen = (files[start], blocks[start]), 0
+                    head, last = _edges_of(paths[start], blocks[start], lengths[start], sizes[start], header, footer)
+                kept[start:min(end, start + max(0, head - seen))] = False
+                seen += end - start
+            before, late = ([] if late is None else [late]), kept[-1]
+            yield pd.Series(np.r_[before, kept[:-1]].astype(bool))
+        if late is not None:
+            yield pd.Series([bool(late) and not last])
+
+    # Not to be moved past another filter: it depends on seeing every row of the scan, in order.
+    return F.pandas_udf(run, BooleanType()).asNondeterministic()
 
 
 def drop_edge_lines(lines: DataFrame, header: int = 0, footer: bool = False) -> DataFrame:
     """``positioned_lines`` without the first ``header`` and, on request, the last line of each file.
 
-    The lines to drop are few and named by their place, which no two lines share, so looking them
-    up spreads evenly however large a file is.
+    One pass over each split with one row of look-ahead. Where a file has several splits, its task asks the file
+    itself by two short reads which of its edge lines begin in the split, so the result does not depend on how files
+    are split, and no text leaves the JVM.
     """
     if not (header or footer):
         return lines
-    blocks, edges = _blocks(lines), []
-    if header:
-        last = F.least("high", F.col("low") + int(header) - F.col("before") - 1)
-        edges.append(blocks.filter(F.col("before") < int(header)).select(F.explode(F.sequence("low", last)).alias("_place")))
-    if footer:
-        last = blocks.groupBy("_file").agg(F.max(F.struct("_block", "high")).alias("last"))
-        edges.append(last.select(F.col("last.high").alias("_place")))
-    named = edges[0] if len(edges) == 1 else edges[0].union(edges[1])
-    return lines.join(stage(named, "edges"), "_place", "left_anti")
-
-
-def header_line(lines: DataFrame, line: int = 0) -> DataFrame:
+    whole = (F.col("_block") == 0) & (F.col("_length") >= F.col("_size"))
+    kept = _inner_rows(int(header), bool(footer))(
+        F.xxhash64("_file"), F.col("_block"), F.col("_length"), F.col("_size"), F.when(~whole, F.col("_file")))
+    return lines.withColumn("_kept", kept).filter("_kept").drop("_kept")
+
+
+def header_line(lines: DataFrame, line: int = 0, encoding: str = "UTF-8") -> DataFrame:
     """Line number ``line`` (0-based) of every file that has it, as ``_file``, ``_line``; one row per file."""
-    place = F.col("low") + line - F.col("before")
-    wanted = _blocks(lines).filter(place.between(F.col("low"), F.col("high"))).select(place.alias("_place"))
-    return stage(lines.join(wanted, "_place", "left_semi").select("_file", F.col("value").alias("_line")), "header-lines")
+    heads = file_heads(lines.sparkSession, lines.inputFiles(), int(line) + 1, encoding)
+    return heads.filter(F.col("_place") == int(line)).select("_file", "_line")
 
 
-def beside_lines(lines: DataFrame, per_file: DataFrame, kept: DataFrame) -> DataFrame:
-    """Join what is known of each file to its lines ``kept``.
+def with_header_line(df: DataFrame, line: int = 0, encoding: str = "UTF-8") -> DataFrame:
+    """Add ``_line``, line number ``line`` of the file (``_file``) each row came from; NULL where it has none.
 
-    The key is the split, not the file: a file of any size is met by many small keys.
+    A task reads the beginning of each of its files, so rows meet their header without a join or shuffle.
     """
-    per_block = stage(_blocks(lines).select("_file", "_block").join(per_file, "_file", "left"), "per-block")
-    return kept.join(per_block, ["_file", "_block"], "left")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for files in batches:
+            names, at = np.unique(files.to_numpy(), return_inverse=True)
+            found = [(*head_lines(f, line + 1, encoding), *[None] * (line + 1))[line] for f in names]
+            yield pd.Series(np.array(found, object)[at] if len(names) else [], dtype=object)
+
+    return df.withColumn("_line", F.pandas_udf(run, StringType())(F.col("_file")))
 
 
 def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:
@@ -90,10 +128,10 @@ def add_literal_date(df: DataFrame, literal: LiteralColumn) -> DataFrame:
     return df.withColumn(literal.name, F.try_to_date(F.lit(literal.value), literal.mask))
 
 
-def add_date_from_line(df: DataFrame, lines: DataFrame, literal: LiteralColumn) -> DataFrame:
-    """Date cut out of a header line of the file each row came from (``_file``, ``_block``)."""
-    date = F.try_to_date(slice_text(F.col("_line"), literal.start, literal.end), literal.mask).alias(literal.name)
-    return beside_lines(lines, header_line(lines, literal.line).select("_file", date), df)
+def add_date_from_line(df: DataFrame, lines: DataFrame, literal: LiteralColumn, encoding: str = "UTF-8") -> DataFrame:
+    """Date cut out of a header line of the file each row came from (``_file``)."""
+    date = F.try_to_date(slice_text(F.col("_line"), literal.start, literal.end), literal.mask)
+    return with_header_line(df, literal.line, encoding).withColumn(literal.name, date).drop("_line")
 
 
 def cut_fixed_width(df: DataFrame, layout: list[tuple[str, int, int]], positional: tuple[str, ...] = ()) -> DataFrame:
