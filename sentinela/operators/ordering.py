@@ -1,10 +1,12 @@
-"""Ranks and exact percentiles that never sort a whole group in one task.
+"""Ranks, latest rows and exact percentiles that never sort a whole group in one task.
 
-Approximate quantiles cut a group's values into buckets, exact counts per bucket give each
-bucket's starting position, and only the inside of a bucket is ordered. The cut points need
-not be exact for the result to be: they only decide how evenly the work is spread. A value
-that is itself a cut point (as any very frequent value is) gets a bucket of its own, where
-all rows tie and therefore may be salted.
+Ranks come from one range exchange over group and falling value: its partitions are the pieces of a
+group, as many as the data needs, and rows that tie are spread over pieces by a hash. Ranks inside a piece and
+the sizes of the pieces before it make the rank in the group, exactly, whatever the pieces are.
+
+Percentiles cut a value range with approximate quantiles, count the parts exactly and order only the
+parts that hold a wanted position. A value that is itself a cut point (as any very frequent value
+is) is a part of its own.
 """
 
 from __future__ import annotations
@@ -17,19 +19,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sentinela.staging import stage
 
 BUCKETS = 128
-SALTS = 64
 LEAF_ROWS = 2_000_000
+# Types whose values an aggregation updates in place, so that hashing does without a sort.
+FIXED_WIDTH = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
-    """The row with the largest ``order`` per key, ties broken by the kept values.
+    """The row with the largest ``order`` per key, ties broken by the kept values; NULL is the smallest.
 
-    A maximum over a struct combines on the map side, so a key with very many rows is reduced
-    before it is shuffled.
+    The largest values of the last column for each value of those before it, then of the last but one,
+    and so on: hash aggregations of fixed-width buffers, which combine before they shuffle. Where a column
+    is text, whose largest value has no such buffer, one maximum over a struct does the same by sorting.
     """
-    rest = [c for c in keep if c not in order]
-    winner = F.max(F.struct(*order, *rest)).alias("_winner")
-    return df.groupBy(*keys).agg(winner).select(*keys, *[F.col(f"_winner.{c}").alias(c) for c in keep])
+    columns = [*order, *[c for c in keep if c not in order]]
+    types = dict(df.dtypes)
+    if any(types[c] not in FIXED_WIDTH for c in columns):
+        winner = df.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_winner"))
+        return winner.select(*keys, *[F.col(f"_winner.{c}").alias(c) for c in keep])
+    rows = df.select(*keys, *columns)
+    for i in reversed(range(len(columns))):
+        column, later = columns[i], columns[i + 1:]
+        # One row for each value of the columns up to this one; the later ones follow the largest.
+        most = F.max(column)
+        rows = rows.groupBy(*keys, *columns[:i]).agg(most.alias(column), *[
+            F.when(most.isNull(), F.max(F.when(F.col(column).isNull(), F.col(c)))).otherwise(F.max_by(c, column)).alias(c)
+            for c in later])
+    return rows.select(*keys, *keep)
 
 
 def _cut_points(value: Column, buckets: int) -> Column:
@@ -51,50 +66,65 @@ def _bucket_below(value: Column, cuts: Column, buckets: int) -> Column:
     ))
 
 
+def in_pieces(df: DataFrame, value: str, groups: list[str], salt_on: list[str], pieces: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by group and falling value, with the partition's number as ``_piece``.
+
+    How many pieces there are follows the data (AQE joins small neighbours) unless ``pieces`` says it. Equal
+    values are ordered by a hash of ``salt_on``, so that a value which many rows share goes over several pieces.
+    """
+    keys = [*[F.col(g).asc() for g in groups], F.col(value).desc_nulls_last(), F.xxhash64(*salt_on).asc()]
+    ranged = df.repartitionByRange(pieces, *keys) if pieces else df.repartitionByRange(*keys)
+    return ranged.withColumn("_piece", F.spark_partition_id())
+
+
 def rank_descending(
     df: DataFrame,
     value: str,
     groups: list[str],
     ranks: dict[str, list[str]],
     salt_on: list[str],
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``RANK() OVER (PARTITION BY groups [+ more] ORDER BY value DESC NULLS LAST)`` columns.
 
-    ``ranks`` maps each output column to the columns that partition it beyond ``groups``; one
-    set of cut points per group serves them all. ``df`` should be a staged table: it is read three
-    times. Cut points and bucket counts are staged, so that Spark knows their true size.
+    ``ranks`` maps each output column to the columns that partition it beyond ``groups``; one range
+    exchange serves them all, in ``buckets`` pieces if given. Rows with their ranks inside a piece are staged
+    once; the sizes of the pieces, one small row each, are counted from there.
     """
-    falling = F.col(value).desc_nulls_last()
-    cuts = stage(df.groupBy(*groups).agg(_cut_points(F.col(value), buckets).alias("_cuts")), "cuts")
-    keyed = df.join(cuts.withColumnsRenamed({g: f"_{g}" for g in groups}),
-                    _renamed_match(groups), "left").drop(*[f"_{g}" for g in groups])
-    last = F.lit(2 * buckets + 1)
-    bucketed = keyed.withColumn("_bucket", F.coalesce(_bucket_below(F.col(value), F.col("_cuts"), buckets), last)).drop("_cuts")
-
-    extra = sorted({c for more in ranks.values() for c in more})
-    counts = stage(bucketed.groupBy(*groups, *extra, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "bucket-counts")
-
-    # Rows of a tie bucket all share one rank, so they need not meet in one task.
-    ties = (F.col("_bucket") % 2 == 1)
-    salted = bucketed.withColumn(
-        "_salt", F.when(ties, F.pmod(F.xxhash64(*salt_on), F.lit(SALTS))).otherwise(F.lit(0)))
+    local = in_pieces(df, value, groups, salt_on, buckets)
+    for output, more in ranks.items():
+        inside = Window.partitionBy("_piece", *groups, *more).orderBy(F.col(value).desc_nulls_last())
+        local = local.withColumn(output, F.rank().over(inside))
+    local = stage(local, "ranks-in-pieces")
     for output, more in ranks.items():
         keys = [*groups, *more]
-        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        starts = (
-            counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
-            .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            .select(*[F.col(k).alias(f"_{k}") for k in [*keys, "_bucket"]], "_start")
-        )
-        inside = Window.partitionBy(*keys, "_bucket", "_salt").orderBy(falling)
-        salted = (
-            salted.withColumn(output, F.rank().over(inside))
-            .join(starts, _renamed_match([*keys, "_bucket"]), "left")
-            .withColumn(output, (F.col(output) + F.col("_start")).cast("bigint"))
-            .drop("_start", *[f"_{k}" for k in [*keys, "_bucket"]])
+        before = stage(_before_pieces(local, value, keys, output), "before-pieces")
+        tied = F.when(F.col(value).eqNullSafe(F.col("_first")), F.col("_tied")).otherwise(0)
+        local = (
+            local.join(before.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("_piece", "__piece"),
+                       _renamed_match([*keys, "_piece"]), "left")
+            .withColumn(output, (F.col(output) + F.col("_rows") - tied).cast("bigint"))
+            .drop("_first", "_rows", "_tied", *[f"_{k}" for k in [*keys, "_piece"]])
         )
-    return salted.drop("_bucket", "_salt")
+    return local.drop("_piece")
+
+
+def _before_pieces(local: DataFrame, value: str, keys: list[str], rank: str) -> DataFrame:
+    """For each piece of a group the rows in pieces before it, and how many of these tie with its first value.
+
+    Of a piece, only the first value can occur in earlier ones, and only as their last value.
+    """
+    sizes = local.groupBy(*keys, "_piece").agg(
+        F.count("*").alias("n"), F.max(value).alias("_first"), F.max(rank).alias("at_last"),
+        F.when(F.count(value) == F.count("*"), F.min(value)).alias("last"),
+    ).withColumn("ties", F.col("n") - F.col("at_last") + 1)
+    so_far = Window.partitionBy(*keys, "last").orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.partitionBy(*keys).orderBy("_piece")
+    sizes = sizes.withColumn("_last", F.struct("last", F.sum("ties").over(so_far).alias("ties")))
+    sizes = sizes.withColumn("_before", F.lag("_last").over(in_order)).withColumn(
+        "_rows", F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = F.col("_before").isNotNull() & F.col("_before.last").eqNullSafe(F.col("_first"))
+    return sizes.select(*keys, "_piece", "_first", "_rows", F.when(same, F.col("_before.ties")).otherwise(0).alias("_tied"))
 
 
 def _renamed_match(names: list[str]) -> Column:

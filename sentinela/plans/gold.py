@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sentinela.functions.labels import age_band, alert_name, disease_name, epidemic_flag, sex_or_unknown
 from sentinela.functions.numeric import safe_rate
 from sentinela.operators.ordering import latest_per_key, rank_descending
-from sentinela.staging import stage
 
 NAMES = ["nm_municipio", "nm_microrregiao", "nm_mesorregiao"]
 BY_PLACE = ["cd_geocode", "ds_doenca", "nr_ano_epi"]
@@ -89,10 +88,9 @@ def annual_ranking(alerts: DataFrame, municipalities: DataFrame, population: Dat
     """Annual burden with incidence and its rank within the state and within the mesoregion.
 
     Ties share a rank, an unknown incidence ranks last. A year and disease hold every
-    municipality, so the ranks are computed in buckets instead of one window per year.
+    municipality, so the ranks are computed in pieces instead of one window per year.
     """
-    burden = stage(with_incidence(annual_burden(alerts, municipalities, population)).withColumn("_rate", _incidence()),
-                   "annual-burden")
+    burden = with_incidence(annual_burden(alerts, municipalities, population)).withColumn("_rate", _incidence())
     ranked = rank_descending(
         burden, "_rate", ["nr_ano_epi", "ds_doenca"],
         {"nr_rank_estado": [], "nr_rank_mesorregiao": ["nm_mesorregiao"]}, salt_on=["cd_geocode"])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from sentinela.operators.filters import at_latest
-from sentinela.operators.ordering import exact_percentiles, latest_per_key, rank_descending
+from sentinela.operators.ordering import exact_percentiles, in_pieces, latest_per_key, rank_descending
 from sentinela.staging import stage
 from tests.conftest import rows
 
@@ -66,3 +66,31 @@ def test_at_latest_scope(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 5)], "d string, w int")
     assert rows(at_latest(df, "w")) == [("b", 5)]
     assert rows(at_latest(df, "w", F.col("d") == "a")) == [("a", 3)]
+
+
+def test_latest_per_key_of_many_columns_is_the_struct_maximum(spark):
+    rng = random.Random(4)
+    data = [(rng.randint(0, 40), *[rng.choice([None, 0, 1, 2]) for _ in range(3)], rng.choice([None, 0.5, float("nan")]))
+            for _ in range(600)]
+    df = spark.createDataFrame(data, "k int, a int, b bigint, c int, d double")
+    got = latest_per_key(df, ["k"], ["a", "b"], ["d", "c", "a"])
+    want = df.groupBy("k").agg(F.max(F.struct("a", "b", "d", "c")).alias("w")).select("k", "w.d", "w.c", "w.a")
+    assert got.columns == want.columns and list(map(str, rows(got))) == list(map(str, rows(want)))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    named = df.withColumn("t", F.col("c").cast("string"))
+    assert rows(latest_per_key(named, ["k"], ["a"], ["t"])) == rows(
+        named.groupBy("k").agg(F.max(F.struct("a", "t")).alias("w")).select("k", "w.t"))
+
+
+def test_pieces_follow_the_data_and_ties_are_split(spark):
+    # One group of 100 times the others, a third of its rows at one value.
+    data = [(i, "big", "x", 5.0 if i % 3 == 0 else float(i)) for i in range(40_000)]
+    data += [(40_000 + i, f"g{i % 20}", "x", float(i % 7)) for i in range(8_000)]
+    df = stage(spark.createDataFrame(data, "id int, g string, h string, v double"), "t")
+    sizes = [r["count"] for r in in_pieces(df, "v", ["g"], ["id"], 24).groupBy("_piece").count().collect()]
+    assert len(sizes) == 24 and max(sizes) < 2 * 48_000 / 24
+    tied = in_pieces(df, "v", ["g"], ["id"], 24).filter("g = 'big' AND v = 5.0").select("_piece").distinct().count()
+    assert tied > 5
+    got = rank_descending(df, "v", ["g"], {"r": []}, salt_on=["id"], buckets=24)
+    window = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
+    assert rows(got, "id", "r") == rows(df.withColumn("r", F.rank().over(window).cast("bigint")), "id", "r")
