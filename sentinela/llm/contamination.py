@@ -2,42 +2,79 @@
 
 An item of n characters may be found with up to ``n // PIECE`` edits. It is cut into one piece more
 than that: however the edits fall, one piece stays whole. An automaton of all pieces scans each text
-once; around every hit, Myers' bit-parallel distance decides whether the item is there.
-
-Texts and items are compared in lower case with runs of white space as one blank. Items are taken in
-blocks of about ``BLOCK_CHARS`` characters, each scanned in a pass of its own, so what is sent to the
-tasks is bounded whatever the benchmark's size.
-
-Defined cases: null and blank items match nothing; an item shorter than ``SHORTEST`` matches only
-texts that consist of it, as it would be found everywhere; null texts match nothing. Each text and
-item give at most one row, with the least distance of the places found. Repeated rows give repeated
-results; items of one id count as one item.
+once; around every hit, Myers' bit-parallel distance decides whether the item is there. Pieces need
+not cover the item, so each item is cut where its pieces are rare among all items' texts: an opening that
+thousands of questions share costs no distance at each of its occurrences.
+
+Texts and items are compared in lower case with runs of white space as one blank. An item without an
+edit to spend must stand between word borders: "art" is not found in "part". Items are taken in blocks of
+about ``BLOCK_CHARS`` characters, each scanned in a pass of its own whose result is written before
+the next block is fetched, so the driver and the tasks hold one block whatever the benchmark's size.
+
+Defined cases: null and blank items match nothing; short items are searched like all others; null texts
+match nothing. Each text and item give at most one row, with the least distance of the places found.
+Repeated rows give repeated results; items of one id count as one item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentinela.llm.tables import text_or_empty
+from sentinela.staging import stage
 
-PIECE, SHORTEST, BLOCK_CHARS = 16, 32, 2_000_000
+PIECE, BLOCK_CHARS = 16, 2_000_000
+# Shares of an item that may stay before its first piece or after its last.
+MARGINS = ((0.0, 0.0), (0.125, 0.0), (0.25, 0.0), (0.0, 0.125), (0.0, 0.25), (0.125, 0.125))
 
 
 def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def pieces(item: str) -> list[tuple[int, str]]:
+def pieces(item: str, margins: tuple[float, float] = MARGINS[0]) -> list[tuple[int, str]]:
     """Place and text of the pieces of which one must survive the error budget."""
     n = len(item) // PIECE + 1
-    cuts = [len(item) * i // n for i in range(n + 1)]
+    first = int(len(item) * margins[0])
+    size = len(item) - first - int(len(item) * margins[1])
+    cuts = [first + size * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _automaton(words: dict[str, object]) -> ahocorasick.Automaton | None:
+    if not words:
+        return None
+    out = ahocorasick.Automaton()
+    for word, value in words.items():
+        out.add_word(word, (word, value))
+    out.make_automaton()
+    return out
+
+
+def rarest_pieces(texts: list[str]) -> list[list[tuple[int, str]]]:
+    """For each item the cut whose pieces occur least often in all items."""
+    choices = [[pieces(t, m) for m in MARGINS] if len(t) >= PIECE else [pieces(t)] for t in texts]
+    counts = dict.fromkeys((piece for cuts in choices for cut in cuts for _, piece in cut), 0)
+    automaton = _automaton(counts)
+    for text in texts:
+        for _, (piece, _) in automaton.iter(text):
+            counts[piece] += 1
+    return [min(cuts, key=lambda cut: sum(counts[piece] for _, piece in cut)) for cuts in choices]
+
+
+def at_borders(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on across either end of a part of a text."""
+    def inside(i: int) -> bool:
+        return 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+
+    return not inside(start) and not inside(end)
+
+
 class Pattern:
     """An item, its error budget and its character masks."""
 
@@ -72,43 +109,35 @@ class Matcher:
     """All items of a block."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.patterns: list[Pattern] = []
-        self.whole: dict[str, list[int]] = {}
-        self.automaton = None
+        texts = [(item_id, plain(raw or "")) for item_id, raw in items]
+        self.patterns = [Pattern(item_id, text) for item_id, text in texts if text]
         found: dict[str, list[tuple[int, int]]] = {}
-        for item_id, raw in items:
-            text = plain(raw or "")
-            if len(text) < SHORTEST:
-                if text:
-                    self.whole.setdefault(text, []).append(item_id)
-                continue
-            for start, piece in pieces(text):
-                found.setdefault(piece, []).append((len(self.patterns), start))
-            self.patterns.append(Pattern(item_id, text))
-        if found:
-            self.automaton = ahocorasick.Automaton()
-            for piece, places in found.items():
-                self.automaton.add_word(piece, (len(piece), places))
-            self.automaton.make_automaton()
+        for number, cut in enumerate(rarest_pieces([p.text for p in self.patterns])):
+            for start, piece in cut:
+                found.setdefault(piece, []).append((number, start))
+        self.automaton = _automaton(found)
 
     def find(self, raw: str) -> dict[int, int]:
         """Least distance of each item found in a text."""
         text = plain(raw)
-        best = {i: 0 for i in self.whole.get(text, ())}
+        best: dict[int, int] = {}
         if self.automaton is None:
             return best
         tried: set[tuple[int, int]] = set()
-        for end, (size, places) in self.automaton.iter(text):
+        for end, (piece, places) in self.automaton.iter(text):
             for number, offset in places:
                 pattern = self.patterns[number]
                 if best.get(pattern.item_id) == 0:
                     continue
-                start = end + 1 - size - offset
+                start = end + 1 - len(piece) - offset
                 if (number, start) in tried:
                     continue
                 tried.add((number, start))
                 if start >= 0 and text.startswith(pattern.text, start):
-                    best[pattern.item_id] = 0
+                    if pattern.budget or at_borders(text, start, start + len(pattern.text)):
+                        best[pattern.item_id] = 0
+                    continue
+                if not pattern.budget:
                     continue
                 window = text[max(0, start - pattern.budget):start + len(pattern.text) + pattern.budget]
                 distance = pattern.distance(window)
@@ -130,10 +159,8 @@ def matches(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """``doc_id``, ``item_id`` and ``distance`` of every item found in a text. No shuffle."""
     schema = f"doc_id {df.schema[doc_id].dataType.simpleString()}, item_id long, distance int"
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
-    found = df.sparkSession.createDataFrame([], schema)
-    for block in blocks(items):
-        found = found.union(docs.mapInPandas(_scan(block), schema))
-    return found
+    found = [stage(docs.mapInPandas(_scan(block), schema), "contamination") for block in blocks(items)]
+    return reduce(DataFrame.union, found) if found else df.sparkSession.createDataFrame([], schema)
 
 
 def _scan(block: list[tuple[int, str]]):
@@ -159,7 +186,14 @@ def _is_clean(text: Column, block: list[tuple[int, str]]) -> Column:
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``df`` in which no item is found; its columns stay as they are. No shuffle."""
+    """Rows of ``df`` in which no item is found; its columns stay as they are. No shuffle.
+
+    A benchmark of several blocks is gone through block by block, and what a block left is written
+    before the next one is fetched.
+    """
+    before = None
     for block in blocks(items):
-        df = df.where(_is_clean(text_or_empty(text), block))
-    return df
+        if before is not None:
+            df = stage(df.where(_is_clean(text_or_empty(text), before)), "without-block")
+        before = block
+    return df if before is None else df.where(_is_clean(text_or_empty(text), before))

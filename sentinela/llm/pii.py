@@ -14,6 +14,9 @@ Therefore
 
 ``collisions`` checks both on a corpus; it is a report, since the permutation leaves nothing to mend.
 
+A letter moves within its script and case; one of no case within its block of 64 code points; marks on
+letters stay. So do names that are not found: without a title, or with an initial for the first word.
+
 Defined cases: a null text stays null; a text without entities stays as it is, character for
 character; repeated rows give equal results; an empty table gives an empty result. A surrogate may
 by chance be another entity of the corpus; that one is moved as well, so the two stay apart.
@@ -21,7 +24,9 @@ by chance be another entity of the corpus; that one is moved as well, so the two
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,8 +40,8 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña"),
     "n": ("Dr", "Prof"),
 }
-# Endings by gender, in Latin, Cyrillic and Greek letters.
-ENDINGS = {"m": ("o", "\u043e", "\u03bf"), "f": ("a", "\u0430", "\u03b1"), "n": ("e", "\u0435", "\u03b5")}
+# Endings of given names by script, for the genders m, f and n. Other scripts get none.
+ENDINGS = {"Latin": "oae", "Cyrillic": "оае", "Greek": "οαε", "Armenian": "ոաե", "Georgian": "ოაე"}
 
 
 def _title(names: tuple[str, ...]) -> str:
@@ -46,10 +51,15 @@ def _title(names: tuple[str, ...]) -> str:
 _ANY_TITLE = _title(sum(TITLES.values(), ()))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ASSIGNED = r"(?i:(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)"
-_NAME = r"\p{Lu}[\p{L}'’-]++"
+_NAME = r"[\p{Lu}\p{Lt}][\p{L}\p{M}'’-]++"
+# Right after a title a name may be in letters without case; of such names that one word is taken.
+_INITIAL = r"[\p{Lu}\p{Lt}\p{Lo}\p{IsGeorgian}]"
+_FIRST = rf"(?:{_NAME}|(?=[\p{{Lo}}\p{{IsGeorgian}}])[\p{{L}}\p{{M}}'’-]++)"
 # Kinds in the order in which they are tried at each place of a text.
 KINDS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{M}\p{N}_.%+-]{1,64}+@(?:[\p{L}\p{M}\p{N}-]{1,63}+\.)+\p{L}[\p{L}\p{M}]{1,23}",
+    "hex_ip": r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,38}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+              r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:.])",
     "hex_secret": rf"{_ASSIGNED}[0-9A-Fa-f]{{8,}}+(?![^\s\"'.,;])",
     "secret": rf"{_ASSIGNED}(?=[^\s\"'\d]*+\d)[^\s\"']{{4,}}+",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
@@ -60,22 +70,47 @@ KINDS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?=\+?(?:[ ().-]{0,2}\d){9,15}(?!\w))\+?(?:\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])"
              r"\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)",
-    **{f"given_{g}": rf"{_title(names)}{_NAME} (?={_NAME})" for g, names in TITLES.items()},
+    **{f"given_{g}": rf"{_title(names)}{_FIRST} (?={_NAME})" for g, names in TITLES.items()},
     # A name takes the blank before a further one; no other match ends with a blank, so the next one goes on from there.
-    "family": rf"(?:{_ANY_TITLE}|\G(?<= )){_NAME}(?: (?={_NAME}))?",
+    "family": rf"(?:{_ANY_TITLE}{_FIRST}|\G(?<= ){_NAME})(?: (?={_NAME}))?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 # Ranges of card numbers by issuer.
 ISSUERS = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|35|6[0-5])\d{14}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11})$"
 # A text without any of these holds no entity.
-HINT = rf"[0-9@]|{_ANY_TITLE}\p{{Lu}}"
+HINT = rf"[0-9@]|{_ANY_TITLE}{_INITIAL}"
 
 # An octet of an address is moved as one character of this name.
 DIGITS, OCTET = "0123456789", "octet"
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450)))
 ACCENTED = "".join(chr(c) for c in range(0xE0, 0xFF) if c != 0xF7)
 GREEK = "".join(chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2)
-SCRIPTS = tuple(a for s in (LATIN, ACCENTED, CYRILLIC, GREEK) for a in (s, s.upper()))
+COMMON = tuple(a for s in (LATIN, ACCENTED, CYRILLIC, GREEK) for a in (s, s.upper()))
+# A letter of no alphabet (those without case) is moved within its block of so many code points.
+BLOCK = 64
+
+
+@lru_cache(maxsize=1)
+def further_alphabets() -> tuple[str, ...]:
+    """Alphabets of all other letters with case: those of a script, in blocks of 128 code points, by case.
+
+    Capitals and small letters of a block stand in the same order, so that a name in capitals moves like the same name in
+    small letters. Letters without a partner have alphabets of their own.
+    """
+    found: dict[tuple, list[str]] = {}
+    taken = set("".join(COMMON))
+    letters = [c for c in map(chr, range(0x110000)) if c not in taken and unicodedata.category(c) in ("Lu", "Ll")]
+    for c in letters:
+        script, low = unicodedata.name(c, "?").split(" ")[0], c.lower()
+        if c != low and len(low) == 1 and low.upper() == c and low not in taken:
+            found.setdefault((script, ord(c) >> 7, "capital"), []).append(c)
+            found.setdefault((script, ord(c) >> 7, "small"), []).append(low)
+    paired = {c for group in found.values() for c in group}
+    for c in letters:
+        if c not in paired:
+            script = unicodedata.name(c, "?").split(" ")[0]
+            found.setdefault((script, ord(c) >> 7, unicodedata.category(c)), []).append(c)
+    return tuple("".join(group) for group in found.values())
 
 
 def _kind(m: Column) -> Column:
@@ -83,7 +118,7 @@ def _kind(m: Column) -> Column:
     found = F.lit("family")
     for kind, pattern in reversed(KINDS.items()):
         if kind.startswith("given"):
-            pattern = _title(TITLES[kind[-1]]) + _NAME + " "
+            pattern = _title(TITLES[kind[-1]]) + _FIRST + " "
         if kind == "card":
             # Other numbers of that length are no entities: a wrong check digit, or no issuer's range.
             digits = F.regexp_replace(m, r"\D", "")
@@ -103,22 +138,35 @@ def _head(m: Column, kind: Column) -> Column:
     return (
         F.when(kind.endswith("secret"), first(r"^([\w-]+\s*[=:]\s*[\"']?)")).when(kind == "access_key", 4).when(kind == "iban", 2)
         .when(kind == "card", 1).when(kind == "phone", first(r"^(.*?)(?:\D*\d){10}\D*$"))
-        .when(kind.like("given%") | (kind == "family"), first(rf"^({_ANY_TITLE})\p{{Lu}}")).otherwise(0)
+        .when(kind.like("given%") | (kind == "family"), first(rf"^({_ANY_TITLE}){_INITIAL}")).otherwise(0)
     )
 
 
 def _tail(m: Column, kind: Column) -> Column:
     """Length of the part at the end that stays: a top-level domain, a check digit."""
-    return F.when(kind == "email", F.length(F.regexp_extract(m, r"(\.[A-Za-z]+)$", 1))).when(kind == "card", 1).otherwise(0)
+    return F.when(kind == "email", F.length(F.regexp_extract(m, r"(\.[\p{L}\p{M}]+)$", 1))).when(kind == "card", 1).otherwise(0)
 
 
 def _alphabet(c: Column, kind: Column) -> Column:
-    """The characters among which this one is moved; none if it stays."""
+    """The characters among which this one is moved; none if it stays, as all but digits and letters do."""
     found = F.when(kind == "number", "").when(kind == "ip", F.when(c == ".", "").otherwise(OCTET)).when(F.contains(F.lit(DIGITS), c), DIGITS)
-    found = found.when(kind.startswith("hex"), F.when(F.contains(F.lit("abcdef"), c), "abcdef").otherwise("ABCDEF"))
-    for letters in SCRIPTS:
+    found = found.when(kind.startswith("hex"), F.when(F.contains(F.lit("abcdef"), c), "abcdef").when(
+        F.contains(F.lit("ABCDEF"), c), "ABCDEF").otherwise(""))
+    for letters in COMMON:
         found = found.when(F.contains(F.lit(letters), c), letters)
-    return found.otherwise("")
+    further = F.lit(" ".join(further_alphabets()))
+    # The letters before and after this one, up to the blanks around its alphabet.
+    before = F.substring_index(F.call_function("substring_index", further, c, F.lit(1)), " ", -1)
+    after = F.substring_index(F.call_function("substring_index", further, c, F.lit(-1)), " ", 1)
+    found = found.when(F.contains(further, c) & (c != " "), F.concat(before, c, after))
+    return found.when(F.regexp_like(c, F.lit(r"\p{L}")), _block(c)).otherwise("")
+
+
+def _block(c: Column) -> Column:
+    """The code points of the aligned block that a character stands in."""
+    start = F.ascii(c) - F.ascii(c) % BLOCK
+    return F.array_join(F.transform(F.sequence(start, start + BLOCK - 1), lambda x: F.decode(
+        F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")), "")
 
 
 def _map(array: Column, change: Callable[[Column], dict[str, Column]], *kept: str) -> Column:
@@ -201,9 +249,10 @@ def _written(e: Column) -> Column:
 def _finished(e: Column) -> Column:
     check = _check_digit(e["text"]).cast("string")
     out = F.when(e["kind"] == "card", F.concat(F.substr(e["text"], F.lit(1), F.length(e["text"]) - 1), check))
-    for gender, (latin, cyrillic, greek) in ENDINGS.items():
-        ending = F.when(F.regexp_like(e["text"], F.lit(r"\p{IsCyrillic}")), cyrillic).when(
-            F.regexp_like(e["text"], F.lit(r"\p{IsGreek}")), greek).otherwise(latin)
+    for i, gender in enumerate("mfn"):
+        ending = F.lit("")
+        for script, endings in reversed(ENDINGS.items()):
+            ending = F.when(F.regexp_like(e["text"], F.lit(rf"\p{{Is{script}}}[^\p{{L}}]*$")), endings[i]).otherwise(ending)
         out = out.when(e["kind"] == f"given_{gender}", F.concat(F.rtrim(e["text"]), ending, F.lit(" ")))
     return out.otherwise(e["text"])
 

@@ -100,3 +100,63 @@ def test_every_word_of_a_name_goes(spark):
     assert re.fullmatch(r"Mr\. \w+o \w+", new[1]) and "Smith" not in new[1]
     assert re.fullmatch(r"Dr\. \w+ left", new[2]) and "bbbb" not in new[2]
     assert new[3].count(" Smith") == 3
+
+
+SCRIPTS = {
+    "Dr. Արամ Պետրոսյան": r"Dr\. [Ա-և]+ե [Ա-և]+",
+    "Mr. Łukasz Żółć": r"Mr\. [A-Za-zĀ-ſ]+o [Ā-ſà-ÿ]+",
+    "Mrs. Jiřina Dvořáková": r"Mrs\. [A-Za-zĀ-ſà-ÿ]+a [A-Za-zĀ-ſà-ÿ]+",
+    "Mr. Дмитрий Ёлкин": r"Mr\. [Ѐ-ѿ]+о [Ѐ-ѿ]+",
+    "Mrs. Ελένη Παπαδοπούλου": r"Mrs\. [Ͱ-Ͽ]+α [Ͱ-Ͽ]+",
+    "Prof. გიორგი": r"Prof\. [Ⴀ-ჿ]+",
+    "Dr. 김철수": r"Dr\. [가-힣]+",
+    "Dr. Жўра Ҷонов": r"Dr\. [Ѐ-ӿ]+е [Ѐ-ӿ]+",
+}
+
+
+def test_names_of_any_script_move_whole(spark):
+    new = replaced(spark, list(SCRIPTS))
+    for old, now in zip(SCRIPTS, new):
+        assert re.fullmatch(SCRIPTS[old], now), (old, now)
+        assert not set(old.split()[1:]) & set(now.split()[1:])
+    # Capitals keep their place in the alphabet, so a name in capitals moves like the name itself.
+    a, b = replaced(spark, ["Mr. Ŵŷňž", "Mr. ŴŶŇŽ"])
+    assert a.split()[1].upper() == b.split()[1]
+    assert len(set(replaced(spark, [f"Dr. Ա{c}ամ" for c in "աբգդեզէըթժիլխծկհձղճմյնշոչպջռս"]))) == 29
+
+
+def test_every_letter_has_an_alphabet_of_its_case(spark):
+    letters = [c for c in map(chr, range(0x24F)) if c.isalpha()] + list("ŁłЁёՊպჲ한字ẠạΆά𐐀𐐨")
+    df = spark.createDataFrame(list(enumerate(letters)), "i int, c string")
+    found = df.select("c", pii._alphabet(F.col("c"), F.lit("family")).alias("a")).collect()
+    assert all(r.c in r.a for r in found)
+    assert all(r.a == r.a.upper() for r in found if r.c.isupper() and r.c.lower() != r.c)
+    assert all(len(set(r.a)) == len(r.a) for r in found)
+
+
+def test_addresses_of_other_letters_and_sixteen_bytes(spark):
+    texts = ["to josé@bücher.de now", "at fe80::1 or 2001:db8:0:0:0:0:0:17", "at 12:30:45, std::map, a::b"]
+    new = replaced(spark, texts)
+    assert re.fullmatch(r"to [^\W\d_]{4}@[^\W\d_]{6}\.de now", new[0]) and new[0] != texts[0]
+    assert re.fullmatch(r"at [a-f]{2}\d{2}::\d or \d{4}:[a-f]{2}\d(:\d){5}:\d{2}", new[1]) and new[1] != texts[1]
+    assert new[2] == texts[2]
+
+
+def test_python_functions_over_the_result_are_planned(spark):
+    """Also where they drop the text, so that nothing but the function reads it."""
+    import public_tokenizers
+
+    from sentinela.llm import bpe, language, simhash
+
+    df = spark.createDataFrame([(1, "mail a@b.org and Dr. Ana Lopez here"), (2, "the other text"), (3, None)], "doc_id long, text string")
+    new = pii.replace(df, "k")
+    plain = spark.createDataFrame(new.collect(), df.schema)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    filters = language.fit(df.withColumn("lang", F.lit("en")))
+    for apply in (
+        lambda x: bpe.encode(x, path, ("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256"),
+        lambda x: language.identify(x, filters).select("doc_id", "lang_pred", "score"),
+        lambda x: simhash.near_duplicates(x).select("doc_id", "fp", "component_id"),
+        lambda x: x.select("doc_id", F.udf(lambda t: len(t or ""), "int")("text").alias("n")),
+    ):
+        assert rows(apply(new)) == rows(apply(plain))
