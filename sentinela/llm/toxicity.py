@@ -6,9 +6,12 @@ pair of terms the product of their latent factors, which is how an insult togeth
 a group weighs more than both alone. All pairs of a text are summed in time linear in its terms.
 
 The machine is fitted on a bounded sample of labelled rows (``SAMPLE`` in expectation, half of each
-label, chosen by a hash of the id). Terms take part if their link with the label in the sample is beyond
-chance, which keeps long texts from being judged by the sum of many meaningless weights. Sampled
-rows reach the driver as their hashed terms.
+label, chosen by a hash of the id; one row an id, so never more rows than ids). Terms take part if their own
+link with the label in the sample is beyond chance, or that of a pair they belong to: the covariance of the label
+with the product of both terms' deviations, which is there even where neither term tells anything alone. That keeps
+long texts from being judged by the sum of many meaningless weights. Pairs are tried among the ``PAIR_TERMS``
+terms that vary most. Factors start along the leading directions of the pairs found. Sampled rows reach the driver as
+their hashed terms.
 
 Defined cases: a null text counts as empty; a text without known terms gets the score of the bias.
 Without rows of both labels every score is the share of label 1 (0 if there are none). Equal texts
@@ -30,6 +33,7 @@ from sentinela.llm.tables import slices, text_or_empty
 
 BUCKET_BITS, STEM = 20, 5
 SAMPLE, FACTORS, LEAST_Z, LEAST_ROWS = 12_000, 4, 5.0, 4
+PAIR_TERMS, PAIR_Z = 2_000, 8.0
 EPOCHS, BATCH, RATE, DECAY, DROPOUT = 25, 256, 0.15, 1e-5, 0.1
 
 
@@ -75,6 +79,38 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def pair_links(owner: np.ndarray, flat: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms whose pairs tell the label, and for each two of them the link's size in standard errors, 0 if by chance."""
+    n = len(labels)
+    terms, place, rows = np.unique(flat, return_inverse=True, return_counts=True)
+    by_spread = np.argsort(-(rows * (n - rows)), kind="stable")
+    most = np.sort(by_spread[:PAIR_TERMS])
+    most = most[(rows[most] >= LEAST_ROWS) & (rows[most] < n)]
+    column = np.full(len(terms), -1)
+    column[most] = np.arange(len(most))
+    known = column[place] >= 0
+    x = np.zeros((n, len(most)), np.float32)
+    x[owner[known], column[place[known]]] = 1
+    x -= x.mean(axis=0)
+    error = (labels - labels.mean()).astype(np.float32)[:, None]
+    link = (x * error).T @ x
+    link /= np.sqrt((x * x * error * error).T @ (x * x)) + 1e-9
+    np.fill_diagonal(link, 0)
+    link[np.abs(link) < PAIR_Z] = 0
+    told = np.flatnonzero(np.abs(link).max(axis=1, initial=0))
+    return terms[most[told]], link[np.ix_(told, told)]
+
+
+def _directions(link: np.ndarray) -> np.ndarray:
+    """Factors whose products have the signs of the links; what they give a term with itself plays no part."""
+    value, vector = np.linalg.eigh(link.astype(np.float64))
+    value = np.maximum(value - value.min(), 0)
+    leading = np.argsort(-value)[:FACTORS]
+    out = np.zeros((len(link), FACTORS))
+    out[:, :len(leading)] = vector[:, leading] * np.sqrt(value[leading])
+    return out / (np.abs(out).max() + 1e-9)
+
+
 def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Fit by mini-batches with adaptive steps; ``rows`` hold the distinct buckets of each text."""
     n, positives = len(rows), float(labels.sum())
@@ -89,7 +125,9 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     toxic = np.bincount(flat, labels[owner], minlength=size)
     share = positives / n
     z = (toxic - with_term * share) / np.sqrt(np.maximum(with_term, 1) * share * (1 - share))
-    used = np.flatnonzero((with_term >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
+    alone = np.flatnonzero((with_term >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
+    paired, link = pair_links(owner, flat, labels)
+    used = np.union1d(alone, paired)
     slot = nothing
     slot[used] = np.arange(len(used))
     keep = slot[flat] >= 0
@@ -97,6 +135,8 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     bounds = np.searchsorted(owner, np.arange(n + 1))
     random = np.random.default_rng(5)
     machine = Machine(0.0, slot, np.zeros(len(used)), random.normal(0, 0.01, (len(used), FACTORS)))
+    if len(paired):
+        machine.factors[np.searchsorted(used, paired)] += 0.5 * _directions(link)
     past_w, past_v, past_b = np.full(len(used), 1e-6), np.full((len(used), FACTORS), 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = random.permutation(n)
@@ -137,7 +177,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: st
     dice = F.pmod(F.xxhash64(F.lit("sample"), F.col("__id")), F.lit(1_000_003)) / 1_000_003
     share = F.when(F.col("label") == 1, F.lit(most / 2 / n.get(1, 1))).otherwise(F.lit(most / 2 / n.get(0, 1)))
     chosen = F.broadcast(per_doc.where(dice < share))
-    return docs.join(chosen, docs[doc_id] == chosen["__id"]).select(text_or_empty().alias("text"), "label")
+    found = docs.join(chosen, docs[doc_id] == chosen["__id"]).select("__id", text_or_empty().alias("text"), "label")
+    # Documents that share an id could be any number; the one with the smallest text stands for them.
+    return found.groupBy("__id").agg(F.min(F.struct("text", "label")).alias("row")).select("row.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:

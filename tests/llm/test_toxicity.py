@@ -24,6 +24,11 @@ def texts_with_pairs(n, seed):
     return out
 
 
+def bags(texts):
+    owner, bucket = toxicity.distinct(*toxicity.terms(list(texts)))
+    return np.split(bucket, np.searchsorted(owner, np.arange(1, len(texts))))
+
+
 def test_learns_pairs_that_weights_alone_cannot():
     texts, labels = zip(*texts_with_pairs(1500, 1))
     owner, bucket = toxicity.distinct(*toxicity.terms(list(texts)))
@@ -32,6 +37,42 @@ def test_learns_pairs_that_weights_alone_cannot():
     assert ((machine.scores(list(tried)) >= 0.5) == np.array(right)).mean() > 0.97
 
 
+def test_learns_pairs_of_which_neither_term_tells_alone():
+    """Label 1 where insult and group occur together or not at all."""
+    def made(n, seed):
+        return zip(*[(t, int(("vermin" in t) == ("hobbits" in t))) for t, _ in texts_with_pairs(n, seed)])
+
+    texts, labels = made(3000, 11)
+    machine = toxicity.learn(bags(texts), np.array(labels, float))
+    assert 2 <= (machine.slot >= 0).sum() < 12
+    tried, right = made(600, 12)
+    assert ((machine.scores(list(tried)) >= 0.5) == np.array(right)).mean() > 0.95
+    # Labels by chance leave no pair.
+    chance = np.random.default_rng(3).integers(0, 2, len(texts)).astype(float)
+    assert (toxicity.learn(bags(texts), chance).slot >= 0).sum() == 0
+
+
+def test_a_text_is_scored_by_all_its_terms_and_pairs(spark):
+    """The machine's formula over sets of words, by a plain loop, for the texts of a table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    learnt = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    machine = toxicity.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), learnt)
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if len(r.text or "") < 3000}
+    for r in toxicity.score(docs, machine).collect():
+        if r.doc_id in texts:
+            owner, bucket = toxicity.terms([texts[r.doc_id]])
+            slots = sorted({machine.slot[b] for b in bucket.tolist()} - {-1})
+            raw = machine.bias + sum(machine.weights[i] for i in slots)
+            raw += sum(machine.factors[i] @ machine.factors[j] for i in slots for j in slots if i < j)
+            assert abs(r.score - 1 / (1 + np.exp(-np.clip(raw, -40, 40)))) < 1e-6
+
+
+def test_one_text_of_an_id_is_learnt(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    assert rows(toxicity.sample(docs, labels, "toxic", 100), "text", "label") == [("b", 0), ("text 0", 1)]
+
+
 def test_pairs_in_linear_time_are_all_pairs():
     random = np.random.default_rng(0)
     machine = toxicity.Machine(0.3, np.arange(6), random.normal(size=6), random.normal(size=(6, toxicity.FACTORS)))
