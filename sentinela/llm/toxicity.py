@@ -7,10 +7,10 @@ a group weighs more than both alone. All pairs of a text are summed in time line
 
 The machine is fitted on a bounded sample of labelled rows (``SAMPLE`` in expectation, half of each
 label, chosen by a hash of the id; one row an id, so never more rows than ids). Terms take part if their own
-link with the label in the sample is beyond chance, or that of a pair they belong to: the covariance of the label
-with the product of both terms' deviations, which is there even where neither term tells anything alone. That keeps
-long texts from being judged by the sum of many meaningless weights. Pairs are tried among the ``PAIR_TERMS``
-terms that vary most. Factors start along the leading directions of the pairs found. Sampled rows reach the driver as
+link with the label in the sample is beyond chance, or that of a pair they belong to with what a first machine
+leaves unexplained: the covariance with the product of both terms' deviations, which is there even where neither
+term tells anything alone. That keeps long texts from being judged by the sum of many meaningless weights. Pairs
+are tried among the ``PAIR_TERMS`` terms that vary most, and a second machine is fitted only if there are any. Its factors start along the leading directions of the pairs found. Sampled rows reach the driver as
 their hashed terms.
 
 Defined cases: a null text counts as empty; a text without known terms gets the score of the bias.
@@ -33,7 +33,7 @@ from sentinela.llm.tables import slices, text_or_empty
 
 BUCKET_BITS, STEM = 20, 5
 SAMPLE, FACTORS, LEAST_Z, LEAST_ROWS = 12_000, 4, 5.0, 4
-PAIR_TERMS, PAIR_Z = 2_000, 8.0
+PAIR_TERMS, PAIR_Z, LEAST_SHARE = 2_000, 8.0, 0.1
 EPOCHS, BATCH, RATE, DECAY, DROPOUT = 25, 256, 0.15, 1e-5, 0.1
 
 
@@ -79,8 +79,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def pair_links(owner: np.ndarray, flat: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms whose pairs tell the label, and for each two of them the link's size in standard errors, 0 if by chance."""
+def pair_links(owner: np.ndarray, flat: np.ndarray, error: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms whose pairs tell the error of a fit, and for each two of them the link's size in standard errors.
+
+    The size is 0 for links by chance and for such that are small beside the spread of the labels.
+    """
     n = len(labels)
     terms, place, rows = np.unique(flat, return_inverse=True, return_counts=True)
     by_spread = np.argsort(-(rows * (n - rows)), kind="stable")
@@ -92,11 +95,12 @@ def pair_links(owner: np.ndarray, flat: np.ndarray, labels: np.ndarray) -> tuple
     x = np.zeros((n, len(most)), np.float32)
     x[owner[known], column[place[known]]] = 1
     x -= x.mean(axis=0)
-    error = (labels - labels.mean()).astype(np.float32)[:, None]
+    error = error.astype(np.float32)[:, None]
     link = (x * error).T @ x
+    share = np.abs(link) / (np.sqrt(n * labels.var() * ((x * x).T @ (x * x))) + 1e-9)
     link /= np.sqrt((x * x * error * error).T @ (x * x)) + 1e-9
     np.fill_diagonal(link, 0)
-    link[np.abs(link) < PAIR_Z] = 0
+    link[(np.abs(link) < PAIR_Z) | (share < LEAST_SHARE)] = 0
     told = np.flatnonzero(np.abs(link).max(axis=1, initial=0))
     return terms[most[told]], link[np.ix_(told, told)]
 
@@ -126,16 +130,25 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     share = positives / n
     z = (toxic - with_term * share) / np.sqrt(np.maximum(with_term, 1) * share * (1 - share))
     alone = np.flatnonzero((with_term >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
-    paired, link = pair_links(owner, flat, labels)
-    used = np.union1d(alone, paired)
-    slot = nothing
+    machine = _fitted(flat, owner, labels, alone)
+    slots = machine.slot[flat]
+    left = labels - sigmoid(machine.raw(owner[slots >= 0], slots[slots >= 0], n))
+    paired, link = pair_links(owner, flat, left, labels)
+    return _fitted(flat, owner, labels, np.union1d(alone, paired), paired, link) if len(paired) else machine
+
+
+def _fitted(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, used: np.ndarray,
+            paired: np.ndarray | None = None, link: np.ndarray | None = None) -> Machine:
+    """A machine of the terms ``used``."""
+    n = len(labels)
+    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
     slot[used] = np.arange(len(used))
     keep = slot[flat] >= 0
     flat, owner = slot[flat[keep]], owner[keep]
     bounds = np.searchsorted(owner, np.arange(n + 1))
     random = np.random.default_rng(5)
     machine = Machine(0.0, slot, np.zeros(len(used)), random.normal(0, 0.01, (len(used), FACTORS)))
-    if len(paired):
+    if paired is not None:
         machine.factors[np.searchsorted(used, paired)] += 0.5 * _directions(link)
     past_w, past_v, past_b = np.full(len(used), 1e-6), np.full((len(used), FACTORS), 1e-6), 1e-6
     for _ in range(EPOCHS):
