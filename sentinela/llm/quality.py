@@ -1,12 +1,13 @@
 """Document quality by attention-based multiple-instance learning.
 
 Only documents are labelled, but quality shows in passages. Every passage (``PASSAGE`` words, the
-last one shorter) is encoded by figures of its characters and words and a learned layer; a gated
-attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``, weighs the passages of a document; and the
+last one shorter) is encoded by a learned layer over figures of its characters and the mean of learned
+vectors of its words, which are hashed in lower case; a gated attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``, weighs the passages of a document; and the
 weighted sum of their encodings is scored. All parts are learned together from document labels.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` in expectation, half of each
-label), which reach the driver as the figures of all their passages; scoring uses all passages, too.
+label, one text an id), which reach the driver as the figures and word numbers of all their passages; scoring uses
+all passages, too. Words that fewer than ``LEAST_BAGS`` sampled documents hold keep a vector of zeros.
 
 Defined cases: a null text counts as empty; a text without words is one passage of zeros. Without
 rows of both labels every score is the share of label 1 (0 if there are none). Equal texts get
@@ -28,8 +29,14 @@ from sentinela.llm.tables import slices, text_or_empty
 from sentinela.llm.toxicity import sample, sigmoid
 
 PASSAGE, SAMPLE = 64, 6_000
-HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 128, 0.01
-FIGURES = 16
+HIDDEN, GATE, EPOCHS, BATCH, RATE, WORD_DECAY = 24, 12, 40, 128, 0.01, 1e-3
+FIGURES, WORD_BITS, LEAST_BAGS = 16, 13, 20
+
+
+@lru_cache(maxsize=1)
+def _lower() -> np.ndarray:
+    """The small letter of each code point that has one of its own."""
+    return np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x110000))), np.uint32, 0x110000)
 
 
 @lru_cache(maxsize=1)
@@ -37,8 +44,33 @@ def _upper() -> np.ndarray:
     return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Figures of each passage, and the first passage of each text (one entry more at the end)."""
+@dataclass
+class Bags:
+    """Passages of texts: their figures, the hashed words in order, and how many words each passage has.
+
+    ``first`` has the first passage of each text, and the number of passages at the end.
+    """
+
+    figures: np.ndarray
+    words: np.ndarray
+    held: np.ndarray
+    first: np.ndarray
+
+    def of(self, text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Figures, words and word counts of one text's passages."""
+        a, b = self.first[text], self.first[text + 1]
+        start = int(self.held[:a].sum()) if text else 0
+        return self.figures[a:b], self.words[start:start + int(self.held[a:b].sum())], self.held[a:b]
+
+
+def gathered(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Bags:
+    """Bags of several texts from the passages of each."""
+    return Bags(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
+                np.concatenate([p[2] for p in parts]), np.r_[0, np.cumsum([len(p[0]) for p in parts])])
+
+
+def passages(texts: list[str]) -> Bags:
+    """All passages of some texts."""
     codes, starts = code_points(texts, gap=1)
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0)
     begin, end = spans(~blank)
@@ -48,7 +80,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.r_[0, np.cumsum(per_text)]
     figures = np.zeros((first[-1], FIGURES), np.float32)
     if not len(begin):
-        return figures, first
+        return Bags(figures, np.empty(0, np.uint16), np.zeros(len(figures), np.int64), first)
     place = np.arange(len(begin)) - (np.cumsum(words) - words)[owner]
     passage = first[owner] + place // PASSAGE
     held = np.bincount(passage, minlength=first[-1])
@@ -89,7 +121,8 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         per_word(length <= 3), np.log1p(held) / 4,
     ]
     figures[:] = np.stack(columns, axis=1)
-    return figures, first
+    small = Rolling(_lower()[codes]).of(begin, end) >> np.uint64(64 - WORD_BITS)
+    return Bags(figures, small.astype(np.uint16), held, first)
 
 
 @dataclass
@@ -98,10 +131,14 @@ class Model:
     scale: np.ndarray
     parts: dict[str, np.ndarray]
 
-    def run(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        """Forward pass; ``first`` holds the first passage of each bag and the end."""
-        p, starts = self.parts, first[:-1]
-        h = np.tanh(x @ p["encode"] + p["encode_bias"])
+    def scaled(self, bags: Bags) -> Bags:
+        return Bags((bags.figures - self.mean) / self.scale, bags.words, bags.held, bags.first)
+
+    def run(self, bags: Bags) -> dict[str, np.ndarray]:
+        """Forward pass over scaled bags."""
+        p, first = self.parts, bags.first
+        starts = first[:-1]
+        h = np.tanh(bags.figures @ p["encode"] + p["encode_bias"] + means(p["words"], bags))
         a, g = np.tanh(h @ p["attend"]), sigmoid(h @ p["gate"])
         e = (a * g) @ p["weigh"]
         bag = np.repeat(np.arange(len(starts)), np.diff(first))
@@ -112,35 +149,45 @@ class Model:
                 "score": sigmoid(z @ p["score"] + p["score_bias"][0])}
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x, first = passages(texts)
-        return self.run((x - self.mean) / self.scale, first)["score"]
+        return self.run(self.scaled(passages(texts)))["score"]
 
 
-def learn(bags: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Fit by Adam on mini-batches of bags."""
+def means(vectors: np.ndarray, bags: Bags) -> np.ndarray:
+    """Mean vector of each passage's words, zeros for a passage without any."""
+    out = np.zeros((len(bags.held), vectors.shape[1]), vectors.dtype)
+    full = np.flatnonzero(bags.held)
+    if len(full):
+        starts = (np.cumsum(bags.held) - bags.held)[full]
+        out[full] = np.add.reduceat(vectors[bags.words], starts, axis=0) / bags.held[full, None]
+    return out
+
+
+def learn(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+    """Fit by Adam on mini-batches of bags, each with the figures, words and word counts of its passages."""
     random = np.random.default_rng(13)
     n, positives = len(bags), float(labels.sum())
     parts = {
         "encode": random.normal(0, 0.3, (FIGURES, HIDDEN)), "encode_bias": np.zeros(HIDDEN),
         "attend": random.normal(0, 0.3, (HIDDEN, GATE)), "gate": random.normal(0, 0.3, (HIDDEN, GATE)),
-        "weigh": random.normal(0, 0.3, GATE), "score": random.normal(0, 0.3, HIDDEN), "score_bias": np.zeros(1),
+        "words": np.zeros((1 << WORD_BITS, HIDDEN)), "weigh": random.normal(0, 0.3, GATE), "score": random.normal(0, 0.3, HIDDEN), "score_bias": np.zeros(1),
     }
     if not 0 < positives < n:
         share = positives / n if n else 0.0
         parts["score"][:], parts["score_bias"][0] = 0, np.log((share + 1e-12) / (1 - share + 1e-12))
         return Model(np.zeros(FIGURES), np.ones(FIGURES), parts)
-    every = np.concatenate(bags)
+    every = np.concatenate([b[0] for b in bags])
     model = Model(every.mean(axis=0), every.std(axis=0) + 1e-3, parts)
-    bags = [(b - model.mean) / model.scale for b in bags]
+    bags = [((x - model.mean) / model.scale, words, held) for x, words, held in bags]
+    in_bags = np.bincount(np.concatenate([np.unique(b[1]) for b in bags]), minlength=1 << WORD_BITS)
+    known = (in_bags >= LEAST_BAGS)[:, None]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in parts.items()}
     step = 0
     for epoch in range(EPOCHS):
         order = random.permutation(n)
         for i in range(0, n, BATCH):
             chosen = order[i:i + BATCH]
-            x = np.concatenate([bags[j] for j in chosen])
-            first = np.r_[0, np.cumsum([len(bags[j]) for j in chosen])]
-            grads = _gradients(model, x, first, labels[chosen])
+            grads = _gradients(model, gathered([bags[j] for j in chosen]), labels[chosen])
+            grads["words"] = (grads["words"] + WORD_DECAY * parts["words"]) * known
             step += 1
             for k, g in grads.items():
                 m, v = moments[k]
@@ -151,8 +198,8 @@ def learn(bags: list[np.ndarray], labels: np.ndarray) -> Model:
     return model
 
 
-def _gradients(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-    p, f = model.parts, model.run(x, first)
+def _gradients(model: Model, bags: Bags, labels: np.ndarray) -> dict[str, np.ndarray]:
+    p, f, x, first = model.parts, model.run(bags), bags.figures, bags.first
     error = (f["score"] - labels) / len(labels)
     dz = error[:, None] * p["score"]
     h, share, bag = f["h"], f["share"], f["bag"]
@@ -162,7 +209,14 @@ def _gradients(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarra
     da, dg = dag * f["g"] * (1 - f["a"] ** 2), dag * f["a"] * f["g"] * (1 - f["g"])
     dh = share[:, None] * dz[bag] + da @ p["attend"].T + dg @ p["gate"].T
     dx = dh * (1 - h * h)
+    words = np.zeros_like(p["words"])
+    if len(bags.words):
+        order = np.argsort(bags.words, kind="stable")
+        seen, starts = np.unique(bags.words[order], return_index=True)
+        per_word = (dx / np.maximum(bags.held, 1)[:, None])[np.repeat(np.arange(len(bags.held)), bags.held)[order]]
+        words[seen] = np.add.reduceat(per_word, starts, axis=0)
     return {
+        "words": words,
         "encode": x.T @ dx, "encode_bias": dx.sum(axis=0), "attend": h.T @ da, "gate": h.T @ dg,
         "weigh": (f["a"] * f["g"]).T @ de, "score": f["z"].T @ error, "score_bias": np.array([error.sum()]),
     }
@@ -175,13 +229,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         for batch in batches:
             texts, out = batch["text"].tolist(), []
             for start, end in slices(texts):
-                x, first = passages(texts[start:end])
-                out += [x[a:b].astype("<f4").tobytes() for a, b in zip(first, first[1:])]
-            yield pd.DataFrame({"bag": out, "label": batch["label"].to_numpy()})
-
-    rows = sample(docs, labels, label, SAMPLE).mapInPandas(collect, "bag binary, label int").toPandas()
-    rows = rows.sort_values(["label", "bag"])
-    bags = [np.frombuffer(b, "<f4").reshape(-1, FIGURES).astype(np.float64) for b in rows["bag"]]
+                bags = passages(texts[start:end])
+                for i in range(end - start):
+                    x, words, held = bags.of(i)
+                    out.append((x.astype("<f4").tobytes(), words.astype("<u2").tobytes(), held.astype("<i8").tobytes()))
+            named = dict(zip(("bag", "words", "held"), zip(*out))) if out else {"bag": [], "words": [], "held": []}
+            yield pd.DataFrame({**named, "label": batch["label"].to_numpy()})
+
+    rows = sample(docs, labels, label, SAMPLE).mapInPandas(collect, "bag binary, words binary, held binary, label int").toPandas()
+    rows = rows.sort_values(["label", "bag", "words"])
+    bags = [(np.frombuffer(x, "<f4").reshape(-1, FIGURES).astype(np.float64), np.frombuffer(w, "<u2"), np.frombuffer(h, "<i8"))
+            for x, w, h in zip(rows["bag"], rows["words"], rows["held"])]
     return learn(bags, rows["label"].to_numpy(np.float64))
 
 
