@@ -12,10 +12,11 @@ def lenient_integer(c: Column, source: DataType, target: str) -> Column:
     """Whole part of a number; text such as ``12.7`` or `` 12 `` gives 12, other text NULL."""
     if not isinstance(source, StringType):
         return c.try_cast(target)
+    # Most texts are plain whole numbers; only for what such a cast refuses are patterns tried.
     number = F.regexp_like(c, F.lit(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"))
     whole = F.regexp_extract(c, r"^\s*([+-]?\d*)", 1)
     whole = F.when(whole.isin("", "+", "-"), F.lit("0")).otherwise(whole)
-    return F.when(number, whole).try_cast(target)
+    return F.coalesce(c.try_cast(target), F.when(number, whole).try_cast(target))
 
 
 def comma_decimal(c: Column, source: DataType) -> Column:

@@ -249,3 +249,65 @@ def test_gold_rows_fit_the_declared_table(spark, folder):
         assert spark.table(name).first()["nr_rank_estado"] == 7
     finally:
         spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.fixture()
+def disease_table(spark, folder):
+    """Rows by disease; gives the table's name and a function of its rows."""
+    name = "w_" + os.path.basename(folder).replace("-", "_")
+    spark.sql(f"CREATE TABLE {name} (k INT, v DOUBLE, d STRING) USING parquet PARTITIONED BY (d) LOCATION '{folder}/w'")
+    insert_into(spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "a"), (3, 3.0, "b"), (4, 4.0, "c")], "k int, v double, d string"),
+                name, "append")
+    yield name, lambda: rows(spark.table(name), "k", "d", "v")
+    spark.sql(f"DROP TABLE {name}")
+
+
+BEFORE = [(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0), (4, "c", 4.0)]
+AFTER = [(1, "a", 1.0), (2, "a", 2.0), (3, "a", 9.0), (4, "c", 4.0), (5, "d", 5.0)]
+
+
+class Crash(Exception):
+    pass
+
+
+def crash(*args, **kwargs):
+    raise Crash
+
+
+@pytest.mark.parametrize("at, whole", [
+    ("pending.commit", BEFORE), ("_insert", AFTER), ("drop_partition", AFTER), ("pending.delete", AFTER)])
+def test_upsert_cut_short_leaves_one_state_or_the_other(spark, disease_table, monkeypatch, at, whole):
+    from sentinela.sinks import pending, tables
+
+    name, found = disease_table
+    change = spark.createDataFrame([(3, 9.0, "a"), (5, 5.0, "d")], "k int, v double, d string")
+    with monkeypatch.context() as m:
+        m.setattr(f"sentinela.sinks.{at}" if "." in at else f"sentinela.sinks.tables.{at}", crash)
+        with pytest.raises(Crash):
+            upsert_into(change, name, ["k"])
+        assert len(pending.folders(spark, name)) == 1
+    if at == "drop_partition":
+        # The written rows are there, the moved one also in its old place, until the upsert is finished.
+        spark.catalog.refreshTable(name)
+        assert (3, "b", 3.0) in found() and (3, "a", 9.0) in found()
+    assert tables.recover_upserts(spark, name) == (0 if whole is BEFORE else 1)
+    assert found() == whole and pending.folders(spark, name) == []
+    assert tables.recover_upserts(spark, name) == 0 and found() == whole
+
+
+def test_later_writes_finish_an_upsert_first(spark, disease_table, monkeypatch):
+    name, found = disease_table
+    with monkeypatch.context() as m:
+        m.setattr("sentinela.sinks.tables.drop_partition", crash)
+        with pytest.raises(Crash):
+            upsert_into(spark.createDataFrame([(3, 9.0, "a"), (5, 5.0, "d")], "k int, v double, d string"), name, ["k"])
+    insert_into(spark.createDataFrame([(6, 6.0, "b")], "k int, v double, d string"), name, "append")
+    assert found() == sorted([*AFTER, (6, "b", 6.0)])
+
+
+def test_upsert_adds_rows_whose_key_is_null(spark, disease_table):
+    name, found = disease_table
+    change = spark.createDataFrame([(None, 7.0, "b"), (None, 8.0, "b"), (1, 0.5, "a")], "k int, v double, d string")
+    upsert_into(change, name, ["k"])
+    upsert_into(change.filter("k IS NULL").limit(1), name, ["k"])
+    assert len(found()) == 4 + 3 and (1, "a", 0.5) in found()
