@@ -1,4 +1,4 @@
-"""First and last lines of files, read by byte ranges: the cost does not grow with the files.
+"""Files read by byte ranges, among them their first and last lines, whose cost does not grow with the files.
 
 Tasks open files through Arrow's file systems (local, S3, GCS, Azure, HDFS). Lines end as Spark's text reader ends
 them: with a line feed, a carriage return, or both.
@@ -6,6 +6,7 @@ them: with a line feed, a carriage return, or both.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator, Sequence
@@ -29,6 +30,43 @@ def _located(uri: str):
     return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
+class _Ranges(io.RawIOBase):
+    """A file of any store as a stream that can be sought in; each read is one range."""
+
+    def __init__(self, uri: str):
+        system, path = _located(uri)
+        self._file, self._at = system.open_input_file(path), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self._at = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self._at, io.SEEK_END: self._file.size()}[whence]
+        return self._at
+
+    def readinto(self, buffer) -> int:
+        found = self._file.read_at(len(buffer), self._at)
+        buffer[:len(found)] = found
+        self._at += len(found)
+        return len(found)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._file.close()
+        super().close()
+
+
+def opened(uri: str, buffer: int = 1 << 20) -> io.BufferedReader:
+    """A file to read from any place, ``buffer`` bytes at a time."""
+    return io.BufferedReader(_Ranges(uri), buffer)
+
+
 class Head:
     """The beginning of a file, as far as its first ``lines`` lines; compressed files are unpacked on the way."""
 

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sentinela.sources.ranges import opened
 
 ROWS_PER_BATCH = 20_000
 
 
 def unzip_csv(archives: DataFrame, names: Iterable[str], sep: str = ",", encoding: str = "latin-1") -> DataFrame:
-    """Rows of the first CSV member of every archive (columns ``path``, ``content``), all text.
+    """Rows of the first CSV member of every archive (column ``path``, an address), all text.
 
-    Columns are matched to ``names`` by the member's header. A ZIP stream cannot be split, so
-    an archive is the unit of parallelism; its rows leave the task in batches. An archive
-    without a CSV member is an error.
+    Columns are matched to ``names`` by the member's header. A task reads an archive's directory
+    and then its member by byte ranges and unpacks it as a stream, so it holds a batch of rows, whatever
+    the size of the archive. A ZIP stream cannot be split: an archive is the unit of parallelism. An
+    archive without a CSV member is an error.
     """
     wanted = [n.upper() for n in names]
 
-    def member_rows(archive: str, content: bytes) -> Iterator[pd.DataFrame]:
-        with zipfile.ZipFile(io.BytesIO(content)) as packed:
+    def member_rows(archive: str) -> Iterator[pd.DataFrame]:
+        with opened(archive) as file, zipfile.ZipFile(file) as packed:
             members = [m for m in packed.namelist() if m.lower().endswith(".csv")]
             if not members:
                 raise ValueError(f"no CSV file in {archive}")
@@ -39,13 +41,15 @@ def unzip_csv(archives: DataFrame, names: Iterable[str], sep: str = ",", encodin
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                yield from member_rows(archive, content)
+            for archive in batch["path"]:
+                yield from member_rows(archive)
 
     schema = ", ".join(f"`{n}` string" for n in wanted)
-    return archives.select("path", "content").mapInPandas(unpack, schema)
+    return archives.select("path").mapInPandas(unpack, schema)
 
 
 def read_zipped_csv(spark: SparkSession, path: str | list[str], names: Iterable[str], sep: str = ",",
                     encoding: str = "latin-1") -> DataFrame:
-    return unzip_csv(spark.read.format("binaryFile").load(path), names, sep, encoding)
+    """``unzip_csv`` of the archives at ``path``, which Spark lists without reading them."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    return unzip_csv(listed, names, sep, encoding)

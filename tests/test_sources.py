@@ -1,4 +1,5 @@
 import io
+import os
 import zipfile
 from datetime import date
 
@@ -15,6 +16,7 @@ from sentinela.sources.lines import (
     add_date_from_line, add_literal_date, cut_fixed_width, drop_edge_lines, header_line, positioned_lines, read_lines,
 )
 from sentinela.sources.partitions import ingestion_path
+from sentinela.sources.ranges import opened
 from sentinela.sources.zipped import read_zipped_csv
 from tests.conftest import rows
 
@@ -175,6 +177,29 @@ def test_zip(spark, folder):
         read_zipped_csv(spark, folder, ["id"]).collect()
 
 
+def test_zip_beyond_two_gigabytes_is_read_by_ranges(spark, folder):
+    """An archive that begins after a hole of 2.2 GB; a member of 60 MB leaves the task in batches."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z, z.open("a.csv", "w") as member:
+        member.write(b"ID,NOME\n")
+        for i in range(60):
+            member.write(b"7," + b"x" * 998 + b"\n" if i % 2 else (b"8," + b"y" * 98 + b"\n") * 10_000)
+    with open(f"{folder}/large of.zip", "wb") as f:
+        f.seek(2_200_000_000)
+        f.write(packed.getvalue())
+    assert os.stat(f"{folder}/large of.zip").st_blocks * 512 < 10_000_000
+    got = read_zipped_csv(spark, folder, ["nome", "id"])
+    assert {r[0]: r["n"] for r in got.groupBy("ID").agg(F.count("*").alias("n")).collect()} == {"7": 30, "8": 300_000}
+
+
+def test_ranges_are_those_of_the_file(folder):
+    data = bytes(range(256)) * 700
+    path = put(folder, "a b.bin", data)
+    with opened(f"file://{path}".replace(" ", "%20"), 100) as f:
+        assert f.read(10) == data[:10] and f.seek(-5, 2) == len(data) - 5 and f.read() == data[-5:] and f.read() == b""
+        assert f.seek(1000) == 1000 and f.read(70_000) == data[1000:71_000] and f.seek(-10, 1) == 70_990 and f.read(3) == data[70_990:70_993]
+
+
 def test_jdbc_options():
     assert jdbc_url("PostgreSQL", "h", 5432, "d") == "jdbc:postgresql://h:5432/d"
     assert jdbc_url("oracle", "h", "1521", "d") == "jdbc:oracle:thin:@//h:1521/d"
