@@ -117,9 +117,15 @@ def _source(root: str, name: str):
 
 
 def write(df: DataFrame, root: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> Manifest:
-    """Encode and write all documents; one shuffle puts them in ascending order of their ids."""
+    """Encode and write all documents; one shuffle puts them in ascending order of their ids.
+
+    Documents that share an id are ordered by a hash of their text and by their place, so that the rows of
+    one id, or all rows without one, go over as many tasks as they need.
+    """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = "doc_id", F.xxhash64("text"), "place"
+    docs = docs.withColumn("place", F.monotonically_increasing_id())
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order).drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = bpe.encoder(vocabulary), TaskContext.get().partitionId()

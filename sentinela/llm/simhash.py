@@ -151,10 +151,10 @@ class Forest:
         return np.array([self.root(i) for i in items.tolist()], np.int64)
 
 
-def link(points: np.ndarray, home: np.ndarray, half: int) -> Forest:
-    """Join all points within ``MOST_BITS`` of a stored point that are near in this half."""
+def link(points: np.ndarray, home: np.ndarray, half: int, asks: np.ndarray | None = None) -> Forest:
+    """Join the points that ask, all if not said, to the stored points within ``MOST_BITS`` that are near in this half."""
     forest, random, halves = Forest(len(points)), np.random.default_rng(11), _half(points, half)
-    todo = [(np.flatnonzero(home), np.arange(len(points)))]
+    todo = [(np.flatnonzero(home), np.arange(len(points)) if asks is None else np.flatnonzero(asks))]
     while todo:
         stored, asked = todo.pop()
         if not len(stored) or not len(asked):
@@ -183,6 +183,26 @@ def _compare(points: np.ndarray, stored: np.ndarray, asked: np.ndarray, forest:
             near &= forest.roots(rows)[:, None] != forest.roots(stored)[None, :]
 
 
+def dealt(placed: DataFrame) -> DataFrame:
+    """Groups ``shard, i, j`` of fingerprints, each with whether it is stored (``home``) or asked (``asks``) there.
+
+    A shard's stored points and those asked there are dealt over as many blocks as they need; each block of the one
+    meets each of the other, so no group holds more than about two blocks, however many points share a half.
+    """
+    blocks = placed.groupBy("shard").agg(
+        F.ceil(F.count_if("home") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("columns"))
+    own = F.pmod(F.hash("fp"), F.col("rows")).alias("row"), F.pmod(F.hash(F.lit(1), "fp"), F.col("columns")).alias("column")
+    rows = placed.join(blocks.where("rows > 0"), "shard").select("*", *own)
+    # As a stored point to all columns of its row, as an asked one to all rows of its column.
+    places = F.array_distinct(F.concat(
+        F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(
+            F.col("row").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i: int, j: int>>")),
+        F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("column").alias("j")))))
+    return rows.select("shard", "fp", "home", "row", "column", F.explode(places).alias("at")).select(
+        "shard", "at.i", "at.j", "fp", (F.col("home") & (F.col("row") == F.col("at.i"))).alias("home"),
+        (F.col("column") == F.col("at.j")).alias("asks"))
+
+
 def _links(points: DataFrame) -> DataFrame:
     """Edges ``a > b`` between fingerprints that connect all that are within ``MOST_BITS``."""
     spark = points.sparkSession
@@ -203,24 +223,15 @@ def _links(points: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"shard": np.int32(shard), "fp": fps[here], "home": home})
 
     placed = stage(points.select("fp").mapInPandas(place, "shard int, fp long, home boolean"), "simhash-shards")
-    # Stored points of a shard are dealt over as many blocks as they need; every asked point meets each block.
-    blocks = placed.where("home").groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    meets = placed.join(blocks, "shard").select(
-        "shard", "fp", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.hash("fp"), F.col("blocks")).alias("own"),
-    ).withColumn("home", F.col("home") & (F.col("own") == F.col("block")))
-
     def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        fps = np.sort(group["fp"].to_numpy(np.int64))
         order = np.argsort(group["fp"].to_numpy(np.int64))
-        home = group["home"].to_numpy(bool)[order]
-        forest = link(fps.view(np.uint64), home, int(key[0] >= first_of_upper))
+        fps, home, asks = (group[c].to_numpy()[order] for c in ("fp", "home", "asks"))
+        forest = link(fps.view(np.uint64), home, int(key[0] >= first_of_upper), asks)
         root = forest.roots(np.arange(len(fps)))
         tied = np.flatnonzero(root != np.arange(len(fps)))
         return pd.DataFrame({"a": fps[tied], "b": fps[root[tied]]})
 
-    grouped = meets.select("shard", "block", "fp", "home").groupBy("shard", "block")
-    return grouped.applyInPandas(search, "a long, b long")
+    return dealt(placed).groupBy("shard", "i", "j").applyInPandas(search, "a long, b long")
 
 
 def connect(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sentinela.llm import sequences
@@ -54,3 +55,20 @@ def test_odd_rows(spark, folder):
         (0, None, 2), (2, 1, 1), (3, 2, 1), (4, 3, 3), (7, 3, 3), (10, 5, 50_001)]
     empty = sequences.write(docs.limit(0), f"{folder}/b", PATH, end_id=1)
     assert empty.starts == () and sequences.read(spark, empty).count() == 0
+
+
+def test_rows_of_one_id_go_over_many_tasks(spark, folder):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 7, if(id % 3 = 1, null, id)) doc_id", "if(id % 2 = 0, 'same text', concat('text ', id)) text")
+    try:
+        manifest = sequences.write(docs, f"{folder}/a", PATH, end_id=1)
+    finally:
+        spark.conf.unset(key)
+    found = sequences.read(spark, manifest)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 3000 / 8
+    rows = sorted(found.collect(), key=lambda r: r.start)
+    assert [r.start + r.n_tokens for r in rows[:-1]] == [r.start for r in rows[1:]] and rows[0].start == 0
+    ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert ids == sorted(ids) and len(ids) == 3000

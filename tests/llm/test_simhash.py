@@ -3,6 +3,8 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from sentinela.llm import simhash
 from sentinela.llm.queries import QUERIES
 from tests.conftest import rows
@@ -109,3 +111,14 @@ def test_rows_that_share_an_id_or_have_none_stay_by_their_texts(spark):
         [(3, a), (7, a), (7, b), (7, c), (7, c), (None, d), (None, "pink white"), (None, "pink white"), (None, b)],
         "doc_id long, text string")
     assert rows(simhash.keep_one(docs)) == [(None, "pink white"), (None, d), (3, a), (7, b), (7, c)]
+
+
+def test_groups_stay_small_where_many_points_share_a_half(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 500)
+    placed = spark.range(9_000).selectExpr("if(id < 6000, 0, 1 + id % 3) shard", "id fp", "id % 5 > 0 home")
+    groups = simhash.dealt(placed.selectExpr("cast(shard as int) shard", "fp", "home")).groupBy("shard", "i", "j").agg(
+        F.count("*").alias("n"), F.count_if("home").alias("stored"), F.count_if("asks").alias("asked")).collect()
+    assert max(r.stored for r in groups) < 700 and max(r.asked for r in groups) < 700
+    hot = [r for r in groups if r["shard"] == 0]
+    # Each stored block of the hot shard meets each asked one: all pairs of the shard, once.
+    assert len(hot) == 10 * 12 and sum(r.stored for r in hot) == 4800 * 12 and sum(r.asked for r in hot) == 6000 * 10
