@@ -29,7 +29,7 @@ from sentinela.llm.tables import slices, text_or_empty
 from sentinela.llm.toxicity import sample, sigmoid
 
 PASSAGE, SAMPLE = 64, 6_000
-HIDDEN, GATE, EPOCHS, BATCH, RATE, WORD_DECAY = 24, 12, 40, 128, 0.01, 1e-3
+HIDDEN, GATE, EPOCHS, BATCH, RATE, WORD_DECAY = 24, 12, 16, 128, 0.02, 1e-3
 FIGURES, WORD_BITS, LEAST_BAGS = 16, 13, 20
 
 
