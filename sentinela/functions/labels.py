@@ -17,7 +17,6 @@ MONTH_NAMES = {
 }
 AGE_BANDS = {"0-4": 5, "5-14": 15, "15-29": 30, "30-59": 60}
 LAST_AGE_BAND = "60+"
-LAYERS = ["bronze", "silver", "gold", "quality"]
 
 
 def lookup(c: Column, mapping: dict, default: Column) -> Column:
@@ -45,12 +44,8 @@ def sex_or_unknown(c: Column) -> Column:
 def age_band(days: Column) -> Column:
     """Band of an age in days. An unknown age lands in the open last band, as in the model's definition."""
     years = F.floor(days / F.lit(365.25))
-    branches = iter(AGE_BANDS.items())
-    name, limit = next(branches)
-    band = F.when(years < limit, F.lit(name))
-    for name, limit in branches:
-        band = band.when(years < limit, F.lit(name))
-    return band.otherwise(F.lit(LAST_AGE_BAND))
+    bands = [F.when(years < limit, F.lit(name)) for name, limit in AGE_BANDS.items()]
+    return F.coalesce(*bands, F.lit(LAST_AGE_BAND))
 
 
 def size_class(population: Column) -> Column:
