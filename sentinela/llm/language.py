@@ -53,6 +53,9 @@ def grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     good = two[:n].copy()
     for i in range(1, size - 1):
         good &= two[i:i + n]
+    # The blank before a text begins no n-gram, which would be counted for the text before it.
+    before = starts[1:] - 1
+    good[before[before < n]] = False
     return mixed(h), good, starts, letters
 
 

@@ -1,5 +1,10 @@
+import collections
 import hashlib
 import re
+import struct
+
+import regex
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -72,3 +77,45 @@ def test_neighbours_over_many_partitions(spark):
     ids = sorted((r.k for r in keys.collect()), reverse=True)
     want = dict(zip(ids, ids[1:] + ids[:1]))
     assert {r.k: r.next_k for r in imatch.successors(keys).collect()} == want
+
+
+def xx(value, seed):
+    """XXH64 as the engine chains it over columns: text, 64-bit or 32-bit whole numbers."""
+    data = value.encode() if isinstance(value, str) else value
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_fingerprint(text, known):
+    every = {signed(xx(t, 42)) for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t}
+    kept = sorted(every & known or every or {signed(xx(text, 42))})
+    out = ""
+    for size, n in imatch.PARTS.items():
+        for k in range(n):
+            h = 42
+            for t in kept:
+                chosen = xx(struct.pack("<i", size), xx(struct.pack("<i", k), xx(struct.pack("<q", t), 42)))
+                if signed(chosen) % size == 0:
+                    h = xx(struct.pack("<q", t), h)
+            out += f"{h >> 48:04x}"
+    return out
+
+
+def test_fingerprints_by_another_implementation(spark):
+    """Lexicon, parts and hashes of the whole smallest table, in plain Python."""
+    found = {r.doc_id: r for r in QUERIES["op2_imatch_fingerprints"](spark, SMALL).collect()}
+    docs = sorted(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect(), reverse=True)
+    texts = [r.text or "" for r in docs]
+    seen = collections.Counter()
+    for t in texts:
+        seen.update({signed(xx(w, 42)) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w})
+    total = len(texts)
+    known = {t for t, n in seen.items() if max(2, total * imatch.RAREST) <= n <= total * imatch.COMMONEST}
+    for i, r in enumerate(docs):
+        text, onward = texts[i], texts[(i + 1) % total]
+        half = len(text) // 2
+        assert found[r.doc_id].fingerprint == plain_fingerprint(text, known)
+        assert found[r.doc_id].edited_fingerprint == plain_fingerprint(text[:len(text) - half] + onward[:half], known)

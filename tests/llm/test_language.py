@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from sentinela.llm import language
@@ -62,3 +64,53 @@ def test_copies_of_a_text_count_once_in_the_fit(spark):
     copies = texts + [(". zzzz yyyy xxxx wwww zzzz yyyy xxxx wwww .", "en")] * 1500
     one, many = (language.fit(spark.createDataFrame(t, "text string, lang string")) for t in (copies[:5], copies))
     assert (one.words == many.words).all()
+
+
+def plain_score(text, filters):
+    """Language and score of one text, gram by gram."""
+    word, letters = (1 << 64) - 1, "".join(c if c.isalpha() else " " for c in text.lower())
+    if not any(c.isalpha() for c in text.lower()):
+        return "und", 0.0
+    counts, total = [0] * len(filters.languages), 0
+    # One blank more at the end, since texts are followed by blanks.
+    padded = letters + " "
+    for size in language.SIZES:
+        for i in range(len(padded) - size + 1):
+            gram = padded[i:i + size]
+            if "  " in gram:
+                continue
+            total += 1
+            h = ord(gram[0])
+            for c in gram[1:]:
+                h = (h * int(language.ROLL) + ord(c)) & word
+            h = int(language.mixed(np.array([h], np.uint64))[0])
+            bits = word
+            for p in range(language.PROBES):
+                bits &= int(filters.words[h >> 20 * p & language.POSITIONS - 1, 0])
+            for k in range(len(counts)):
+                counts[k] += bits >> k & 1
+    real = [max(0.0, n - total * share) / (1 - share) for n, share in zip(counts, filters.false_share)]
+    best = max(range(len(real)), key=lambda k: (real[k], -k))
+    return filters.languages[best], real[best] / sum(real) if sum(real) else 0.0
+
+
+def test_query_by_another_implementation(spark):
+    """Every text of the smallest table, gram by gram, with the filters that the query learns."""
+    smallest = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{smallest}/documents.parquet").select("doc_id", "text", "lang")
+    learnt = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0]
+    filters = language.fit(spark.createDataFrame(learnt, docs.schema))
+    got = {r.doc_id: r for r in QUERIES["op1_language_bloom_slices"](spark, smallest).collect()}
+    for r in docs.collect():
+        lang, score = plain_score(r.text or "", filters)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-9
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_a_text_is_judged_apart_from_its_neighbours(spark):
+    texts = ["der hund und die katze", "the dog and the cat", "le chien et le chat"]
+    filters = language.fit(spark.createDataFrame([(t, k) for t, k in zip(texts, ("de", "en", "fr"))] * 4, "text string, lang string"))
+    alone = [filters.scores([t])[1][0] for t in texts]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2]):
+        together = filters.scores([texts[i] for i in order])[1]
+        assert np.allclose(together, [alone[i] for i in order], atol=1e-12)
