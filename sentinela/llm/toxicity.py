@@ -33,7 +33,7 @@ from sentinela.llm.tables import slices, text_or_empty
 
 BUCKET_BITS, STEM = 20, 5
 SAMPLE, FACTORS, LEAST_Z, LEAST_ROWS = 12_000, 4, 5.0, 4
-PAIR_TERMS, PAIR_Z, LEAST_SHARE = 2_000, 8.0, 0.1
+PAIR_TERMS, PAIR_Z, LEAST_SHARE, ROWS_AT_ONCE = 1_000, 8.0, 0.1, 1_000
 EPOCHS, BATCH, RATE, DECAY, DROPOUT = 25, 256, 0.15, 1e-5, 0.1
 
 
@@ -91,14 +91,22 @@ def pair_links(owner: np.ndarray, flat: np.ndarray, error: np.ndarray, labels: n
     most = most[(rows[most] >= LEAST_ROWS) & (rows[most] < n)]
     column = np.full(len(terms), -1)
     column[most] = np.arange(len(most))
-    known = column[place] >= 0
-    x = np.zeros((n, len(most)), np.float32)
-    x[owner[known], column[place[known]]] = 1
-    x -= x.mean(axis=0)
-    error = error.astype(np.float32)[:, None]
-    link = (x * error).T @ x
-    share = np.abs(link) / (np.sqrt(n * labels.var() * ((x * x).T @ (x * x))) + 1e-9)
-    link /= np.sqrt((x * x * error * error).T @ (x * x)) + 1e-9
+    shares = (rows[most] / n).astype(np.float32)
+    link, error_spread, spread = (np.zeros((len(most), len(most)), np.float32) for _ in range(3))
+    bounds = np.searchsorted(owner, np.arange(0, n + ROWS_AT_ONCE, ROWS_AT_ONCE))
+    for block, (start, end) in enumerate(zip(bounds, bounds[1:])):
+        first = block * ROWS_AT_ONCE
+        x = np.zeros((min(ROWS_AT_ONCE, n - first), len(most)), np.float32)
+        at = start + np.flatnonzero(column[place[start:end]] >= 0)
+        x[owner[at] - first, column[place[at]]] = 1
+        x -= shares
+        e = error[first:first + len(x), None].astype(np.float32)
+        link += (x * e).T @ x
+        x *= x
+        spread += x.T @ x
+        error_spread += (x * (e * e)).T @ x
+    share = np.abs(link) / (np.sqrt(n * labels.var() * spread) + 1e-9)
+    link /= np.sqrt(error_spread) + 1e-9
     np.fill_diagonal(link, 0)
     link[(np.abs(link) < PAIR_Z) | (share < LEAST_SHARE)] = 0
     told = np.flatnonzero(np.abs(link).max(axis=1, initial=0))
