@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Characters a task turns into arrays at once; bounds its memory whatever the texts are.
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
