@@ -68,6 +68,19 @@ def compare_rows(left: DataFrame, right: DataFrame, schema: list[ColumnSpec] | N
     return totals.withColumn("status", _verdict((F.col("only_left") == 0) & (F.col("only_right") == 0)))
 
 
+def _double_sum(c: Column) -> Column:
+    """Sum of doubles to two decimals, as text, added up as decimals.
+
+    A sum of doubles depends on the order of its additions, and over millions of rows its cents do. Values that
+    no decimal holds (NaN, infinite, 10^26 or more), or a sum that none holds, leave the column to the plain sum.
+    """
+    number = c.try_cast("decimal(38,12)")
+    exact, plain = F.try_sum(number), F.sum(c)
+    held = (F.count(number) == F.count(c)) & exact.isNotNull()
+    return F.when(held, exact.cast("decimal(38,2)").cast("string")).when(
+        plain.isNotNull(), F.format_string("%.2f", plain))
+
+
 def metric_columns(df: DataFrame) -> dict[str, Column]:
     """Figures by type, as text: row count, extremes of dates and times, sums of numbers."""
     metrics: dict[str, Column] = {"row_count": F.count(F.lit(1)).cast("string")}
@@ -82,8 +95,7 @@ def metric_columns(df: DataFrame) -> dict[str, Column]:
         elif isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
             metrics[f"sum_{name}"] = F.sum(c.cast("decimal(38,0)")).cast("string")
         elif isinstance(kind, (FloatType, DoubleType)):
-            total = F.sum(c.cast("double"))
-            metrics[f"sum_{name}"] = F.when(total.isNotNull(), F.format_string("%.2f", total))
+            metrics[f"sum_{name}"] = _double_sum(c.cast("double"))
         elif isinstance(kind, DecimalType):
             metrics[f"sum_{name}"] = F.sum(c).cast("decimal(38,2)").cast("string")
     return metrics

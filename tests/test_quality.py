@@ -113,6 +113,27 @@ def test_compare_metrics(spark):
     assert "sum_s" not in got
 
 
+def test_metric_sums_of_doubles_do_not_depend_on_the_order(spark):
+    """2^53 cents and more: a sum of doubles loses the small values that come after the large one."""
+    large, small = spark.sql("SELECT 1e16 AS x"), spark.range(1000).select(F.lit(0.01).alias("x"))
+    left, right = large.unionAll(small).coalesce(1), small.unionAll(large).coalesce(1)
+    got = {r["metric"]: tuple(r)[1:] for r in reconcile.compare_metrics(left, right).collect()}
+    assert got["sum_x"] == ("10000000000000010.00", "10000000000000010.00", "success")
+
+
+def test_metric_sums_of_doubles_that_no_decimal_holds(spark):
+    def total(*values):
+        return rows(spark.createDataFrame([(v,) for v in values], "x double").agg(reconcile.metric_columns(
+            spark.createDataFrame([], "x double"))["sum_x"]))[0][0]
+
+    assert total(1.0, float("nan")) == "NaN"
+    assert total(1.0, float("inf")) == "Infinity"
+    assert total(1e30, None, 1e30) == f"{2 * 10**30}.00"
+    assert total(9e25, 9e25) == f"{18 * 10**25}.00"
+    assert total(None) is None
+    assert total(0.125, 0.0, -1.005) == "-0.88"
+
+
 def test_suite_with_comparisons(spark, sample):
     sample.createOrReplaceTempView("ours")
     spec = QualitySpec("t", {
