@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from sentinela.config import split_identifier
 
 
+# Records of a landed file: compressed, it is one task's work to read.
+RECORDS_PER_FILE = 250_000
+
+
 def dated_path(root: str, identifier: str, day: date) -> str:
     """``<root>/<source>/<table>/<yyyymmdd>``"""
     table, source = split_identifier(identifier)
@@ -30,10 +34,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return counted.get["rows"]
 
 
-def land_json(df: DataFrame, root: str, ingestion_date: str) -> str:
-    """Land records as JSON under their ingestion date; returns the folder."""
+def land_json(df: DataFrame, root: str, ingestion_date: str, compression: str = "gzip",
+              records_per_file: int = RECORDS_PER_FILE) -> str:
+    """Land records as JSON under their ingestion date; returns the folder.
+
+    Field names in every record make plain JSON many times larger than what it holds, hence compressed. A
+    compressed file cannot be split, so none has more than ``records_per_file`` records.
+    """
     path = f"{root.rstrip('/')}/ingestion_date={ingestion_date}"
-    df.write.options(ignoreNullFields="false").json(path)
+    df.write.options(ignoreNullFields="false", compression=compression, maxRecordsPerFile=records_per_file).json(path)
     return path
 
 

@@ -2,6 +2,7 @@ import os
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from sentinela.config import IngestSpec, QualitySpec, RefineSpec
 from sentinela.operators.quality import QualityFailure
@@ -11,6 +12,7 @@ from sentinela.sinks.files import dated_path, land_json, write_csv, write_parque
 from sentinela.sinks.jdbc import jdbc_write_options
 from sentinela.sinks.runlog import RunLog, execution_id, read_runs
 from sentinela.sinks.tables import OVERWRITE_MODE, insert_into, upsert_into
+from sentinela.sources.json import read_json
 from sentinela.staging import scratch_root, scratch_scope, stage
 from tests.conftest import rows
 
@@ -225,6 +227,19 @@ def test_files(spark, folder):
     assert dated_path("/r/", "src_tb_x", date(2026, 2, 1)) == "/r/src/tb_x/20260201"
 
 
+def test_landed_json_is_compressed_in_files_of_bounded_length(spark, folder):
+    df = spark.range(1000).select(F.col("id").alias("cd_geocode"), F.lit("dengue").alias("ds_doenca"),
+                                  F.when(F.col("id") % 3 > 0, F.col("id") / 4).alias("vl_rt")).coalesce(1)
+    path = land_json(df, folder, "2026-02-01", records_per_file=300)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == 4 and all(f.endswith(".json.gz") for f in files)
+    plain = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).agg(F.sum(F.length("j") + 1)).first()[0]
+    assert sum(os.path.getsize(f"{path}/{f}") for f in files) < plain / 5
+    back = read_json(spark, path, schema=df.schema, multiline=False)
+    assert rows(back) == rows(df)
+    assert spark.read.text(path).filter(F.col("value").contains('"vl_rt":null')).count() == 334
+
+
 def test_jdbc_write_options():
     options = jdbc_write_options("u", "t", "me", "pw", "overwrite", driver="d")
     assert options["truncate"] == "true" and options["batchsize"] == "10000" and options["driver"] == "d"
