@@ -10,7 +10,7 @@ from sentinela.config import split_identifier
 
 
 # Records of a landed file: compressed, it is one task's work to read.
-RECORDS_PER_FILE = 250_000
+RECORDS_PER_FILE = 50_000
 
 
 def dated_path(root: str, identifier: str, day: date) -> str:
